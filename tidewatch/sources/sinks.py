@@ -37,8 +37,8 @@ def write_logs(entries: DataFrame, outputs: dict[str, str | None], batch_id: int
 
 def copy_objects(plan: DataFrame, partitions: int | None = None) -> DataFrame:
     """Carry out a copy plan (src, dest, error): one row per file with the bytes
-    written and the error. An empty source is an error. Files are streamed by
-    the tasks; both ends must be paths the executors can reach."""
+    written and the error. An empty remote source is an error. Files are streamed
+    by the tasks; both ends must be paths the executors can reach."""
     spread = plan.repartition(partitions, "src") if partitions else plan
     kept = spread.select("src", "dest", "error")
     return kept.mapInPandas(_copy_batches, "src string, dest string, bytes long, error string")
@@ -55,7 +55,8 @@ def _copy_batches(batches):
     def copy(src: str, dest: str) -> int:
         source_fs, source = open_fs(src)
         target_fs, target = open_fs(dest)
-        if source_fs.get_file_info(source).size == 0:
+        is_remote = not src.startswith(("/", "file:"))
+        if is_remote and source_fs.get_file_info(source).size == 0:
             raise FileNotFoundError("bucket key is not found")
         target_fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
         written = 0
