@@ -1,6 +1,6 @@
 """Registered queries by family."""
 
-from tidewatch.catalog import watching  # noqa: F401
+from tidewatch.catalog import running, watching  # noqa: F401
 from tidewatch.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

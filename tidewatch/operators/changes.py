@@ -3,12 +3,12 @@ branches are new or changed since the watcher last looked."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import last_updated, required_value, split_repo
 from tidewatch.operators.settings import with_rule_defaults
-from tidewatch.plans.ordered import HOT_ROWS, latest, running_max, with_previous, with_running
+from tidewatch.plans.ordered import HOT_ROWS, latest, with_previous, with_running
 
 
 def poll_snapshots(
@@ -55,15 +55,24 @@ def raise_marks(marks: DataFrame, kept: DataFrame, keys: list[str], ts: str) ->
     return marks.select(*keys, "mark").unionByName(fresh).groupBy(*keys).agg(F.max("mark").alias("mark"))
 
 
-def _above_mark(polls: DataFrame, start: Column, limit: int) -> DataFrame:
+def _above_mark(polls: DataFrame, start: Column) -> DataFrame:
     """Rows of ``polls`` newer than the repository's mark at their poll.
 
     The mark before a poll is the newest update any earlier poll held, or
-    ``start``: it is computed on one row per (repo, poll).
+    ``start``. It is worked out on one row per (repo, poll): within a day, and
+    then from day to day, so no window holds more than a day of polls.
     """
-    per_poll = polls.groupBy("repo", "poll_ts").agg(F.max("last_updated").alias("__newest"))
-    marks = with_running(per_poll, ["repo"], ["poll_ts"], {"__mark": running_max(F.col("__newest"))}, limit=limit)
-    marks = marks.select("repo", "poll_ts", F.greatest(start, "__mark").alias("mark")).filter(F.col("__newest") > F.col("mark"))
+    per_poll = polls.groupBy("repo", F.to_date("poll_ts").alias("__day"), "poll_ts").agg(F.max("last_updated").alias("__newest"))
+    per_day = per_poll.groupBy("repo", "__day").agg(F.max("__newest").alias("__of_day"))
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    days = per_day.select("repo", "__day", F.max("__of_day").over(earlier(["repo"], "__day")).alias("__before"))
+    today = per_poll.withColumn("__today", F.max("__newest").over(earlier(["repo", "__day"], "poll_ts")))
+    marks = (
+        today.join(days, ["repo", "__day"])
+        .withColumn("mark", F.greatest(start, "__before", "__today"))
+        .filter(F.col("__newest") > F.col("mark"))
+        .select("repo", "poll_ts", "mark")
+    )
     return polls.join(marks, ["repo", "poll_ts"]).filter(F.col("last_updated") > F.col("mark"))
 
 
@@ -81,13 +90,14 @@ def pull_request_updates(polls: DataFrame, rules: DataFrame, start: Column, *, l
         .drop("__pattern")
         .withColumn("last_updated", last_updated(F.col("committed_at"), F.col("comment_at")))
     )
-    fresh = _above_mark(matching, start, limit)
+    fresh = _above_mark(matching, start)
     seen = with_running(
         fresh,
         ["repo", "number"],
         ["poll_ts"],
         {"__prev": latest(F.struct("oid", F.coalesce("comment_body", F.lit("")).alias("body")))},
         limit=limit,
+        sizes=polls,
     )
     first = F.col("__prev").isNull()
     has_comment = F.coalesce(F.col("comment_id"), F.lit("")) != ""
@@ -105,8 +115,8 @@ def pull_request_updates(polls: DataFrame, rules: DataFrame, start: Column, *, l
 def branch_updates(polls: DataFrame, start: Column, *, limit: int = HOT_ROWS) -> DataFrame:
     """Branches whose head changed, per poll; ``polls``: poll_ts, repo, name,
     oid, committed_at. No branch pattern applies. Adds ``mark``."""
-    fresh = _above_mark(polls.withColumn("last_updated", F.col("committed_at")), start, limit)
-    seen = with_running(fresh, ["repo", "name"], ["poll_ts"], {"__prev": latest(F.struct("oid"))}, limit=limit)
+    fresh = _above_mark(polls.withColumn("last_updated", F.col("committed_at")), start)
+    seen = with_running(fresh, ["repo", "name"], ["poll_ts"], {"__prev": latest(F.struct("oid"))}, limit=limit, sizes=polls)
     changed = F.col("__prev").isNull() | (F.col("__prev.oid") != F.col("oid"))
     return seen.filter(changed).drop("__prev", "last_updated")
 

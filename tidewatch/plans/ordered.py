@@ -116,8 +116,11 @@ class OrderedGroups:
         self.n_chunks, self.limit = n_chunks, limit
 
     @classmethod
-    def split(cls, df: DataFrame, keys: list[str], order: list[str], limit: int = HOT_ROWS) -> OrderedGroups:
-        heavy = heavy_keys(df, keys, limit)
+    def split(
+        cls, df: DataFrame, keys: list[str], order: list[str], limit: int = HOT_ROWS, sizes: DataFrame | None = None
+    ) -> OrderedGroups:
+        """``sizes`` may name a cheaper table whose groups are at least as large."""
+        heavy = heavy_keys(df if sizes is None else sizes, keys, limit)
         n_keys, n_rows = heavy.agg(F.count("*"), F.sum("n_rows")).first()
         if n_keys == 0:
             return cls(keys, order, df, None, 0, limit)
@@ -176,13 +179,14 @@ def with_running(
     *,
     reverse: bool = False,
     limit: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add one column per entry of ``runs``, computed over the earlier rows of
     the same group (later rows when ``reverse``). ``order`` must be a total
     order within a group; no ``keys`` means one order over all rows."""
     if not keys:
         return with_running(df.withColumn(_ALL, F.lit(0)), [_ALL], order, runs, reverse=reverse, limit=limit).drop(_ALL)
-    return OrderedGroups.split(df, keys, order, limit).running(runs, reverse).rows()
+    return OrderedGroups.split(df, keys, order, limit, sizes).running(runs, reverse).rows()
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], **options) -> DataFrame:
