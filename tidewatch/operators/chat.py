@@ -261,8 +261,7 @@ def parse_commands(messages: DataFrame, commands: list[Command], text: str = "te
     is_help = F.col("__help.requested")
     error = F.when(~is_help & F.col("__number").isNull(), NOT_PARSED).otherwise(F.col("__error"))
     error_class = F.when(~is_help & F.col("__number").isNull(), "NOT_FOUND").when(F.col("__error").isNotNull(), "BAD_PARAMETER")
-    return judged.select(
-        *messages.columns,
+    parsed = F.struct(
         F.col("__command.name").alias("command"),
         F.col("__command.confirm").alias("confirm"),
         F.when(F.col("__number").isNotNull() & F.col("__error").isNull(), values).alias("values"),
@@ -271,6 +270,9 @@ def parse_commands(messages: DataFrame, commands: list[Command], text: str = "te
         is_help.alias("requested_help"),
         F.col("__help.command").alias("help_command"),
     )
+    # inline() keeps later filters from being merged into the expressions above,
+    # which would parse every text many times over
+    return judged.select(*messages.columns, F.inline(F.array(parsed)))
 
 
 def command_errors(parsed: DataFrame) -> DataFrame:
