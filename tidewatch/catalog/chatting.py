@@ -167,10 +167,13 @@ LINES = [
 
 
 def talk(spark: SparkSession, sf: str) -> DataFrame:
+    return as_talk(table(spark, sf, "events"))
+
+
+def as_talk(ev: DataFrame) -> DataFrame:
     text = F.lit(None).cast("string")
     for kind, below, line, _, _ in reversed(LINES):
         text = F.when((F.col("event_type") == kind) & (F.col("value") < below), line).otherwise(text)
-    ev = table(spark, sf, "events")
     return ev.select(F.col("user_id").alias("thread"), "ts", "event_id", text.alias("text"))
 
 

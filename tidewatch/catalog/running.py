@@ -154,7 +154,10 @@ def live_versions(spark, sf):
 
 
 def finished(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
+    return as_finished(table(spark, sf, "orders"))
+
+
+def as_finished(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.concat(F.lit("run"), "o_orderkey").alias("run_id"),
         F.col("o_orderpriority").alias("process"),

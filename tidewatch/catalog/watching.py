@@ -180,7 +180,11 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
     new_commit, new_comment FROM updates""",
 )
 def pull_request_updates(spark, sf):
-    return updates(spark, sf).select(
+    return shown_updates(updates(spark, sf))
+
+
+def shown_updates(found: DataFrame) -> DataFrame:
+    return found.select(
         "repo",
         "number",
         F.unix_micros("poll_ts").alias("poll_us"),
@@ -265,7 +269,11 @@ def branch_changes(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {BRANCHES_SQL} SELECT repo, name, oid, epoch_us(poll_ts) AS poll_us, epoch_us(mark) AS mark_us FROM changed",
 )
 def branch_updates(spark, sf):
-    return branch_changes(spark, sf).select(
+    return shown_branches(branch_changes(spark, sf))
+
+
+def shown_branches(found: DataFrame) -> DataFrame:
+    return found.select(
         "repo", "name", "oid", F.unix_micros("poll_ts").alias("poll_us"), F.unix_micros("mark").alias("mark_us")
     )
 

@@ -55,67 +55,80 @@ def raise_marks(marks: DataFrame, kept: DataFrame, keys: list[str], ts: str) ->
     return marks.select(*keys, "mark").unionByName(fresh).groupBy(*keys).agg(F.max("mark").alias("mark"))
 
 
-def _above_mark(polls: DataFrame, start: Column) -> DataFrame:
-    """Rows of ``polls`` newer than the repository's mark at their poll.
-
-    The mark before a poll is the newest update any earlier poll held, or
-    ``start``. It is worked out on one row per (repo, poll): within a day, and
-    then from day to day, so no window holds more than a day of polls.
+def newer_than_mark(polls: DataFrame, start: Column, marks: DataFrame | None = None) -> DataFrame:
+    """Rows of ``polls`` (with ``last_updated``) newer than the repository's mark
+    at their poll.
+
+    The mark before a poll is the newest update any earlier poll held, the one
+    in ``marks`` (repo, mark) or ``start``. It is worked out on one row per
+    (repo, poll): within a day, and then from day to day, so no window holds
+    more than a day of polls.
     """
     per_poll = polls.groupBy("repo", F.to_date("poll_ts").alias("__day"), "poll_ts").agg(F.max("last_updated").alias("__newest"))
     per_day = per_poll.groupBy("repo", "__day").agg(F.max("__newest").alias("__of_day"))
     earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     days = per_day.select("repo", "__day", F.max("__of_day").over(earlier(["repo"], "__day")).alias("__before"))
+    if marks is not None:
+        known = marks.select("repo", F.col("mark").alias("__known"))
+        days = days.join(known, "repo", "left").select("repo", "__day", F.greatest("__before", "__known").alias("__before"))
     today = per_poll.withColumn("__today", F.max("__newest").over(earlier(["repo", "__day"], "poll_ts")))
-    marks = (
+    at_poll = (
         today.join(days, ["repo", "__day"])
         .withColumn("mark", F.greatest(start, "__before", "__today"))
         .filter(F.col("__newest") > F.col("mark"))
         .select("repo", "poll_ts", "mark")
     )
-    return polls.join(marks, ["repo", "poll_ts"]).filter(F.col("last_updated") > F.col("mark"))
-
+    return polls.join(at_poll, ["repo", "poll_ts"]).filter(F.col("last_updated") > F.col("mark"))
 
-def pull_request_updates(polls: DataFrame, rules: DataFrame, start: Column, *, limit: int = HOT_ROWS) -> DataFrame:
-    """Pull requests with a new commit or comment, per poll.
 
-    ``polls``: poll_ts, repo, number, base_ref, oid, committed_at, comment_id,
-    comment_at, comment_body and any other columns. Adds ``last_updated``,
-    ``mark``, ``new_commit`` and ``new_comment``.
-    """
+def watched_pull_requests(polls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Polled pull requests on a watched base branch, with ``last_updated``."""
     wanted = with_rule_defaults(rules).select("repo", F.col("branch_pattern").alias("__pattern"))
-    matching = (
+    return (
         polls.join(wanted, "repo")
         .filter(F.rlike("base_ref", F.col("__pattern")))
         .drop("__pattern")
         .withColumn("last_updated", last_updated(F.col("committed_at"), F.col("comment_at")))
     )
-    fresh = _above_mark(matching, start)
-    seen = with_running(
-        fresh,
-        ["repo", "number"],
-        ["poll_ts"],
-        {"__prev": latest(F.struct("oid", F.coalesce("comment_body", F.lit("")).alias("body")))},
-        limit=limit,
-        sizes=polls,
-    )
-    first = F.col("__prev").isNull()
-    has_comment = F.coalesce(F.col("comment_id"), F.lit("")) != ""
+
+
+def pull_request_version() -> Column:
+    """What is remembered of a pull request between polls."""
+    return F.struct("oid", F.coalesce("comment_body", F.lit("")).alias("body"))
+
+
+def with_pull_request_news(seen: DataFrame, previous: str) -> DataFrame:
+    """Rows with ``new_commit`` or ``new_comment`` against the ``previous`` version."""
+    first = F.col(previous).isNull()
+    has_comment = F.coalesce("comment_id", F.lit("")) != ""
     flagged = seen.withColumns(
         {
-            "new_commit": F.when(first, F.col("committed_at") > F.col("mark")).otherwise(F.col("__prev.oid") != F.col("oid")),
+            "new_commit": F.when(first, F.col("committed_at") > F.col("mark")).otherwise(F.col(f"{previous}.oid") != F.col("oid")),
             "new_comment": F.when(first, has_comment).otherwise(
-                F.col("__prev.body") != F.coalesce("comment_body", F.lit(""))
+                F.col(f"{previous}.body") != F.coalesce("comment_body", F.lit(""))
             ),
         }
     )
-    return flagged.filter(F.col("new_commit") | F.col("new_comment")).drop("__prev")
+    return flagged.filter(F.col("new_commit") | F.col("new_comment")).drop(previous)
+
+
+def pull_request_updates(polls: DataFrame, rules: DataFrame, start: Column, *, limit: int = HOT_ROWS) -> DataFrame:
+    """Pull requests with a new commit or comment, per poll.
+
+    ``polls``: poll_ts, repo, number, base_ref, oid, committed_at, comment_id,
+    comment_at, comment_body and any other columns. Adds ``last_updated``,
+    ``mark``, ``new_commit`` and ``new_comment``.
+    """
+    fresh = newer_than_mark(watched_pull_requests(polls, rules), start)
+    remembered = {"__prev": latest(pull_request_version())}
+    seen = with_running(fresh, ["repo", "number"], ["poll_ts"], remembered, limit=limit, sizes=polls)
+    return with_pull_request_news(seen, "__prev")
 
 
 def branch_updates(polls: DataFrame, start: Column, *, limit: int = HOT_ROWS) -> DataFrame:
     """Branches whose head changed, per poll; ``polls``: poll_ts, repo, name,
     oid, committed_at. No branch pattern applies. Adds ``mark``."""
-    fresh = _above_mark(polls.withColumn("last_updated", F.col("committed_at")), start)
+    fresh = newer_than_mark(polls.withColumn("last_updated", F.col("committed_at")), start)
     seen = with_running(fresh, ["repo", "name"], ["poll_ts"], {"__prev": latest(F.struct("oid"))}, limit=limit, sizes=polls)
     changed = F.col("__prev").isNull() | (F.col("__prev.oid") != F.col("oid"))
     return seen.filter(changed).drop("__prev", "last_updated")

@@ -310,6 +310,23 @@ def _shown_values(commands: list[Command], brackets: bool) -> Column:
     return F.concat(F.lit("map["), shown, F.lit("]")) if brackets else shown
 
 
+def coded_messages(messages: DataFrame, commands: list[Command], self_id: str = "", text: str = "text") -> DataFrame:
+    """Messages with what each would do to a thread: ``__asks`` (a command that
+    needs confirming), ``__runs`` (one that does not) and ``__answer``."""
+    clean = trim_space(F.replace(text, mention(self_id), F.lit("")) if self_id else F.col(text))
+    parsed = parse_commands(messages.withColumn("__clean", clean), commands, "__clean")
+    runnable = F.col("error_class").isNull() & ~F.col("requested_help")
+    return parsed.withColumns(
+        {
+            "__asks": runnable & F.col("confirm"),
+            "__runs": runnable & ~F.col("confirm"),
+            "__answer": confirm_kind(F.col("__clean")),
+            "__shown": _shown_values(commands, True),
+            "__listed": _shown_values(commands, False),
+        }
+    )
+
+
 def conversations(
     messages: DataFrame,
     commands: list[Command],
@@ -330,18 +347,7 @@ def conversations(
     that confirms or runs unconfirmed ends it. Only running sums and last
     values are needed, which hold for threads of any size.
     """
-    clean = trim_space(F.replace(text, mention(self_id), F.lit("")) if self_id else F.col(text))
-    parsed = parse_commands(messages.withColumn("__clean", clean), commands, "__clean")
-    runnable = F.col("error_class").isNull() & ~F.col("requested_help")
-    coded = parsed.withColumns(
-        {
-            "__asks": runnable & F.col("confirm"),
-            "__runs": runnable & ~F.col("confirm"),
-            "__answer": confirm_kind(F.col("__clean")),
-            "__shown": _shown_values(commands, True),
-            "__listed": _shown_values(commands, False),
-        }
-    )
+    coded = coded_messages(messages, commands, self_id, text)
     yes, no = F.col("__answer").eqNullSafe("CONFIRM"), F.col("__answer").eqNullSafe("ABORT")
     asks, runs = F.col("__asks"), F.col("__runs")
     idle = ~asks & ~runs
@@ -367,10 +373,11 @@ def conversations(
         .running({"__confirmed": latest(F.col("__final"))})
         .rows()
     )
-    return _with_replies(settled, commands, messages.columns)
+    return with_replies(settled, commands, messages.columns)
 
 
-def _with_replies(settled: DataFrame, commands: list[Command], columns: list[str]) -> DataFrame:
+def with_replies(settled: DataFrame, commands: list[Command], columns: list[str]) -> DataFrame:
+    """Phase, reply and started run of coded messages whose phase is known."""
     done = F.col("__confirmed").isNotNull()
     phase = F.when(done, "confirmed").when(F.col("__phase") == 1, "confirm").otherwise("init")
     help_by_command = F.create_map(*[F.lit(x) for c in commands for x in (c.name, c.help_text())])

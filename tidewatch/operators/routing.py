@@ -52,10 +52,10 @@ def admit(events: DataFrame, keys: list[str], window: str, order: list[str], cap
 
 def admission_counts(events: DataFrame, keys: list[str], window: str, ts: str, cap: int = CHANNEL_CAP) -> DataFrame:
     """Admitted and dropped events per key and window."""
-    counted = events.groupBy(*keys, F.window(ts, window)["start"].alias("window_start")).agg(F.count("*").alias("__n"))
+    counted = events.groupBy(*keys, F.window(ts, window).alias("__w")).agg(F.count("*").alias("__n"))
     return counted.select(
         *keys,
-        "window_start",
+        F.col("__w.start").alias("window_start"),
         F.least("__n", F.lit(cap)).alias("n_admitted"),
         F.greatest(F.col("__n") - cap, F.lit(0)).alias("n_dropped"),
     )

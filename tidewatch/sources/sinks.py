@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidewatch.operators.checks import LOG_OUTPUTS
 
 
+LOG_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_statuses(statuses: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Append statuses to a parquet table. A repeated micro-batch overwrites its
     own partition, so it is written once."""
@@ -30,9 +33,9 @@ def write_logs(entries: DataFrame, outputs: dict[str, str | None], batch_id: int
         if kind == "stdout":
             entries.write.format("console").option("truncate", "false").mode("append").save()
         elif batch_id is None:
-            entries.write.mode("append").json(target)
+            entries.write.option("timestampFormat", LOG_TIME).mode("append").json(target)
         else:
-            entries.write.mode("overwrite").json(f"{target}/batch_id={batch_id}")
+            entries.write.option("timestampFormat", LOG_TIME).mode("overwrite").json(f"{target}/batch_id={batch_id}")
 
 
 def copy_objects(plan: DataFrame, partitions: int | None = None) -> DataFrame:

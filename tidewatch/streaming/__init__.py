@@ -1,0 +1 @@
+"""Streaming twins of the stateful operators."""
