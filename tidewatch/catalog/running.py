@@ -75,7 +75,7 @@ def fan_in(spark, sf):
     return routing.fan_in(orders, ev)
 
 
-@query("route_duplicate", "SELECT event_id, CAST(n AS INTEGER) AS copy FROM events, LATERAL (SELECT unnest(generate_series(1, event_id % 4)) AS n) t")
+@query("route_duplicate", "SELECT event_id, CAST(n AS BIGINT) AS copy FROM events, LATERAL (SELECT unnest(generate_series(1, event_id % 4)) AS n) t")
 def duplicate(spark, sf):
     ev = table(spark, sf, "events").select("event_id")
     return routing.duplicate(ev, F.col("event_id") % 4)

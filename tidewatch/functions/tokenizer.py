@@ -30,7 +30,8 @@ def _word(token: Column) -> Column:
     body = F.when(is_quoted, F.regexp_replace(token, rf'(?s)^"([^\\"]*+(?:{_ESCAPED}[^\\"]*+)*+)"?\z', "$1")).otherwise(token)
     # An opening quote that runs to the end of the text leaves nothing after its body.
     closed = is_quoted & token.rlike(rf'(?s)^"[^\\"]*+(?:{_ESCAPED}[^\\"]*+)*+"\z')
-    plain = F.regexp_replace(body, r'(?s)\\([^\\", \t]*)([\\", \t]?)', "$1$2")
+    unescaped = F.regexp_replace(body, r'(?s)\\([^\\", \t]*)([\\", \t]?)', "$1$2")
+    plain = F.when(F.contains(token, F.lit("\\")), unescaped).otherwise(body)
     return F.struct(plain.alias("word"), closed.alias("closed"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import last_updated, required_value, split_repo
 from tidewatch.operators.settings import with_rule_defaults
+from tidewatch.plans.expand import explode_range
 from tidewatch.plans.ordered import HOT_ROWS, latest, with_previous, with_running
 
 
@@ -33,8 +34,7 @@ def poll_snapshots(
     n_ticks = F.floor((F.unix_micros(end) - origin) / step).cast("long")
     first = F.greatest(F.lit(1), ticks_before(F.col(ts)) + 1)
     final = F.least(n_ticks, F.coalesce(ticks_before(F.col("__next")), n_ticks))
-    spans = versions.withColumns({"__first": first, "__final": final}).filter(F.col("__first") <= F.col("__final"))
-    ticks = spans.withColumn("__n", F.explode(F.sequence("__first", "__final")))
+    ticks = explode_range(versions, first, final, "__n")
     return ticks.select(F.timestamp_micros(origin + F.col("__n") * step).alias("poll_ts"), *changes.columns)
 
 

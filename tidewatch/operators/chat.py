@@ -359,7 +359,7 @@ def conversations(
     ends = ((F.col("__phase") == 0) & runs) | ((F.col("__phase") == 1) & yes)
     first_end = (F.coalesce("__done", F.lit(0)) == 0) & F.col("__ends")
     settled = (
-        OrderedGroups.split(coded, thread, order, limit)
+        OrderedGroups.split(coded, thread, order, limit, sizes=messages)
         .transform(lambda d: d.withColumns({"__swap": (asks & no).cast("int"), "__fixed": F.when(to_init, 0).when(to_confirm, 1)}))
         .running({"__swaps": running_sum(F.col("__swap"))})
         .transform(lambda d: d.withColumn("__base", (F.col("__fixed") + F.col("__swaps")) % 2))

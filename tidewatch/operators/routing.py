@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import required_value, short_id
+from tidewatch.plans.expand import explode_range
 from tidewatch.plans.ordered import HOT_ROWS, first_in_group, running_sum, with_previous, with_running
 
 # Queue sizes, events per channel and per process.
@@ -24,10 +25,7 @@ def fan_in(*inputs: DataFrame) -> DataFrame:
 
 def duplicate(df: DataFrame, n: int | Column) -> DataFrame:
     """Each event ``n`` times, numbered ``copy`` from 1."""
-    times = F.lit(n) if isinstance(n, int) else n
-    return df.select("*", F.posexplode(F.array_repeat(F.lit(True), times.cast("int"))).alias("__p", "__x")).select(
-        *df.columns, (F.col("__p") + 1).alias("copy")
-    )
+    return explode_range(df, F.lit(1), F.lit(n) if isinstance(n, int) else n, "copy")
 
 
 def broadcast_events(events: DataFrame, processes: DataFrame) -> DataFrame:
@@ -35,7 +33,7 @@ def broadcast_events(events: DataFrame, processes: DataFrame) -> DataFrame:
     return events.join(processes.select("group_id", F.col("name").alias("process")), "group_id")
 
 
-def admit(events: DataFrame, keys: list[str], window: str, order: list[str], cap: int = CHANNEL_CAP, *, salts: int = 32) -> tuple[DataFrame, DataFrame]:
+def admit(events: DataFrame, keys: list[str], window: str, order: list[str], cap: int = CHANNEL_CAP) -> tuple[DataFrame, DataFrame]:
     """Load shedding: (admitted, dropped).
 
     Each key takes the first ``cap`` events of a window (``window`` is a
@@ -44,7 +42,7 @@ def admit(events: DataFrame, keys: list[str], window: str, order: list[str], cap
     ts = order[0]
     binned = events.withColumn("window_start", F.window(ts, window)["start"])
     group = [*keys, "window_start"]
-    admitted = first_in_group(binned, group, order, cap, salts=salts)
+    admitted = first_in_group(binned, group, order, cap)
     full = admitted.filter(F.col("position") == cap).select(*group, F.struct(*order).alias("__last"))
     dropped = binned.join(full, group).filter(F.struct(*order) > F.col("__last")).drop("__last")
     return admitted, dropped

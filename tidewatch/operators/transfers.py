@@ -107,19 +107,19 @@ def parse_transfer_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def transfer_manifest(records: DataFrame, target: str = ".", *, max_depth: int = 1000, limit: int = HOT_ROWS) -> DataFrame:
+def transfer_manifest(records: DataFrame, target: str = ".", *, limit: int = HOT_ROWS) -> DataFrame:
     """Every file and directory of a session with its full path.
 
     ``records``: session, seq_no, record, length, name, error. A session ends at
     its first error, or at the second end-of-directory beyond the outermost one.
     The directory a record lies in is the last one opened a level above it, so
-    the nesting is resolved with running values per (session, level), then one
-    join per level.
+    the nesting is resolved with running values per (session, level), then by
+    a number of joins that grows with the logarithm of the depth.
     """
     first_error = records.filter(F.col("error").isNotNull()).groupBy("session").agg(F.min("seq_no").alias("__stop"))
     nested = records.filter(F.col("record").isin("C", "D", "E") & F.col("error").isNull())
     step = F.when(F.col("record") == "D", 1).when(F.col("record") == "E", -1).otherwise(0)
-    depth = with_running(nested, ["session"], ["seq_no"], {"__depth": running_sum(step)}, limit=limit)
+    depth = with_running(nested, ["session"], ["seq_no"], {"__depth": running_sum(step)}, limit=limit, sizes=records)
 
     # The outermost level may be left once; leaving it again is tolerated one
     # time (and changes nothing), any later end of directory ends the session.
@@ -149,25 +149,27 @@ def transfer_manifest(records: DataFrame, target: str = ".", *, max_depth: int =
         limit=limit,
     )
     parents = marked.filter(~F.col("__opens")).select("session", "seq_no", "__parent")
-    tree = cut(live.join(parents, ["session", "seq_no"]).select("session", "seq_no", "record", "name", "length", "__level", "__parent"))
-    return _with_paths(tree, target, max_depth)
+    tree = live.join(parents, ["session", "seq_no"]).select("session", "seq_no", "record", "name", "length", "__parent")
+    return _with_paths(cut(tree), target)
 
 
-def _with_paths(tree: DataFrame, target: str, max_depth: int) -> DataFrame:
-    """Paths from the outermost level inwards, one level per round."""
-    columns = ["session", "seq_no", "record", "path", "parent", "length"]
+def _with_paths(tree: DataFrame, target: str) -> DataFrame:
+    """Full paths of a tree of records.
+
+    Directories first: every round, each one that does not yet reach the top puts
+    the path of the directory it has reached before its own, which doubles the
+    part resolved. Files then take the path of their directory.
+    """
     root = F.lit(target)
-    level = tree.filter(F.col("__parent").isNull())
-    level = level.select("session", "seq_no", "record", join_path(root, F.col("name")).alias("path"), clean_path(root).alias("parent"), "length")
-    out = level
-    below = tree.filter(F.col("__parent").isNotNull())
-    for _ in range(max_depth):
-        folders = level.filter(F.col("record") == "D").select("session", F.col("seq_no").alias("__parent"), F.col("path").alias("parent"))
-        level = cut(below.join(folders, ["session", "__parent"]).withColumn("path", join_path(F.col("parent"), F.col("name"))).select(*columns))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"directories nest deeper than {max_depth}")
+    folders = tree.filter(F.col("record") == "D").select("session", F.col("seq_no").alias("__dir"), F.col("name").alias("__path"), F.col("__parent").alias("__up"))
+    while not folders.filter(F.col("__up").isNotNull()).isEmpty():
+        above = folders.select("session", F.col("__dir").alias("__up"), F.col("__path").alias("__above"), F.col("__up").alias("__next"))
+        joined = folders.join(above, ["session", "__up"], "left")
+        path = F.concat_ws("/", "__above", "__path")
+        folders = cut(joined.select("session", "__dir", path.alias("__path"), F.col("__next").alias("__up")))
+    resolved = folders.select("session", F.col("__dir").alias("__parent"), join_path(root, F.col("__path")).alias("parent"))
+    placed = tree.join(resolved, ["session", "__parent"], "left").withColumn("parent", F.coalesce("parent", clean_path(root)))
+    return placed.select("session", "seq_no", "record", join_path(F.col("parent"), F.col("name")).alias("path"), "parent", "length")
 
 
 def directory_bytes(manifest: DataFrame) -> DataFrame:

@@ -58,11 +58,13 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 def heavy_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Keys holding more than ``limit`` rows: at most rows / limit of them."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("n_rows"))
-        .filter((F.col("n_rows") > limit) & functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    )
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > limit)
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """``right`` with renamed keys, and the null-safe match with ``left``."""
+    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    return renamed, functools.reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys])
 
 
 def _ordering(order: list[str], reverse: bool) -> list[Column]:
@@ -124,14 +126,15 @@ class OrderedGroups:
         n_keys, n_rows = heavy.agg(F.count("*"), F.sum("n_rows")).first()
         if n_keys == 0:
             return cls(keys, order, df, None, 0, limit)
-        side = bounded_broadcast(heavy.select(*keys), n_keys)
+        side, match = _same_keys(df, heavy.select(*keys), keys)
+        side = bounded_broadcast(side, n_keys)
         n_chunks = 2 * math.ceil(n_rows / limit)
         chunked = cut(
-            df.join(side, keys, "left_semi")
+            df.join(side, match, "left_semi")
             .repartitionByRange(n_chunks, *keys, *order)
             .withColumn(_CHUNK, F.spark_partition_id())
         )
-        return cls(keys, order, df.join(side, keys, "left_anti"), chunked, n_chunks + n_keys, limit)
+        return cls(keys, order, df.join(side, match, "left_anti"), chunked, n_chunks + n_keys, limit)
 
     def transform(self, step: Callable[[DataFrame], DataFrame]) -> OrderedGroups:
         """Apply a row-wise step to all rows."""
@@ -164,7 +167,8 @@ class OrderedGroups:
             *[_local(Running(run.kind, F.col(f"__t_{name}")), before).alias(f"__c_{name}") for name, run in runs.items()],
         )
         local = self._windowed(self.heavy, group, runs, reverse)
-        combined = local.join(bounded_broadcast(carried, self.n_chunks), group, "left")
+        side, match = _same_keys(local, carried, group)
+        combined = local.join(bounded_broadcast(side, self.n_chunks), match, "left")
         return combined.select(
             *self.heavy.columns,
             *[_combine(run, F.col(name), F.col(f"__c_{name}")).alias(name) for name, run in runs.items()],
@@ -198,14 +202,19 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: dict
     return wide.select(*df.columns, F.col(packed).isNull().alias("is_first"), *[F.col(f"{packed}.{n}").alias(n) for n in values])
 
 
-def first_in_group(df: DataFrame, keys: list[str], order: list[str], n: int, *, salts: int = 32) -> DataFrame:
+def first_in_group(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each group with their rank ``position``.
 
-    Ranks within salted parts first, so at most ``n * salts`` rows of a group
-    reach the final ranking whatever the size of the group.
+    A tree of rankings: within the rows a task read, within the survivors of 256
+    such tasks, then over the group. No step ranks more than one task's input,
+    or ``256 * n`` rows, or ``n`` rows per 256 tasks at the end.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    part = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    kept = salted.withColumn("__rank", F.row_number().over(part)).filter(F.col("__rank") <= n)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    return kept.withColumn("position", F.row_number().over(whole)).filter(F.col("position") <= n).drop("__salt", "__rank")
+    part = df.withColumn("__part", F.spark_partition_id())
+    for group in ([*keys, "__part"], [*keys, "__parts"], keys):
+        window = Window.partitionBy(*group).orderBy(*order)
+        part = part.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= n)
+        if group[-1] == "__part":
+            part = part.withColumn("__parts", F.floor(F.col("__part") / 256)).drop("position")
+        elif group[-1] == "__parts":
+            part = part.drop("position")
+    return part.drop("__part", "__parts")

@@ -5,28 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BLOCK = 4096
+from tidewatch.plans.expand import explode_range
 
 
 def ticker_events(spans: DataFrame, period_seconds: int, start: str = "start", end: str = "end") -> DataFrame:
     """Ticks of each span: one per period, the first one period after the start,
     the last not after the end. Adds ``tick_no`` (from 1) and ``tick``.
-
-    Long spans are cut into blocks first, so no row holds more than a block.
     """
     if period_seconds <= 0:
         raise ValueError("a ticker needs a period")
     step = period_seconds * 1_000_000
-    n = F.floor((F.unix_micros(end) - F.unix_micros(start)) / step).cast("long")
-    blocks = (
-        spans.withColumn("__n", n)
-        .filter(F.col("__n") >= 1)
-        .withColumn("__block", F.explode(F.sequence(F.lit(1).cast("long"), "__n", F.lit(_BLOCK).cast("long"))))
-    )
-    last = F.least(F.col("__block") + _BLOCK - 1, F.col("__n"))
-    ticks = blocks.withColumn("tick_no", F.explode(F.sequence("__block", last)))
-    at = F.timestamp_micros(F.unix_micros(start) + F.col("tick_no") * step)
-    return ticks.select(*spans.columns, "tick_no", at.alias("tick"))
+    n_ticks = F.floor((F.unix_micros(end) - F.unix_micros(start)) / step)
+    ticks = explode_range(spans, F.lit(1), n_ticks, "tick_no")
+    return ticks.withColumn("tick", F.timestamp_micros(F.unix_micros(start) + F.col("tick_no") * step))
 
 
 def stream_ticks(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
