@@ -264,7 +264,7 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
     long = lambda c: F.col(c).cast("long")
     return items.select(
         F.col("l_orderkey").alias("run_id"),
-        ((long("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("seq_no"),
+        (((long("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 100 + long("l_quantity")).alias("seq_no"),
         (F.col("l_linenumber") >= 6).alias("is_deferred"),
         F.when(F.col("l_returnflag") == "R", F.concat_ws("-", F.lit("err"), "l_linenumber", "l_partkey")).alias("error"),
         F.concat_ws("-", F.lit("v"), "l_partkey", "l_suppkey").alias("value"),
@@ -273,7 +273,7 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STEPS_SQL = """
-steps AS (SELECT l_orderkey AS run_id, (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey AS seq_no, l_linenumber >= 6 AS is_deferred,
+steps AS (SELECT l_orderkey AS run_id, ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS seq_no, l_linenumber >= 6 AS is_deferred,
   CASE WHEN l_returnflag = 'R' THEN concat_ws('-', 'err', l_linenumber, l_partkey) END AS error,
   concat_ws('-', 'v', l_partkey, l_suppkey) AS value, l_shipdate AS ended_at FROM lineitem),
 walked AS (SELECT *, coalesce(sum(CASE WHEN NOT is_deferred AND error IS NOT NULL THEN 1 END) OVER (
@@ -390,7 +390,7 @@ def group_exit_codes(spark, sf):
 
 
 FLEET_SQL = """
-results AS (SELECT l_orderkey AS run_id, 'h' || (l_suppkey % 3) AS host, (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey AS seq_no,
+results AS (SELECT l_orderkey AS run_id, 'h' || (l_suppkey % 3) AS host, ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS seq_no,
   CASE WHEN l_returnflag = 'R' THEN concat_ws('-', 'err', l_linenumber, l_partkey) END AS error, concat_ws('-', 'v', l_partkey, l_suppkey) AS value, l_shipdate AS ended_at FROM lineitem),
 hosts AS (SELECT DISTINCT run_id, host FROM results UNION SELECT o_orderkey, 'h9' FROM orders WHERE o_orderstatus = 'P'),
 commands AS (SELECT o_orderkey AS run_id, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
@@ -406,7 +406,7 @@ per_host AS (SELECT h.run_id, h.host, s.value, s.error, s.error IS NULL AS ok, e
 def fleet(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers modulo three are the hosts of an order, its lines the results;
     pending orders have a host that ran nothing, failed ones no commands."""
-    results = steps(spark, sf).withColumn("host", F.concat(F.lit("h"), F.col("seq_no") % 100_000 % 3))
+    results = steps(spark, sf).withColumn("host", F.concat(F.lit("h"), F.floor(F.col("seq_no") / 100) % 100_000 % 3))
     orders = table(spark, sf, "orders")
     idle = orders.filter(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("run_id"), F.lit("h9").alias("host"))
     hosts = results.select("run_id", "host").unionByName(idle)

@@ -212,7 +212,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     long = lambda c: F.col(c).cast("long")
     return items.select(
         F.col("l_orderkey").alias("session"),
-        ((long("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("seq_no"),
+        (((long("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 100 + long("l_quantity")).alias("seq_no"),
         record.alias("record"),
         F.col("l_partkey").alias("length"),
         F.concat(F.lower(record), "l_partkey").alias("name"),
@@ -222,7 +222,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 MANIFEST_SQL = """
 numbered AS (
-  SELECT l_orderkey AS session, (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey AS seq_no, l_partkey AS length, l_quantity = 50 AS failed,
+  SELECT l_orderkey AS session, ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS seq_no, l_partkey AS length, l_quantity = 50 AS failed,
     CASE WHEN l_returnflag = 'R' THEN 'E' WHEN l_linenumber % 2 = 1 THEN 'D' ELSE 'C' END AS record FROM lineitem),
 ordered AS (SELECT *, CASE record WHEN 'D' THEN 'd' ELSE 'c' END || length AS name, row_number() OVER (PARTITION BY session ORDER BY seq_no) AS n FROM numbered),
 walk AS (

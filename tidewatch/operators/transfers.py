@@ -110,7 +110,8 @@ def parse_transfer_records(lines: DataFrame) -> DataFrame:
 def transfer_manifest(records: DataFrame, target: str = ".", *, limit: int = HOT_ROWS) -> DataFrame:
     """Every file and directory of a session with its full path.
 
-    ``records``: session, seq_no, record, length, name, error. A session ends at
+    ``records``: session, seq_no (unique in it), record, length, name, error. A
+    session ends at
     its first error, or at the second end-of-directory beyond the outermost one.
     The directory a record lies in is the last one opened a level above it, so
     the nesting is resolved with running values per (session, level), then by
@@ -137,19 +138,14 @@ def transfer_manifest(records: DataFrame, target: str = ".", *, limit: int = HOT
         .drop("__stop", "__spare", "__over")
     )
 
-    opened = live.filter(F.col("record") == "D").select(
-        "session", (F.col("__level") + 1).alias("__inside"), "seq_no", F.col("seq_no").alias("__dir"), F.lit(True).alias("__opens")
+    # every record looks for the last directory opened into its own level
+    own = F.col("seq_no").cast("long")
+    members = live.withColumns({"__inside": F.col("__level"), "__opens": F.lit(False), "__dir": F.lit(None).cast("long")})
+    opened = live.filter(F.col("record") == "D").withColumns({"__inside": F.col("__level") + 1, "__opens": F.lit(True), "__dir": own})
+    placed = with_running(
+        members.unionByName(opened), ["session", "__inside"], ["seq_no", "__opens"], {"__parent": latest(F.col("__dir"))}, limit=limit
     )
-    members = live.select("session", F.col("__level").alias("__inside"), "seq_no", F.lit(None).cast("long").alias("__dir"), F.lit(False).alias("__opens"))
-    marked = with_running(
-        opened.withColumn("__dir", F.col("__dir").cast("long")).unionByName(members),
-        ["session", "__inside"],
-        ["seq_no", "__opens"],
-        {"__parent": latest(F.col("__dir"))},
-        limit=limit,
-    )
-    parents = marked.filter(~F.col("__opens")).select("session", "seq_no", "__parent")
-    tree = live.join(parents, ["session", "seq_no"]).select("session", "seq_no", "record", "name", "length", "__parent")
+    tree = placed.filter(~F.col("__opens")).select("session", own.alias("seq_no"), "record", "name", "length", "__parent")
     return _with_paths(cut(tree), target)
 
 
