@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from tidewatch.functions import text as X
 from tidewatch.functions.predicates import at_level, contains
 from tidewatch.operators import checks, diffs, jobs, logs, settings, transfers
-from tidewatch.session import ship_package
 from tidewatch.sources import files, sinks
 from tidewatch.sources.ticks import stream_ticks, ticker_events
 from tidewatch.streaming.jobs import run_once
@@ -195,7 +194,6 @@ def test_files_and_copies(spark, tmp_path, capsys):
         F.concat(F.lit(f"{tmp_path}/in/"), "rel_path").alias("src"), F.concat(F.lit(f"{tmp_path}/out/"), "rel_path").alias("dest"), F.lit(None).cast("string").alias("error")
     )
     extra = spark.createDataFrame([("/none", f"{tmp_path}/out/x", None), ("/none", None, "refused")], "src string, dest string, error string")
-    ship_package(spark)
     done = {r.dest: (r.bytes, r.error) for r in sinks.copy_objects(plan.unionByName(extra), partitions=2).collect()}
     assert done[f"{tmp_path}/out/sub/b.txt"] == (2, None) and done[None] == (None, "refused")
     assert done[f"{tmp_path}/out/x"][0] is None and done[f"{tmp_path}/out/x"][1]

@@ -10,7 +10,7 @@ from tidewatch.catalog.registry import query, table
 from tidewatch.functions import text as X
 from tidewatch.functions.user import define_function, host_function
 from tidewatch.operators import checks, logs, settings, transfers
-from tidewatch.session import ship_package
+from tidewatch.session import send_by_value
 from tidewatch.sources.files import file_listing
 
 TRIM_SQL = r"regexp_replace({}, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g')"
@@ -566,6 +566,8 @@ def _half(key: int, status: str) -> int:
 
 @query("function_host", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderkey // 2 END AS half, CASE WHEN o_orderstatus = 'F' THEN 'order ' || o_orderkey || ' failed' END AS error FROM orders")
 def host(spark, sf):
-    ship_package(spark)
     called = host_function(_half, "bigint")(F.col("o_orderkey"), F.col("o_orderstatus"))
     return table(spark, sf, "orders").select("o_orderkey", called.alias("r")).select("o_orderkey", F.col("r.value").alias("half"), "r.error")
+
+
+send_by_value(__name__)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import chatting, running, shaping, watching
 from tidewatch.catalog.registry import ORACLES, query
 from tidewatch.operators import logs, outcomes, routing
-from tidewatch.session import shared_folder, ship_package
+from tidewatch.session import shared_folder
 from tidewatch.sources.sinks import write_logs
 from tidewatch.streaming.admission import stream_admission_counts, stream_admit
 from tidewatch.streaming.conversations import stream_conversations
@@ -33,7 +33,6 @@ def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("stream_pull_request_updates", ORACLES["watch_pull_request_updates"])
 def pr_updates(spark, sf):
-    ship_package(spark)
     polls = streamed(spark, watching.polls(spark, sf), "polls")
     found = stream_pr_updates(polls, watching.rules(spark, sf), watching.start(), shared_folder(spark, "pr-updates"))
     return watching.shown_updates(found)
@@ -41,7 +40,6 @@ def pr_updates(spark, sf):
 
 @query("stream_branch_updates", ORACLES["watch_branch_updates"])
 def branch_updates(spark, sf):
-    ship_package(spark)
     polls = streamed(spark, watching.heads(spark, sf), "heads")
     found = stream_branch_updates(polls, F.lit("1995-06-01").cast("timestamp"), shared_folder(spark, "branch-updates"))
     return watching.shown_branches(found)
@@ -49,7 +47,6 @@ def branch_updates(spark, sf):
 
 @query("stream_conversations", ORACLES["chat_conversations"])
 def conversations(spark, sf):
-    ship_package(spark)
     said = chatting.as_talk(source(spark, sf, "events"))
     handled = stream_conversations(said, chatting.TALK, thread=["thread"], order=["ts", "event_id"], self_id="BOT")
     folder = shared_folder(spark, "conversations")
@@ -59,7 +56,6 @@ def conversations(spark, sf):
 
 @query("stream_admit", ORACLES["route_admit"])
 def admit(spark, sf):
-    ship_package(spark)
     numbered = stream_admit(source(spark, sf, "events"), ["event_type"], "1 day", ["ts", "event_id"])
     folder = shared_folder(spark, "admit")
     run_once(to_files(numbered, f"{folder}/out", f"{folder}/checkpoint"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import send_by_value
+
 
 def define_function(spark: SparkSession, name: str, params: dict[str, str], body: str, returns: str) -> None:
     """A typed temporary SQL function, checked when it is defined and inlined by
@@ -39,3 +41,6 @@ def host_function(function: Callable, returns: T.DataType | str) -> Callable[...
         return pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return call
+
+
+send_by_value(__name__)

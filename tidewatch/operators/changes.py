@@ -64,7 +64,10 @@ def newer_than_mark(polls: DataFrame, start: Column, marks: DataFrame | None = N
     (repo, poll): within a day, and then from day to day, so no window holds
     more than a day of polls.
     """
-    per_poll = polls.groupBy("repo", F.to_date("poll_ts").alias("__day"), "poll_ts").agg(F.max("last_updated").alias("__newest"))
+    # the filters that the joins below would add are stated here, so that both
+    # uses of per_poll are one and the same shuffle
+    dated = polls.filter(F.col("repo").isNotNull() & F.col("poll_ts").isNotNull() & F.col("last_updated").isNotNull())
+    per_poll = dated.groupBy("repo", F.to_date("poll_ts").alias("__day"), "poll_ts").agg(F.max("last_updated").alias("__newest"))
     per_day = per_poll.groupBy("repo", "__day").agg(F.max("__newest").alias("__of_day"))
     earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     days = per_day.select("repo", "__day", F.max("__of_day").over(earlier(["repo"], "__day")).alias("__before"))

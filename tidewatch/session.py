@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,14 +50,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, for the few operators that run
-    Python code in tasks. Not needed where the package is installed."""
-    target = Path(tempfile.gettempdir()) / f"tidewatch-{spark.sparkContext.applicationId}.zip"
-    if target.exists():
-        return
-    root = Path(__file__).resolve().parent
-    with zipfile.ZipFile(target, "w") as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.write(path, path.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
+def send_by_value(module: str) -> None:
+    """Send the Python code a module runs in tasks along with the tasks, so that
+    the workers need not have this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.checks import LOG_OUTPUTS
+from tidewatch.session import send_by_value
 
 
 LOG_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -91,3 +92,6 @@ def for_each_event(action: Callable[[DataFrame, int], None]) -> Callable[[DataFr
             action(batch.withColumn("batch_id", F.lit(batch_id)), batch_id)
 
     return run
+
+
+send_by_value(__name__)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.routing import CHANNEL_CAP, admission_counts
+from tidewatch.session import send_by_value
 from tidewatch.streaming.jobs import use_rocksdb
 
 
@@ -63,3 +64,6 @@ def stream_admission_counts(
     """Admitted and dropped counts of each closed window: a plain windowed
     aggregate, combined before the shuffle."""
     return admission_counts(events.withWatermark(ts, lateness), keys, window, ts, cap)
+
+
+send_by_value(__name__)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.chat import Command, coded_messages, with_replies
+from tidewatch.session import send_by_value
 from tidewatch.streaming.jobs import use_rocksdb
 
 _CHAT = "struct<command:string,values:map<string,array<string>>,__shown:string,__listed:string>"
@@ -73,3 +74,6 @@ def stream_conversations(
     )
     settled = moved.withColumns({n: F.from_json(n, _CHAT) for n in ("__pending", "__confirmed", "__final")})
     return with_replies(settled, commands, messages.columns)
+
+
+send_by_value(__name__)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators import changes
+from tidewatch.session import send_by_value
 from tidewatch.streaming.jobs import run_once, stream_table, to_files, use_rocksdb
 
 
@@ -130,3 +131,6 @@ def stream_branch_updates(polls: DataFrame, start: Column, state: str) -> DataFr
         return seen.filter(changed).drop("__prev", "__body", "last_updated")
 
     return _updates_once(polls, prepare, start, ["repo", "name"], news, state)
+
+
+send_by_value(__name__)
