@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import escape_control
-from tidewatch.plans.ordered import HOT_ROWS, latest, running_sum, with_running
+from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, latest, running_max, running_sum
 from tidewatch.session import cut
 
 
@@ -117,34 +117,37 @@ def transfer_manifest(records: DataFrame, target: str = ".", *, limit: int = HOT
     the nesting is resolved with running values per (session, level), then by
     a number of joins that grows with the logarithm of the depth.
     """
-    first_error = records.filter(F.col("error").isNotNull()).groupBy("session").agg(F.min("seq_no").alias("__stop"))
-    nested = records.filter(F.col("record").isin("C", "D", "E") & F.col("error").isNull())
-    step = F.when(F.col("record") == "D", 1).when(F.col("record") == "E", -1).otherwise(0)
-    depth = with_running(nested, ["session"], ["seq_no"], {"__depth": running_sum(step)}, limit=limit, sizes=records)
-
+    is_end, failed = F.col("record") == "E", F.col("error").isNotNull()
+    step = F.when(failed, 0).when(F.col("record") == "D", 1).when(is_end, -1).otherwise(0)
     # The outermost level may be left once; leaving it again is tolerated one
     # time (and changes nothing), any later end of directory ends the session.
-    beyond = depth.filter((F.col("record") == "E") & (F.col("__depth") == -1))
-    spare = beyond.groupBy("session").agg(F.min("seq_no").alias("__spare"))
-    over = depth.join(spare, "session").filter((F.col("record") == "E") & (F.col("seq_no") > F.col("__spare")))
-    ended = over.groupBy("session").agg(F.min("seq_no").alias("__over"))
-    stops = first_error.join(spare, "session", "full").join(ended, "session", "left")
-    tolerated = F.coalesce(F.col("seq_no") > F.col("__spare"), F.lit(False)).cast("int")
-    end = F.least("__stop", "__over")
-    live = (
-        depth.join(stops, "session", "left")
-        .filter((end.isNull() | (F.col("seq_no") < end)) & (F.col("record") != "E"))
-        .withColumn("__level", F.col("__depth") + tolerated)
-        .drop("__stop", "__spare", "__over")
+    sessions = OrderedGroups.split(
+        records.filter(F.col("record").isin("C", "D", "E") | failed), ["session"], ["seq_no"], limit, sizes=records
+    )
+    walked = (
+        sessions.running({"__depth": running_sum(step)})
+        .transform(lambda d: d.withColumn("__spare", (is_end & ~failed & (F.col("__depth") == -1)).cast("int")))
+        .running({"__finished": running_max(F.col("__spare"))})
+        .transform(lambda d: d.withColumn("__finished", F.coalesce("__finished", F.lit(0))))
+        .transform(lambda d: d.withColumn("__ends", (failed | (is_end & (F.col("__finished") == 1))).cast("int")))
+        .running({"__ended": running_max(F.col("__ends"))})
+        .rows()
+    )
+    live = walked.filter((F.greatest(F.col("__ends"), F.col("__ended")) == 0) & ~is_end).select(
+        "session", "seq_no", "record", "name", "length", (F.col("__depth") + F.col("__finished")).alias("__level")
     )
 
     # every record looks for the last directory opened into its own level
     own = F.col("seq_no").cast("long")
     members = live.withColumns({"__inside": F.col("__level"), "__opens": F.lit(False), "__dir": F.lit(None).cast("long")})
     opened = live.filter(F.col("record") == "D").withColumns({"__inside": F.col("__level") + 1, "__opens": F.lit(True), "__dir": own})
-    placed = with_running(
-        members.unionByName(opened), ["session", "__inside"], ["seq_no", "__opens"], {"__parent": latest(F.col("__dir"))}, limit=limit
-    )
+    levels = members.unionByName(opened)
+    by_level = (["session", "__inside"], ["seq_no", "__opens"])
+    if sessions.heavy is None:  # then no level of a session is large either
+        nested = OrderedGroups.of_light(levels, *by_level)
+    else:
+        nested = OrderedGroups.split(levels, *by_level, limit)
+    placed = nested.running({"__parent": latest(F.col("__dir"))}).rows()
     tree = placed.filter(~F.col("__opens")).select("session", own.alias("seq_no"), "record", "name", "length", "__parent")
     return _with_paths(cut(tree), target)
 

@@ -117,6 +117,11 @@ class OrderedGroups:
         self.keys, self.order, self.light, self.heavy = keys, order, light, heavy
         self.n_chunks, self.limit = n_chunks, limit
 
+    @classmethod
+    def of_light(cls, df: DataFrame, keys: list[str], order: list[str]) -> OrderedGroups:
+        """Groups already known to be small."""
+        return cls(keys, order, df, None, 0, HOT_ROWS)
+
     @classmethod
     def split(
         cls, df: DataFrame, keys: list[str], order: list[str], limit: int = HOT_ROWS, sizes: DataFrame | None = None
