@@ -152,6 +152,27 @@ def test_command_values(spark):
     assert [(r.Flags, r.Version, r.Other) for r in rows] == [(list(GO), "9", [""]), (["go-build"], "1", [""])]
 
 
+def test_commands_from_a_table(spark):
+    df = spark.createDataFrame(
+        [
+            (2, "stop", "halts", True, []),
+            (1, "go", "", False, [("flags", True, "", "enum", ["a", "b"], None, True), ("version", False, "v", "string", None, ["9"], False)]),
+        ],
+        "position int, name string, help string, confirm boolean, "
+        "fields array<struct<name:string,required:boolean,help:string,kind:string,enum:array<string>,default:array<string>,default_all:boolean>>",
+    )
+    commands = chat.read_commands(df)
+    assert commands == [
+        Command("go", (Field("flags", True, "", ("a", "b"), (), True), Field("version", False, "v", None, ("9",)))),
+        Command("stop", (), "halts", True),
+    ]
+    assert chat.command_schema(commands[0]).simpleString() == "struct<Flags:array<string>,Version:string>"
+    with pytest.raises(ValueError):
+        chat.read_commands(df, max_commands=1)
+    with pytest.raises(ValueError):
+        Command("go", (Field("and"),))
+
+
 DIALOG = [
     Command("deploy", (Field("target"),), confirm=True),
     Command("notify", (), confirm=True),  # its name holds "no": swaps the phases

@@ -94,6 +94,13 @@ def test_conform_rejects_unknown_columns(spark):
         settings.get_path(spark.createDataFrame([(1,)], "a int"), "a.b")
 
 
+def test_a_plain_value_for_an_embedded_field(spark):
+    inner = T.StructType([T.StructField("n", T.LongType(), metadata={"embedded": True}), T.StructField("unit", T.StringType())])
+    rows, errors = settings.conform(spark.createDataFrame([("7",), ("x",)], "size string"), T.StructType([T.StructField("size", inner)]))
+    assert [tuple(r.size) for r in rows.collect()] == [(7, "")]
+    assert [(r.size, r.field) for r in errors.collect()] == [("x", "size")]
+
+
 def test_scopes_shadow_and_cycle(spark):
     tree = spark.createDataFrame([("g", None), ("p", "g"), ("f", "p")], "scope_id string, parent_id string")
     values = spark.createDataFrame([("g", "x", "1"), ("p", "x", "2"), ("g", "y", "3"), ("f", "z", "4")], "scope_id string, name string, value string")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.predicates import confirm_kind, from_bot, mention, mentions
 from tidewatch.functions.text import SPACE, capitalize, quoted, trim_space
@@ -96,6 +97,34 @@ def help_lines(command_defs: DataFrame) -> DataFrame:
     return command_defs.select("position", "name", text.alias("help_text"))
 
 
+def read_commands(command_defs: DataFrame, max_commands: int = 1000) -> list[Command]:
+    """The dialog kept in a table: position, name, help, confirm and fields
+    array<struct<name, required, help, kind, enum, default, default_all>>.
+
+    A dialog is written by hand and goes into the plan as a constant, so a table
+    of more than ``max_commands`` is refused.
+    """
+    rows = command_defs.orderBy("position").limit(max_commands + 1).collect()
+    if len(rows) > max_commands:
+        raise ValueError(f"more than {max_commands} commands")
+
+    def one(f) -> Field:
+        enum = tuple(f["enum"] or ()) if f["kind"] == ENUM else None
+        return Field(f["name"], bool(f["required"]), f["help"] or "", enum, tuple(f["default"] or ()), bool(f["default_all"]))
+
+    return [Command(r["name"], tuple(one(f) for f in r["fields"] or ()), r["help"] or "", bool(r["confirm"])) for r in rows]
+
+
+def command_schema(command: Command) -> T.StructType:
+    """Columns of a command's event: capitalised field names, text or list."""
+    types = {STRING: T.StringType(), ENUM: T.ArrayType(T.StringType())}
+    return T.StructType([T.StructField(_column_name(f), types[f.kind]) for f in command.fields])
+
+
+def _column_name(f: Field) -> str:
+    return f.name[:1].upper() + f.name[1:]
+
+
 # --- routing -----------------------------------------------------------------
 
 
@@ -284,7 +313,7 @@ def command_values(parsed: DataFrame, command: Command) -> DataFrame:
     capitalised name, defaults where the field was not given."""
     rows = parsed.filter((F.col("command") == command.name) & F.col("error_class").isNull())
     base = [c for c in parsed.columns if c not in ("values", "error", "error_class", "confirm", "requested_help", "help_command")]
-    return rows.select(*base, *[_field_value(f).alias(f.name[:1].upper() + f.name[1:]) for f in command.fields])
+    return rows.select(*base, *[_field_value(f).alias(_column_name(f)) for f in command.fields])
 
 
 def _field_value(f: Field) -> Column:

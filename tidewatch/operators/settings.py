@@ -100,17 +100,33 @@ def fill_struct(partial: Column, given: T.StructType, schema: T.StructType) -> C
     return F.struct(*fields)
 
 
+def _converted(value: Column, given: T.DataType, wanted: T.DataType) -> Column:
+    """The value cast to the wanted type, NULL where it cannot be.
+
+    A plain value becomes a struct whose embedded field (``embedded`` in the
+    field's metadata) it fits; the other fields are zero.
+    """
+    if isinstance(wanted, T.StructType) and not isinstance(given, T.StructType):
+        for inner in wanted.fields:
+            if (inner.metadata or {}).get("embedded"):
+                cast = _converted(value, given, inner.dataType)
+                others = [(cast if f is inner else zero(f.dataType)).alias(f.name) for f in wanted.fields]
+                return F.when(cast.isNotNull(), F.struct(*others))
+    return value.try_cast(wanted)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows cast to ``schema`` and the cells that could not be cast.
 
-    Unknown columns are an error; absent ones and NULLs take the zero value.
+    Unknown columns are an error; absent ones and NULLs take the zero value; a
+    plain value may stand for a struct with an embedded field.
     The second DataFrame has one row per bad cell: the source row's columns,
     ``field`` and ``problem``.
     """
     extra = [c for c in df.columns if c not in schema.names]
     if extra:
         raise ValueError(f"unknown fields {extra}")
-    casts = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields if f.name in df.columns}
+    casts = {f.name: _converted(F.col(f.name), df.schema[f.name].dataType, f.dataType) for f in schema.fields if f.name in df.columns}
     bad = {name: F.col(name).isNotNull() & cast.isNull() for name, cast in casts.items()}
     checks = F.array(
         *[

@@ -98,9 +98,10 @@ def _updates_once(
     spark = polls.sparkSession
     use_rocksdb(spark)
     run_once(_marks_stage(polls, prepare, start, state))
-    kept = _read_if_there(spark, f"{state}/fresh")
-    schema = T.StructType([f for f in kept.schema.fields if f.name != "batch"])
-    fresh = stream_table(spark, f"{state}/fresh/*", schema)
+    nothing = changes.newer_than_mark(prepare(spark.createDataFrame([], polls.schema)), start)
+    if _read_if_there(spark, f"{state}/fresh") is None:
+        return news(nothing.withColumn("__prev", F.lit(None).cast("struct<oid:string,body:string>")))
+    fresh = stream_table(spark, f"{state}/fresh/*", nothing.schema)
     changed = news(_with_previous_version(fresh, keys))
     run_once(to_files(changed, f"{state}/updates", f"{state}/checkpoint-updates"))
     return spark.read.parquet(f"{state}/updates")
