@@ -376,7 +376,6 @@ def conversations(
     that confirms or runs unconfirmed ends it. Only running sums and last
     values are needed, which hold for threads of any size.
     """
-    coded = coded_messages(messages, commands, self_id, text)
     yes, no = F.col("__answer").eqNullSafe("CONFIRM"), F.col("__answer").eqNullSafe("ABORT")
     asks, runs = F.col("__asks"), F.col("__runs")
     idle = ~asks & ~runs
@@ -388,7 +387,8 @@ def conversations(
     ends = ((F.col("__phase") == 0) & runs) | ((F.col("__phase") == 1) & yes)
     first_end = (F.coalesce("__done", F.lit(0)) == 0) & F.col("__ends")
     settled = (
-        OrderedGroups.split(coded, thread, order, limit, sizes=messages)
+        OrderedGroups.split(messages, thread, order, limit)
+        .transform(lambda d: coded_messages(d, commands, self_id, text))
         .transform(lambda d: d.withColumns({"__swap": (asks & no).cast("int"), "__fixed": F.when(to_init, 0).when(to_confirm, 1)}))
         .running({"__swaps": running_sum(F.col("__swap"))})
         .transform(lambda d: d.withColumn("__base", (F.col("__fixed") + F.col("__swaps")) % 2))

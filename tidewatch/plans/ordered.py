@@ -113,14 +113,14 @@ class OrderedGroups:
     ``order`` must be a total order within a group.
     """
 
-    def __init__(self, keys: list[str], order: list[str], light: DataFrame, heavy: DataFrame | None, n_chunks: int, limit: int):
+    def __init__(self, keys: list[str], order: list[str], light: DataFrame, heavy: DataFrame | None = None, n_chunks: int = 0, is_cut: bool = False):
         self.keys, self.order, self.light, self.heavy = keys, order, light, heavy
-        self.n_chunks, self.limit = n_chunks, limit
+        self.n_chunks, self.is_cut = n_chunks, is_cut
 
     @classmethod
     def of_light(cls, df: DataFrame, keys: list[str], order: list[str]) -> OrderedGroups:
         """Groups already known to be small."""
-        return cls(keys, order, df, None, 0, HOT_ROWS)
+        return cls(keys, order, df)
 
     @classmethod
     def split(
@@ -130,7 +130,7 @@ class OrderedGroups:
         heavy = heavy_keys(df if sizes is None else sizes, keys, limit)
         n_keys, n_rows = heavy.agg(F.count("*"), F.sum("n_rows")).first()
         if n_keys == 0:
-            return cls(keys, order, df, None, 0, limit)
+            return cls(keys, order, df)
         side, match = _same_keys(df, heavy.select(*keys), keys)
         side = bounded_broadcast(side, n_keys)
         n_chunks = 2 * math.ceil(n_rows / limit)
@@ -139,18 +139,18 @@ class OrderedGroups:
             .repartitionByRange(n_chunks, *keys, *order)
             .withColumn(_CHUNK, F.spark_partition_id())
         )
-        return cls(keys, order, df.join(side, match, "left_anti"), chunked, n_chunks + n_keys, limit)
+        return cls(keys, order, df.join(side, match, "left_anti"), chunked, n_chunks + n_keys, is_cut=True)
 
     def transform(self, step: Callable[[DataFrame], DataFrame]) -> OrderedGroups:
         """Apply a row-wise step to all rows."""
         heavy = None if self.heavy is None else step(self.heavy)
-        return OrderedGroups(self.keys, self.order, step(self.light), heavy, self.n_chunks, self.limit)
+        return OrderedGroups(self.keys, self.order, step(self.light), heavy, self.n_chunks)
 
     def running(self, runs: dict[str, Running], reverse: bool = False) -> OrderedGroups:
         """Add one column per run, over the earlier (later) rows of the group."""
         light = self._windowed(self.light, self.keys, runs, reverse)
         heavy = None if self.heavy is None else self._carried(runs, reverse)
-        return OrderedGroups(self.keys, self.order, light, heavy, self.n_chunks, self.limit)
+        return OrderedGroups(self.keys, self.order, light, heavy, self.n_chunks)
 
     def rows(self) -> DataFrame:
         if self.heavy is None:
@@ -163,7 +163,9 @@ class OrderedGroups:
 
     def _carried(self, runs: dict[str, Running], reverse: bool) -> DataFrame:
         group = [*self.keys, _CHUNK]
-        totals = self.heavy.groupBy(*group).agg(
+        # the rows are used twice, so that a chain of steps must not redo them
+        rows = self.heavy if self.is_cut else cut(self.heavy)
+        totals = rows.groupBy(*group).agg(
             *[_total(run, self.order, reverse).alias(f"__t_{name}") for name, run in runs.items()]
         )
         before = Window.partitionBy(*self.keys).orderBy(*_ordering([_CHUNK], reverse)).rowsBetween(Window.unboundedPreceding, -1)
@@ -171,11 +173,11 @@ class OrderedGroups:
             *group,
             *[_local(Running(run.kind, F.col(f"__t_{name}")), before).alias(f"__c_{name}") for name, run in runs.items()],
         )
-        local = self._windowed(self.heavy, group, runs, reverse)
+        local = self._windowed(rows, group, runs, reverse)
         side, match = _same_keys(local, carried, group)
         combined = local.join(bounded_broadcast(side, self.n_chunks), match, "left")
         return combined.select(
-            *self.heavy.columns,
+            *rows.columns,
             *[_combine(run, F.col(name), F.col(f"__c_{name}")).alias(name) for name, run in runs.items()],
         )
 
