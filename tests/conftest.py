@@ -5,7 +5,11 @@ from tidewatch.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tidewatch-tests")
+    session = local_session(8, "tidewatch-tests")
+    # small data: compiling whole stages would take most of the time
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    return session
 
 
 @pytest.fixture(scope="session")

@@ -37,4 +37,4 @@ def test_partition_count_does_not_matter(spark, sf_dir, name):
     try:
         assert rows() == many
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -106,7 +106,7 @@ def test_streamed_pull_request_updates(spark, tmp_path):
             stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
             got = stream_pr_updates(stream, rules(spark), F.lit(at(1000)), state)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found(got) == fold(rows, at(1000))
 
 
