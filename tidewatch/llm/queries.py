@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, pii, quality_rules, rule_ensemble, simhash, url_filter
+from tidewatch.llm import decontamination, packing, pii, quality_rules, rule_ensemble, simhash, training_order, url_filter
 from tidewatch.llm.oracles import ORACLES
+from tidewatch.session import shared_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -60,3 +61,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.labelled_hosts(pages))
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as read back from the shards, with a checksum instead of the ids."""
+    written = training_order.materialise(table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
+    return written.select(
+        "doc_id", "piece", "length", "slot", "shard", (F.col("slot") % training_order.SHARD_SLOTS).alias("record"),
+        "ids_crc32", F.length("ids").cast("long").alias("record_bytes"), F.crc32("ids").alias("record_crc32"),
+    )
