@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, packing, pii, quality_rules, rule_ensemble, simhash, training_order, url_filter
+from tidewatch.llm import decontamination, hidden_markov, packing, pii, quality_rules, rule_ensemble, simhash, training_order, url_filter
 from tidewatch.llm.oracles import ORACLES
 from tidewatch.session import shared_folder
 
@@ -76,3 +76,8 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "length", "slot", "shard", (F.col("slot") % training_order.SHARD_SLOTS).alias("record"),
         "ids_crc32", F.length("ids").cast("long").alias("record_bytes"), F.crc32("ids").alias("record_crc32"),
     )
+
+
+@query
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
