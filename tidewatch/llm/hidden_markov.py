@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import id_remainder, utf8, words, worker_state
-from tidewatch.session import send_by_value, shared_folder
+from tidewatch.llm.text import id_remainder, kept, utf8, words, worker_state
+from tidewatch.session import send_by_value
 
 send_by_value(__name__)
 
@@ -59,13 +59,6 @@ class Model:
 # ---- counts
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counted: Counter[bytes] = Counter()

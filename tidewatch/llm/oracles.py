@@ -45,3 +45,18 @@ SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.verdict, CASE WHEN list_has
   ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN (SELECT * FROM fits WHERE n = 1) f USING (page_id)
 """
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS MATERIALIZED (
+  SELECT r, doc_id, s, array_to_string(list_slice(w, s, s + 12), ' ') AS p
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)
+), firsts AS (SELECT p, min(doc_id) AS first_id FROM windows GROUP BY p),
+gone AS MATERIALIZED (
+  SELECT DISTINCT r, unnest(range(s, s + 13)) AS place FROM windows JOIN firsts USING (p) WHERE first_id < doc_id
+), every AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS words FROM every ANTI JOIN gone USING (r, place) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

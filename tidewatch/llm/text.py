@@ -12,10 +12,10 @@ from types import ModuleType
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import send_by_value
+from tidewatch.session import send_by_value, shared_folder
 
 send_by_value(__name__)
 
@@ -43,3 +43,11 @@ def worker_state(key: Any, make: Callable[[], Any]) -> Any:
 def id_remainder(doc_id: Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: cuts lineage like a checkpoint,
+    and takes less room."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
