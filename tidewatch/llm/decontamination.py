@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import utf8, worker_state
+from tidewatch.llm.text import columns_of, utf8, whole_row, worker_state
 from tidewatch.session import cut, send_by_value
 
 send_by_value(__name__)
@@ -157,7 +157,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 def searched(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` packed into ``doc``, beside ``found``: n_words, hits, n_hit and items."""
     nothing = F.struct(F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), nothing.alias("found"))
+    rows = docs.select(whole_row(docs).alias("doc"), nothing.alias("found"))
     for number, block in enumerate(blocks(benchmark, block_bytes)):
         if number:  # the tables of one block only are in a worker's memory
             rows = cut(rows)
@@ -178,4 +178,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, whole and unchanged."""
-    return searched(docs, benchmark).filter(~is_contaminated(F.col("found.n_hit"), F.col("found.n_words"))).select("doc.*")
+    return searched(docs, benchmark).filter(~is_contaminated(F.col("found.n_hit"), F.col("found.n_words"))).select(*columns_of("doc", docs.columns))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.text import quoted, whole_row
 from tidewatch.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -204,20 +205,22 @@ def _joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
-def _same(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["hash"] == right["hash"])
+def _with_terms(rows: DataFrame, terms: DataFrame | None, small: bool = False) -> DataFrame:
+    """Add the term spans of each row's document, none if it has no such terms."""
+    kind = "array<struct<start:bigint,end:bigint,removed:boolean>>"
+    if terms is None:
+        return rows.withColumn("terms", F.array().cast(kind))
+    side = terms.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__of"), F.col("spans").alias("terms"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__of"))
+    joined = rows.join(F.broadcast(side) if small else side, same, "left").drop("__id", "__of")
+    return joined.withColumn("terms", F.coalesce("terms", F.array().cast(kind)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, spans per kind, base (text of the base spans), terms
     (spans of disclosing terms) and spans (text of all spans)."""
     found = cut(base(docs))
-    terms = disclosing(docs, found)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
-    if terms is None:
-        rows = found.withColumn("terms", none)
-    else:
-        rows = found.join(terms, _same(found, terms), "left").select(found["*"], F.coalesce(terms["spans"], none).alias("terms"))
+    rows = _with_terms(found, disclosing(docs, found))
     text = F.concat(*[_joined(kind, F.col(kind)) for kind in KINDS])
     return rows.select(
         "doc_id", *KINDS, "terms", F.array_join(text, ",").alias("base"), F.array_join(F.concat(text, _joined(TERM, F.col("terms"))), ",").alias("spans")
@@ -254,17 +257,16 @@ def sanitised(docs: DataFrame) -> DataFrame:
     column, is counted anew where the text changed."""
     found = cut(base(docs))
     terms = disclosing(docs, found)
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
-    if terms is None:
-        rows = packed.withColumn("terms", F.lit(None).cast("array<struct<start:bigint,end:bigint,removed:boolean>>"))
-    else:
+    packed = docs.select(whole_row(docs).alias("doc"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    small = False
+    if terms is not None:
         terms = cut(terms)
         n_bytes = terms.agg(F.coalesce(F.sum(40 + 24 * F.size("spans")), F.lit(0))).first()[0]
-        side = F.broadcast(terms) if n_bytes <= BROADCAST_BYTES else terms
-        rows = packed.join(side, _same(packed, terms), "left").select(packed["*"], terms["spans"].alias("terms"))
+        small = n_bytes <= BROADCAST_BYTES
+    rows = _with_terms(packed, terms, small)
     puts = map(_put, KINDS)
     of_terms = F.transform(
-        F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")),
+        "terms",
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("put")),
     )
     spanned = with_spans(rows).withColumn("__spans", F.array_sort(F.flatten(F.array(*puts, of_terms))))
@@ -272,7 +274,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     spanned = spanned.withColumn("__new", new)
     out = []
     for name in docs.columns:
-        old = F.col(f"doc.{name}")
+        old = F.col(f"doc.{quoted(name)}")
         if name == "text":
             old = F.col("__new")
         elif name == "n_chars":

@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.statistics import features, statistics
-from tidewatch.llm.text import id_remainder
+from tidewatch.llm.text import columns_of, id_remainder, whole_row
 from tidewatch.session import cut
 
 MAX_FIT_ROWS = 40_000
@@ -116,8 +117,6 @@ def fit(rows: DataFrame, labels: DataFrame) -> Ensemble:
     if not rules:
         return Ensemble(math.log(good / (n - good)), {})
     flags = fitting.select("label", F.array(*[condition(r).cast("double") for r in rules]).alias("flags"))
-    from pyspark.ml.functions import array_to_vector
-
     flagged = flags.select("label", array_to_vector("flags").alias("features")).coalesce(few)
     lasso = LogisticRegression(regParam=LASSO, elasticNetParam=1.0, maxIter=60, standardization=False).fit(flagged)
     weights = lasso.coefficients.toArray()
@@ -135,11 +134,10 @@ def accepted(docs: DataFrame, training: DataFrame, labels: DataFrame, cutoff: fl
     """The rows of ``docs``, whole and unchanged, whose score reaches the cutoff;
     the model is learned from ``training``."""
     model = fit(measured(training), labels)
-    columns = [F.col(f"__doc.{c}").alias(c) for c in docs.columns]
     return (
-        docs.select(F.struct(*docs.columns).alias("__doc"), statistics(F.col("text")).alias("__s"))
+        docs.select(whole_row(docs).alias("__doc"), statistics(F.col("text")).alias("__s"))
         .select("__doc", "__s.*")
         .select("__doc", *[c.alias(n) for n, c in features().items()])
         .filter(model.score() >= cutoff)
-        .select(*columns)
+        .select(*columns_of("__doc", docs.columns))
     )

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
-from tidewatch.llm.text import utf8, words
+from tidewatch.llm.text import columns_of, quoted, utf8, whole_row, words
 from tidewatch.session import cut, send_by_value
 
 send_by_value(__name__)
@@ -144,12 +144,12 @@ def hexadecimal(fp: Column) -> Column:
 def representatives(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component, whole: the one with the least id (null comes last),
     then the least hash of all columns."""
-    row = F.xxhash64(*docs.columns)
+    row = F.xxhash64(*[F.col(quoted(c)) for c in docs.columns])
     printed = _fingerprinted(docs, size, row.alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     classes = _rooted(printed.groupBy("fp").agg(first), max_bits)
     kept = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row")
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), row.alias("hash"))
+    whole = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").alias("id"), row.alias("hash"))
     same = F.col("id").eqNullSafe(kept["doc_id"]) & (F.col("hash") == kept["row"])
     # rows that are equal in every column meet in one task, as the join has dealt them
-    return whole.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("doc.*")
+    return whole.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select(*columns_of("doc", docs.columns))

@@ -40,6 +40,19 @@ def worker_state(key: Any, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name meets those an operator adds."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
+
+
+def columns_of(struct: str, names: list[str]) -> list[Column]:
+    return [F.col(f"{struct}.{quoted(name)}").alias(name) for name in names]
+
+
 def id_remainder(doc_id: Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
