@@ -1,6 +1,7 @@
-"""Chat fixtures, and the conversation phases against a direct state machine."""
+"""Chat words, commands and conversations."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,106 +12,92 @@ from tidewatch.operators import chat
 from tidewatch.operators.chat import Command, Field
 
 GO = ("go-build", "go-check")
+LETTERS = 'xyz\\", \t\né𝒳'
 
 
-def words_by_hand(text):
-    words, word, quoted, escaped = [], "", False, False
-    for ch in text:
-        if ch == "\\":
-            word, escaped = (word + "\\", False) if escaped else (word, True)
-        elif ch == '"':
-            if escaped:
-                word, escaped = word + ch, False
-            elif quoted:
-                words.append(word)
-                word, quoted = "", False
-            else:
-                quoted = True
-                words += [word] if word else []
-                word = ""
-        elif ch in ", \t":
-            if quoted or escaped:
-                word, escaped = word + ch, False
-            else:
-                words += [word] if word else []
-                word = ""
-        else:
-            word += ch
-    return words + ([word] if word else [])
-
-
-TOKENS = [
-    ("", []),
-    (", ", []),
-    ("a, b", ["a", "b"]),
-    ('"a, b"', ["a, b"]),
-    ('\\"a, b"', ['"a', "b"]),
-    ('\\\\"a, b"', ["\\", "a, b"]),
-    ('"a, \\\\"', ["a, \\"]),
-    (
-        "build gateway with flags go-build, go-check",
-        ["build", "gateway", "with", "flags", "go-build", "go-check"],
-    ),
-    (
-        'build gateway with flags "go build", "go\\"-check"',
-        ["build", "gateway", "with", "flags", "go build", 'go"-check'],
-    ),
-]
+def quoted(word):
+    return '"' + word.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def escaped(word):
+    return re.sub(r'([\\", \t])', r"\\\1", word)
+
+
+def random_words(seed, n, least):
+    draw = random.Random(seed)
+    return [["".join(draw.choices(LETTERS, k=draw.randint(least, 6))) for _ in range(draw.randint(0, 7))] for _ in range(n)]
+
 
+def tokens(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.w for r in df.select("i", tokenize(F.col("t")).alias("w")).orderBy("i").collect()]
 
-def test_tokenize_cases(spark):
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TOKENS)], "i int, t string")
-    got = {r.i: r.w for r in df.select("i", tokenize(F.col("t")).alias("w")).collect()}
-    assert got == {i: w for i, (_, w) in enumerate(TOKENS)}
 
+@pytest.mark.parametrize("write,least", [(quoted, 0), (escaped, 1)])
+def test_written_words_are_read_back(spark, write, least):
+    lists = random_words(5, 600, least)
+    draw = random.Random(6)
+    between = [", ", ",", " ", "\t", " ,,\t "]
+    texts = ["".join(draw.choice(between) + write(w) for w in words) + draw.choice(["", " ,"]) for words in lists]
+    assert tokens(spark, texts) == lists
 
-def test_tokenize_against_state_machine(spark):
-    rng = random.Random(7)
-    texts = ["".join(rng.choice('ab\\", \t\né') for _ in range(rng.randint(0, 20))) for _ in range(4000)]
-    texts.append("word " * 5000 + '"' + "x, " * 5000)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for r in df.select("i", tokenize(F.col("t")).alias("w")).collect():
-        assert r.w == words_by_hand(texts[r.i])
 
+def test_word_rules(spark):
+    cases = {
+        # separators alone, and words without any
+        "\t,, ,": [], "stop": ["stop"], "a\nb": ["a\nb"],
+        # a quote ends the word before it and closes its own, even an empty one
+        'up"and"down': ["up", "and", "down"], 'x "" y': ["x", "", "y"],
+        # an open quote takes all that is left; with nothing left there is no word
+        'say "to, the end': ["say", "to, the end"], 'end "': ["end"],
+        # a backslash frees the next special character, also one that stands apart
+        "one\\ word": ["one word"], "no\\pe, but": ["nope,", "but"], '"a\\"b" c': ['a"b', "c"],
+        # a backslash at the very end is dropped
+        "last\\": ["last"],
+    }
+    assert tokens(spark, list(cases)) == list(cases.values())
 
-FLAGS = Field("flags", enum=GO)
-VERSION = Field("version")
+
+def test_a_long_message(spark):
+    assert [len(w) for w in tokens(spark, ["word " * 5000 + quoted("x, " * 5000)])] == [5001]
+
+
+SIZE = Field("size", enum=("small", "very large"))
+REGION = Field("region")
 PARSES = [
-    ("build gateway with flags go-build, go-check", (FLAGS,), {"flags": list(GO)}, None),
-    ("build gateway with flags go-build, hello", (FLAGS,), None, "BAD_PARAMETER"),
-    (
-        'build gateway with flags "go build", "go check"',
-        (Field("flags", enum=("go build", "go check")),),
-        {"flags": ["go build", "go check"]},
-        None,
-    ),
-    (
-        "build gateway with flags go-build, go-check, with version 3.2.3",
-        (FLAGS, VERSION),
-        {"flags": list(GO), "version": ["3.2.3"]},
-        None,
-    ),
-    ("build gateway", (FLAGS, VERSION), {}, None),
-    ("build gatewaya", (), None, "NOT_FOUND"),
-    ("build gateway", (FLAGS, Field("version", required=True)), None, "BAD_PARAMETER"),
-    ("build gateway with version 3.2.3, 4.2.3", (VERSION,), None, "BAD_PARAMETER"),
-    ("build gateway with ver 3.2.3", (VERSION,), None, "BAD_PARAMETER"),
+    # a command alone, and one that only begins alike
+    ("open shop", (SIZE, REGION), {}, None),
+    ("open shopping", (), None, "NOT_FOUND"),
+    ("please open shop", (), None, "NOT_FOUND"),
+    # enum fields take several of their values, quoted where they have spaces
+    ('open shop with size "very large", small', (SIZE,), {"size": ["very large", "small"]}, None),
+    ("open shop with size huge", (SIZE,), None, "BAD_PARAMETER"),
+    # other fields take one value, and any value
+    ("open shop with region north-1", (REGION,), {"region": ["north-1"]}, None),
+    ("open shop with region north, south", (REGION,), None, "BAD_PARAMETER"),
+    # fields in any order, joined by either delimiter
+    ("open shop with region x and size small", (SIZE, REGION), {"region": ["x"], "size": ["small"]}, None),
+    ("open shop with colour red", (SIZE, REGION), None, "BAD_PARAMETER"),
+    ("open shop with size small", (SIZE, Field("region", required=True)), None, "BAD_PARAMETER"),
     # a field without values, repeated fields, a second line, a doubled delimiter
-    ("build gateway with version with flags go-build", (FLAGS, VERSION), None, "BAD_PARAMETER"),
-    ("build gateway with version 1 and version 2", (VERSION,), {"version": ["2"]}, None),
-    ("build gateway with version 1\nmore", (VERSION,), None, "NOT_FOUND"),
-    ("build gateway with with version 1", (VERSION,), None, "BAD_PARAMETER"),
-    ("build gateway version", (VERSION,), None, "BAD_PARAMETER"),
+    ("open shop with region with size small", (SIZE, REGION), None, "BAD_PARAMETER"),
+    ("open shop with region a and region b", (REGION,), {"region": ["b"]}, None),
+    ("open shop with region a\nmore", (REGION,), None, "NOT_FOUND"),
+    ("open shop with with region a", (REGION,), None, "BAD_PARAMETER"),
+    ("open shop region", (REGION,), None, "BAD_PARAMETER"),
 ]
 
 
 @pytest.mark.parametrize("text,fields,values,error_class", PARSES)
 def test_parse(spark, text, fields, values, error_class):
     df = spark.createDataFrame([(text,)], "text string")
-    row = chat.parse_commands(df, [Command("build gateway", fields)]).first()
+    row = chat.parse_commands(df, [Command("open shop", fields)]).first()
     assert (row["values"], row["error_class"]) == (values, error_class)
 
 
+FLAGS, VERSION = Field("flags", enum=GO), Field("version")
+
+
 def test_parse_messages(spark):
     texts = {
         "go x": "for command `go` parameters, expected `with` followed by parameter names",
@@ -132,17 +119,15 @@ def test_confirm_words(spark):
 
 
 def test_help(spark):
-    commands = [Command("build gateway", (FLAGS,))]
-    cases = {"help": None, "help how to build gateway": "build gateway", "helper": None, "help other": None}
-    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    commands = [Command("open shop", (SIZE, REGION)), Command("close", help="shuts the doors")]
+    asked = {"help": None, "help me to close": "close", "helpful": None, "help with nothing": None, "help open shop": "open shop"}
+    df = spark.createDataFrame([(t,) for t in asked], "text string")
     rows = chat.parse_commands(df, commands).collect()
-    assert {r.text: r.help_command for r in rows} == cases
+    assert {r.text: r.help_command for r in rows} == asked
     assert all(r.requested_help for r in rows)
-    assert chat.general_help(commands) == (
-        "Here are the supported commands:\n* `help` to print this help message\n"
-        "* `help <command>` to get help on individual command\n"
-        "* `build gateway`, parameters: `flags` one of go-build,go-check\n"
-    )
+    lines = chat.general_help(commands).splitlines()
+    assert len(lines) == 5 and lines[3].startswith("* `open shop`, parameters: `size` one of small,very large")
+    assert "`region`" in lines[3] and "shuts the doors" in lines[4]
 
 
 def test_command_values(spark):

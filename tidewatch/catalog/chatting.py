@@ -62,18 +62,24 @@ def flat_values(values: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), ";")
 
 
-_WORD_SQL = r"""(?:"[^\\"]*(?:\\[^\\", \t]*(?:[\\", \t]|$)[^\\"]*)*(?:"|$)|(?:[^\\", \t]+|\\[^\\", \t]*(?:[\\", \t]|$))+)"""
-
-
 @query(
     "chat_tokenize",
-    f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_WORD_SQL}') AS raw FROM documents),
-    w AS (SELECT doc_id, list_filter([CASE WHEN starts_with(x, '"') THEN regexp_replace(rtrim(substr(x, 2), '"'), '\\\\([^\\\\", \\t]*)([\\\\", \\t]?)', '\\1\\2', 'g')
-      ELSE regexp_replace(x, '\\\\([^\\\\", \\t]*)([\\\\", \\t]?)', '\\1\\2', 'g') END FOR x IN raw], lambda y: y <> '') AS words FROM t)
+    """WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, '"' || chr(92), ''), '[^, \\t]+') AS plain FROM documents),
+    w AS (SELECT doc_id, list_transform(plain, lambda w, i: CASE i % 4 WHEN 1 THEN w WHEN 2 THEN w || ', ' || chr(92) || w WHEN 3 THEN '' ELSE '"' || w || ' ' END) AS words FROM t)
     SELECT doc_id, len(words) AS n_words, md5(array_to_string(words, chr(31))) AS digest FROM w""",
 )
 def tokens(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.filter(tokenize(F.col("text")), lambda w: w != "").alias("words"))
+    """Messages written from the words of whole texts: plain, quoted with separators
+    and a backslash, empty, and escaped. The words must come back."""
+    plain = F.regexp_extract_all(F.translate("text", '"\\', ""), F.lit(r"[^, \t]+"), F.lit(0))
+
+    def written(word: Column, i: Column) -> Column:
+        quoted = F.concat(F.lit('"'), word, F.lit(", \\\\"), word, F.lit('"'))
+        escaped = F.concat(F.lit('\\"'), word, F.lit("\\ "))
+        return F.when(i % 4 == 0, word).when(i % 4 == 1, quoted).when(i % 4 == 2, F.lit('""')).otherwise(escaped)
+
+    message = F.array_join(F.transform(plain, written), ", ")
+    docs = table(spark, sf, "documents").select("doc_id", tokenize(message).alias("words"))
     return docs.select("doc_id", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", "\x1f").cast("binary")).alias("digest"))
 
 
