@@ -9,25 +9,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\f\r ]"
 _TRIM = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
 
-# Decimal and binary quantity suffixes.
-QUANTITY_SUFFIXES = {
-    "n": "0.000000001",
-    "u": "0.000001",
-    "m": "0.001",
-    "": "1",
-    "k": "1000",
-    "M": "1000000",
-    "G": "1000000000",
-    "T": "1000000000000",
-    "P": "1000000000000000",
-    "E": "1000000000000000000",
-    "Ki": "1024",
-    "Mi": "1048576",
-    "Gi": "1073741824",
-    "Ti": "1099511627776",
-    "Pi": "1125899906842624",
-    "Ei": "1152921504606846976",
-}
+# Powers of ten of the decimal suffixes, and the binary suffixes in
+# order, each 1024 times the one before.
+DECIMAL_EXPONENTS = {"n": "-9", "u": "-6", "m": "-3", "": "0", "k": "3", "M": "6", "G": "9", "T": "12", "P": "15", "E": "18"}
+BINARY_UNITS = ["Ki", "Mi", "Gi", "Ti", "Pi", "Ei"]
 
 
 def quoted(text: str) -> str:
@@ -121,17 +106,20 @@ def human_date(ts: Column) -> Column:
 
 
 def quantity(c: Column) -> Column:
-    """``300m``, ``1Gi``, ``2k``, ``1e3`` to a decimal; NULL when malformed."""
+    """``300m``, ``1Gi``, ``2k``, ``1e3`` to a decimal of nine places, which hold a
+    nano unit exactly; NULL when malformed or too large."""
     shape = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))(|[numkMGTPE]|[KMGTPE]i|[eE][+-]?[0-9]+)$"
-    number = F.regexp_extract(c, shape, 1)
-    suffix = F.regexp_extract(c, shape, 2)
-    factors = F.create_map(*[F.lit(x) for pair in QUANTITY_SUFFIXES.items() for x in pair])
-    is_exponent = suffix.rlike(r"^[eE][+-]?[0-9]+$")
-    scaled = number.cast("decimal(28,9)") * F.element_at(factors, suffix).cast("decimal(28,9)")
-    return F.when(
-        c.rlike(shape),
-        F.when(is_exponent, F.concat(number, suffix).cast("decimal(38,9)")).otherwise(scaled.cast("decimal(38,9)")),
-    )
+    number, suffix = F.regexp_extract(c, shape, 1), F.regexp_extract(c, shape, 2)
+    exponents = F.create_map(*[F.lit(x) for pair in DECIMAL_EXPONENTS.items() for x in pair])
+    # the exponent is read with the digits, so that nothing is multiplied
+    exponent = F.when(suffix.rlike("^[eE][+-]?[0-9]+$"), suffix).otherwise(F.concat(F.lit("e"), F.element_at(exponents, suffix)))
+    binary = number.try_cast("decimal(33,9)")
+    by_suffix = F.lit(None).cast("decimal(38,9)")
+    for unit in BINARY_UNITS:
+        binary = (binary * F.lit(1024).cast("decimal(4,0)")).try_cast("decimal(33,9)")
+        by_suffix = F.when(suffix == unit, binary.cast("decimal(38,9)")).otherwise(by_suffix)
+    decimal = F.concat(number, exponent).try_cast("decimal(38,9)")
+    return F.when(c.rlike(shape), F.when(suffix.endswith("i"), by_suffix).otherwise(decimal))
 
 
 def last_updated(committed_at: Column, commented_at: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.session import send_by_value
 
@@ -28,19 +29,23 @@ def host_function(function: Callable, returns: T.DataType | str) -> Callable[...
     """
     declared = returns if isinstance(returns, str) else returns.simpleString()
 
-    @F.pandas_udf(f"struct<value:{declared},error:string>")
-    def call(*columns: pd.Series) -> pd.DataFrame:
-        values, errors = [], []
-        for row in zip(*columns, strict=True):
-            try:
-                values.append(function(*row))
-                errors.append(None)
-            except Exception as failure:  # noqa: BLE001 - any failure of the function is its result
-                values.append(None)
-                errors.append(str(failure) or type(failure).__name__)
-        return pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
-
-    return call
+    def over(*columns: Column) -> Column:
+        value_type = to_arrow_type(T.DataType.fromDDL(declared))
+
+        def call(*arrays: pa.Array) -> pa.Array:
+            values, errors = [], []
+            for row in zip(*[a.to_pylist() for a in arrays], strict=True):
+                try:
+                    values.append(function(*row))
+                    errors.append(None)
+                except Exception as failure:  # noqa: BLE001 - any failure of the function is its result
+                    values.append(None)
+                    errors.append(str(failure) or type(failure).__name__)
+            return pa.StructArray.from_arrays([pa.array(values, value_type), pa.array(errors, pa.string())], names=["value", "error"])
+
+        return F.arrow_udf(call, f"struct<value:{declared},error:string>")(*columns)
+
+    return over
 
 
 send_by_value(__name__)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import go_duration, go_quoted, required_value
+from tidewatch.plans.ordered import join_same
 
 SUPPORTED_KINDS = ["Job", "Deployment", "Service"]
 
@@ -18,7 +19,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], compare: list
     """
     compared = compare or [c for c in new.columns if c not in keys]
     before = old.select(*keys, F.struct(*compared).alias("__old"))
-    joined = new.join(before, keys, "left")
+    joined = join_same(new, before, keys, "left")
     change = F.when(F.col("__old").isNull(), "ADDED").when(~F.col("__old").eqNullSafe(F.struct(*compared)), "CHANGED")
     return (
         joined.withColumn("change", change)
@@ -54,7 +55,7 @@ def pod_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     keys = ["namespace", "name"]
     before = old.select(*keys, F.struct(F.col("phase"), F.col("containers")).alias("__old"))
-    joined = new.join(before, keys, "left").withColumn(
+    joined = join_same(new, before, keys, "left").withColumn(
         "container_changes", _container_changes(F.col("__old.containers"), F.col("containers"))
     )
     added = F.col("__old").isNull()
@@ -159,7 +160,7 @@ def upsert_objects(
     columns = [c for c in desired.columns if c not in keys]
     left = current.select(*keys, F.struct(*columns).alias("__cur"))
     right = desired.select(*keys, F.struct(*columns).alias("__new"))
-    joined = left.join(right, keys, "full")
+    joined = join_same(left, right, keys, "full")
     has_cur, has_new = F.col("__cur").isNotNull(), F.col("__new").isNotNull()
     action = F.when(has_cur & has_new, "UPDATE").when(has_new, "CREATE").otherwise("KEEP")
 

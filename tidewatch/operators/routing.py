@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import required_value, short_id
 from tidewatch.plans.expand import explode_range
-from tidewatch.plans.ordered import HOT_ROWS, first_in_group, running_sum, with_previous, with_running
+from tidewatch.plans.ordered import HOT_ROWS, first_in_group, join_same, running_sum, with_previous, with_running
 
 # Queue sizes, events per channel and per process.
 CHANNEL_CAP = 1024
@@ -37,15 +37,18 @@ def admit(events: DataFrame, keys: list[str], window: str, order: list[str], cap
     """Load shedding: (admitted, dropped).
 
     Each key takes the first ``cap`` events of a window (``window`` is a
-    duration such as ``1 hour`` over ``order[0]``); the newest beyond are dropped.
+    duration such as ``1 hour`` over ``order[0]``); the newest beyond are dropped,
+    and so are events without a time, which belong to no window. A null key is a
+    key like any other.
     """
     ts = order[0]
-    binned = events.withColumn("window_start", F.window(ts, window)["start"])
+    untimed = events.filter(F.col(ts).isNull()).withColumn("window_start", F.lit(None).cast("timestamp"))
+    binned = events.filter(F.col(ts).isNotNull()).withColumn("window_start", F.window(ts, window)["start"])
     group = [*keys, "window_start"]
     admitted = first_in_group(binned, group, order, cap)
     full = admitted.filter(F.col("position") == cap).select(*group, F.struct(*order).alias("__last"))
-    dropped = binned.join(full, group).filter(F.struct(*order) > F.col("__last")).drop("__last")
-    return admitted, dropped
+    beyond = join_same(binned, full, group).filter(F.struct(*order) > F.col("__last")).drop("__last")
+    return admitted, beyond.unionByName(untimed)
 
 
 def admission_counts(events: DataFrame, keys: list[str], window: str, ts: str, cap: int = CHANNEL_CAP) -> DataFrame:
@@ -63,10 +66,10 @@ def until_exit(events: DataFrame, group: list[str], order: list[str], is_exit: s
     """Events of each group up to and including its first exit event.
 
     Only the position of the first exit is aggregated, so a group may have any
-    size.
+    size. A null group is a group like any other.
     """
     exits = events.filter(F.col(is_exit)).groupBy(*group).agg(F.min(F.struct(*order)).alias("__exit"))
-    joined = events.join(exits, group, "left")
+    joined = join_same(events, exits, group, "left")
     return joined.filter(F.col("__exit").isNull() | (F.struct(*order) <= F.col("__exit"))).drop("__exit")
 
 
@@ -111,11 +114,11 @@ def run_durations(finished: DataFrame) -> DataFrame:
     )
 
 
-def process_defaults(specs: DataFrame, host: str, order: list[str], *, limit: int = HOT_ROWS) -> DataFrame:
+def process_defaults(specs: DataFrame, host: str, order: list[str]) -> DataFrame:
     """Names for unnamed processes (``host-1``, ``host-2``, ... in ``order``),
     the oneshot channel where none is watched, and ``error`` without a run."""
     unnamed = required_value(F.col("name")).isNull()
-    numbered = with_running(specs, [], order, {"__n": running_sum(unnamed.cast("long"))}, limit=limit)
+    numbered = with_running(specs, [], order, {"__n": running_sum(unnamed.cast("long"))})
     made_up = F.concat(F.lit(f"{host}-"), (F.col("__n") + 1).cast("string"))
     return numbered.withColumns(
         {

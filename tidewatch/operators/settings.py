@@ -154,23 +154,30 @@ def get_path(df: DataFrame, path: str) -> Column:
     return column
 
 
-def scope_ancestors(scopes: DataFrame, *, max_depth: int = 1000) -> DataFrame:
-    """(scope_id, ancestor_id, depth) for each scope and all that enclose it.
+def scope_ancestors(scopes: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(scope_id, ancestor_id, depth) for each scope, or each of ``start``, and all
+    that enclose it.
 
-    Walks one level of the tree per round, all scopes at once; lineage is cut
-    every few rounds.
+    Every round doubles the distance looked up, so the rounds grow with the
+    logarithm of the depth. Scopes that enclose themselves are an error.
     """
-    parents = scopes.filter(F.col("parent_id").isNotNull()).select(
+    jumps = scopes.filter(F.col("parent_id").isNotNull()).select(
         F.col("scope_id").alias("ancestor_id"), F.col("parent_id").alias("__up")
     )
-    level = scopes.select("scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("depth"))
-    closure = level
-    for depth in range(1, max_depth + 1):
-        level = cut(level.join(parents, "ancestor_id").select("scope_id", F.col("__up").alias("ancestor_id"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return closure
-        closure = closure.unionByName(level)
-    raise ValueError(f"scopes nest deeper than {max_depth} or form a cycle")
+    first = (scopes if start is None else start).select("scope_id").distinct()
+    closure = first.select("scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    distance, n_scopes = 1, scopes.count()
+    while not jumps.isEmpty():
+        if distance > n_scopes:  # no chain without a repeated scope is that long
+            raise ValueError("the scopes form a cycle")
+        farther = closure.join(jumps, "ancestor_id").select(
+            "scope_id", F.col("__up").alias("ancestor_id"), (F.col("depth") + distance).alias("depth")
+        )
+        closure = cut(closure.unionByName(farther))
+        above = jumps.select(F.col("ancestor_id").alias("__up"), F.col("__up").alias("__next"))
+        jumps = cut(jumps.join(above, "__up").select("ancestor_id", F.col("__next").alias("__up")))
+        distance *= 2
+    return closure
 
 
 def resolve_scoped(scopes: DataFrame, values: DataFrame, requests: DataFrame | None = None) -> DataFrame:
@@ -179,7 +186,7 @@ def resolve_scoped(scopes: DataFrame, values: DataFrame, requests: DataFrame | N
     With ``requests`` (scope_id, name) only those are answered; undefined ones
     come back with status NOT_FOUND.
     """
-    closure = scope_ancestors(scopes)
+    closure = scope_ancestors(scopes, requests)
     owned = values.select(F.col("scope_id").alias("ancestor_id"), "name", "value")
     if requests is not None:
         closure = closure.join(requests.select("scope_id", "name").distinct(), "scope_id")

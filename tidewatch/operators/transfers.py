@@ -69,22 +69,33 @@ def parse_transfer_records(lines: DataFrame) -> DataFrame:
     parts = F.split(rest, " ", 3)
     mode, length, name = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
     is_entry = kind.isin("C", "D")
-    octal = mode.rlike(r"^[+-]?[0-7]{1,11}$")
-    mode_value = F.conv(mode, 8, 10).cast("long")
-    length_value = F.when(length.rlike(r"^[0-9]{1,20}$"), length.try_cast("decimal(20,0)"))
+    octal = mode.rlike(r"^[+-]?[0-7]+$")
+    # a sign counts, leading zeros do not, and what is longer is out of range anyway
+    bare = F.regexp_replace(mode, r"^[+-]?0*", "")
+    size = F.when(F.length(bare) <= 11, F.coalesce(F.conv(F.when(bare != "", bare), 8, 10), F.lit("0")).try_cast("long"))
+    mode_value = F.when(mode.startswith("-"), -size).otherwise(size)
+    length_value = F.when(length.rlike(r"^[0-9]+$"), F.regexp_replace(length, r"^0+(?=.)", "").try_cast("decimal(20,0)"))
     bad_name = name.isin("", ".", "..") | name.startswith("/")
     entry_error = (
         F.when(F.size(parts) < 3, "broken command")
-        .when(~octal | (mode_value > 2147483647), "invalid mode")
+        .when(~octal | mode_value.isNull() | ~mode_value.between(-2147483648, 2147483647), "invalid mode")
         .when(length_value.isNull() | (length_value > F.lit("18446744073709551615").cast("decimal(20,0)")), "invalid length")
         .when(bad_name, "invalid name")
     )
     times = F.split(rest, " ", 4)
     numbers = F.transform(times, lambda t: F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("long")))
-    time_error = F.when(F.size(times) < 4, "broken mtime command").when(F.exists(numbers, lambda n: n.isNull()), "invalid time")
+
+    def micros(seconds: int, nanos: int) -> Column:
+        """Null beyond what a timestamp can hold."""
+        whole = F.try_multiply(F.get(numbers, F.lit(seconds)), F.lit(1_000_000).cast("long"))
+        return F.try_add(whole, F.call_function("div", F.get(numbers, F.lit(nanos)) - F.pmod(F.get(numbers, F.lit(nanos)), F.lit(1000)), F.lit(1000)))
 
     def at(seconds: int, nanos: int) -> Column:
-        return F.timestamp_micros(F.get(numbers, F.lit(seconds)) * 1_000_000 + F.floor(F.get(numbers, F.lit(nanos)) / 1000).cast("long"))
+        return F.timestamp_micros(micros(seconds, nanos))
+
+    time_error = F.when(F.size(times) < 4, "broken mtime command").when(F.exists(numbers, lambda n: n.isNull()), "invalid time").when(
+        F.exists(F.array(micros(0, 1), micros(2, 3)), lambda m: m.isNull()), "time out of range"
+    )
 
     remote = kind.isin("\x01", "\x02")
     error = (

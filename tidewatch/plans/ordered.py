@@ -67,6 +67,19 @@ def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[Data
     return renamed, functools.reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys])
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys are those of ``left``
+    (of either side in a full join)."""
+    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    match = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    joined = left.join(renamed, match, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    if how == "full":
+        joined = joined.withColumns({k: F.coalesce(k, f"__k_{k}") for k in keys})
+    return joined.drop(*[f"__k_{k}" for k in keys])
+
+
 def _ordering(order: list[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
@@ -113,7 +126,7 @@ class OrderedGroups:
     ``order`` must be a total order within a group.
     """
 
-    def __init__(self, keys: list[str], order: list[str], light: DataFrame, heavy: DataFrame | None = None, n_chunks: int = 0, is_cut: bool = False):
+    def __init__(self, keys: list[str], order: list[str], light: DataFrame | None, heavy: DataFrame | None = None, n_chunks: int = 0, is_cut: bool = False):
         self.keys, self.order, self.light, self.heavy = keys, order, light, heavy
         self.n_chunks, self.is_cut = n_chunks, is_cut
 
@@ -141,20 +154,27 @@ class OrderedGroups:
         )
         return cls(keys, order, df.join(side, match, "left_anti"), chunked, n_chunks + n_keys, is_cut=True)
 
+    @classmethod
+    def of_one(cls, df: DataFrame, order: list[str]) -> OrderedGroups:
+        """All rows as one group, in chunks at any size, so that no task holds them all."""
+        chunked = cut(df.withColumn(_ALL, F.lit(0)).repartitionByRange(*order).withColumn(_CHUNK, F.spark_partition_id()))
+        return cls([_ALL], order, None, chunked, BROADCAST_ROWS + 1, is_cut=True)
+
     def transform(self, step: Callable[[DataFrame], DataFrame]) -> OrderedGroups:
         """Apply a row-wise step to all rows."""
         heavy = None if self.heavy is None else step(self.heavy)
-        return OrderedGroups(self.keys, self.order, step(self.light), heavy, self.n_chunks)
+        light = None if self.light is None else step(self.light)
+        return OrderedGroups(self.keys, self.order, light, heavy, self.n_chunks)
 
     def running(self, runs: dict[str, Running], reverse: bool = False) -> OrderedGroups:
         """Add one column per run, over the earlier (later) rows of the group."""
-        light = self._windowed(self.light, self.keys, runs, reverse)
+        light = None if self.light is None else self._windowed(self.light, self.keys, runs, reverse)
         heavy = None if self.heavy is None else self._carried(runs, reverse)
         return OrderedGroups(self.keys, self.order, light, heavy, self.n_chunks)
 
     def rows(self) -> DataFrame:
-        if self.heavy is None:
-            return self.light
+        if self.light is None or self.heavy is None:
+            return self.light if self.heavy is None else self.heavy.drop(_CHUNK)
         return self.light.unionByName(self.heavy.drop(_CHUNK))
 
     def _windowed(self, rows: DataFrame, group: list[str], runs: dict[str, Running], reverse: bool) -> DataFrame:
@@ -196,7 +216,7 @@ def with_running(
     the same group (later rows when ``reverse``). ``order`` must be a total
     order within a group; no ``keys`` means one order over all rows."""
     if not keys:
-        return with_running(df.withColumn(_ALL, F.lit(0)), [_ALL], order, runs, reverse=reverse, limit=limit).drop(_ALL)
+        return OrderedGroups.of_one(df, order).running(runs, reverse).rows().drop(_ALL)
     return OrderedGroups.split(df, keys, order, limit, sizes).running(runs, reverse).rows()
 
 
