@@ -1,8 +1,8 @@
 """Transfers, settings, logs, diffs, sources and sinks on small fixtures."""
 
-import os
 import random
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions import text as X
 from tidewatch.functions.predicates import at_level, contains
+from tidewatch.functions.user import host_function
 from tidewatch.operators import checks, diffs, jobs, logs, settings, transfers
 from tidewatch.sources import files, sinks
 from tidewatch.sources.ticks import stream_ticks, ticker_events
@@ -110,7 +111,50 @@ def test_scopes_shadow_and_cycle(spark):
     assert {n for s, n in names if s == "f"} == {"z", "p(x)", "p(p(x))", "p(p(y))"}
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "scope_id string, parent_id string")
     with pytest.raises(ValueError):
-        settings.scope_ancestors(loop, max_depth=5)
+        settings.scope_ancestors(loop)
+    longer = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "scope_id string, parent_id string")
+    with pytest.raises(ValueError):
+        settings.scope_ancestors(longer)
+
+
+def test_scopes_of_any_depth_and_from_requests(spark):
+    chain = spark.range(40).select(F.col("id").cast("string").alias("scope_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"))
+    got = {(r.scope_id, r.ancestor_id): r.depth for r in settings.scope_ancestors(chain).collect()}
+    assert got == {(str(i), str(j)): i - j for i in range(40) for j in range(i + 1)}
+    some = settings.scope_ancestors(chain, spark.createDataFrame([("39", "x"), ("39", "y")], "scope_id string, name string")).collect()
+    assert sorted(r.depth for r in some) == list(range(40)) and {r.scope_id for r in some} == {"39"}
+
+
+def test_null_keys_match(spark):
+    schema = "kind string, namespace string, cluster_ip string, v int"
+    current = spark.createDataFrame([("Job", None, "x", 1), ("Service", None, "ip", 1)], schema)
+    desired = spark.createDataFrame([("Job", None, "y", 2), ("Service", None, None, 2)], schema)
+    done = {(r.kind, r.namespace, r.cluster_ip, r.v, r.action) for r in diffs.upsert_objects(current, desired, ["kind", "namespace"], keep=("cluster_ip",)).collect()}
+    assert done == {("Job", None, "y", 2, "UPDATE"), ("Service", None, "ip", 2, "UPDATE")}
+    changed = diffs.snapshot_diff(current, desired, ["kind", "namespace"], ["v"]).collect()
+    assert {(r.kind, r.change, r.old_v) for r in changed} == {("Job", "CHANGED", 1), ("Service", "CHANGED", 1)}
+
+
+def test_hostile_transfer_lines(spark):
+    lines = ["C-644 5 x", "C+644 5 x", "C0000000000000644 5 x", "C99999999999999999999 5 x", "C644 +5 x", "C644 0000000000000000000000005 x",
+             "T99999999999999 0 0 0", "T99999999999999999999 0 0 0", "T1 2000 -1 -1", "T9223372036854775807 9223372036854775807 0 0"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, line string")
+    rows = {r.i: r for r in transfers.parse_transfer_records(df).collect()}
+    assert [rows[i].mode for i in range(6)] == [-420, 420, 420, None, None, 420]
+    assert [rows[i].error for i in range(6)] == [None, None, None, "invalid mode", "invalid length", None]
+    assert rows[5].length == 5
+    assert [rows[i].error for i in range(6, 10)] == ["time out of range", "invalid time", None, "time out of range"]
+    us = transfers.parse_transfer_records(df.filter("i = 8")).select(F.unix_micros("mtime"), F.unix_micros("atime")).first()
+    assert tuple(us) == (1_000_002, -1_000_001)
+
+
+def test_host_functions_see_plain_values(spark):
+    seen = host_function(lambda n, s: f"{n!r} {s!r}", "string")
+    df = spark.createDataFrame([(1, "a"), (None, None), (9007199254740993, "b")], "n long, s string").coalesce(1)
+    assert [r[0] for r in df.select(seen("n", "s")["value"]).collect()] == ["1 'a'", "None None", "9007199254740993 'b'"]
+    same = host_function(lambda n: n + 1, "bigint")
+    got = df.select(same("n").alias("r")).select("r.value", "r.error").collect()
+    assert [r.value for r in got] == [2, None, 9007199254740994] and got[1].error
 
 
 # --- predicates, text, logs
@@ -138,6 +182,10 @@ def test_text_helpers(spark):
     assert one(spark, X.with_latest_tag(F.lit("a/b@sha256:0"))) == "a/b@sha256:0"
     assert one(spark, X.status_context(F.lit(""), F.lit(None))) == "ci/status"
     assert str(one(spark, X.quantity(F.lit("1e3"))).normalize()) == "1E+3"
+    cases = {"300n": "3E-7", "0.5u": "5E-7", "1.5Ki": "1536", "2Ei": "2305843009213693952", "12345678901Gi": str(12345678901 * 2**30), "-7m": "-0.007", ".5": "0.5", "3E": "3E+18"}
+    for text, value in cases.items():
+        assert one(spark, X.quantity(F.lit(text))) == Decimal(value), text
+    assert one(spark, X.quantity(F.lit("9" * 40))) is None and one(spark, X.quantity(F.lit("1e99"))) is None and one(spark, X.quantity(F.lit("9" * 30 + "Ei"))) is None
 
 
 def test_error_fields_and_source(spark):
@@ -189,7 +237,7 @@ def test_ticks(spark):
     assert stream_ticks(spark).isStreaming
 
 
-def test_files_and_copies(spark, tmp_path, capsys):
+def test_file_listing_opens_no_file(spark, tmp_path, capsys):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a.txt").write_text("hello")
     (tmp_path / "in" / "sub" / "b.txt").write_text("hi")
@@ -197,14 +245,6 @@ def test_files_and_copies(spark, tmp_path, capsys):
     assert [(r.rel_path, r.length) for r in found.collect()] == [("a.txt", 5), ("sub/b.txt", 2)]
     found.explain()
     assert "content" not in capsys.readouterr().out
-    plan = found.select(
-        F.concat(F.lit(f"{tmp_path}/in/"), "rel_path").alias("src"), F.concat(F.lit(f"{tmp_path}/out/"), "rel_path").alias("dest"), F.lit(None).cast("string").alias("error")
-    )
-    extra = spark.createDataFrame([("/none", f"{tmp_path}/out/x", None), ("/none", None, "refused")], "src string, dest string, error string")
-    done = {r.dest: (r.bytes, r.error) for r in sinks.copy_objects(plan.unionByName(extra), partitions=2).collect()}
-    assert done[f"{tmp_path}/out/sub/b.txt"] == (2, None) and done[None] == (None, "refused")
-    assert done[f"{tmp_path}/out/x"][0] is None and done[f"{tmp_path}/out/x"][1]
-    assert (tmp_path / "out" / "a.txt").read_text() == "hello"
 
 
 def test_only_known_files_change(spark):
@@ -218,14 +258,18 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, 0, 5), "Info", "m")], "ts timestamp, severity string, payload string")
     with pytest.raises(ValueError):
         sinks.write_logs(df, {"paper": None})
-    sinks.write_logs(df, {"stdout": None, "stackdriver": f"{tmp_path}/logs"}, batch_id=0)
-    sinks.write_logs(df, {"stackdriver": f"{tmp_path}/logs"}, batch_id=0)
-    assert spark.read.schema(df.schema).json(f"{tmp_path}/logs").drop("batch_id").collect() == df.collect()
-    sinks.write_statuses(df, f"{tmp_path}/st", 3)
-    sinks.write_statuses(df, f"{tmp_path}/st", 3)
-    assert spark.read.parquet(f"{tmp_path}/st").count() == 1
-    sinks.write_statuses(df, f"{tmp_path}/all")
-    assert os.path.isdir(f"{tmp_path}/all")
+    with pytest.raises(ValueError):
+        sinks.write_logs(df, {"stdout": None})
+    many = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("payload", F.concat("payload", F.lit("\n"), "n")).drop("n")
+    for _ in range(2):
+        sinks.write_logs(many, {"stdout": f"{tmp_path}/out", "stackdriver": f"{tmp_path}/logs"}, batch_id=0)
+    assert sorted(spark.read.schema(df.schema).json(f"{tmp_path}/logs").drop("batch_id", "stream").collect()) == sorted(many.collect())
+    assert spark.read.text(f"{tmp_path}/out").count() == 50
+    for stream in ("a", "a", "b"):
+        sinks.write_statuses(df, f"{tmp_path}/st", 3, stream)
+    assert spark.read.parquet(f"{tmp_path}/st").count() == 2
+    sinks.write_statuses(df, f"{tmp_path}/st")
+    assert spark.read.parquet(f"{tmp_path}/st").count() == 3
 
 
 def test_an_action_per_batch(spark, tmp_path):

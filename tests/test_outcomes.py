@@ -60,8 +60,8 @@ def test_parallel_slots_fill_in_arrival_order(spark):
 def test_error_summary_keeps_every_error(spark, limit):
     rows = [(1, i, f"e{i}") for i in range(12)] + [(2, 1, "only"), (3, 1, "")]
     df = spark.createDataFrame(rows, "run_id int, seq_no int, error string")
-    got = {r.run_id: (r.n_errors, r.summary) for r in outcomes.error_summary(df, ["run_id"], ["seq_no"], max_inline=11, limit=limit).collect()}
-    assert got == {1: (12, None), 2: (1, "only")}
+    got = {(r.run_id, r.part_no): (r.n_errors, r.summary) for r in outcomes.error_summary(df, ["run_id"], ["seq_no"], part_size=11, limit=limit).collect()}
+    assert got == {(1, 1): (11, ", ".join(f"e{i}" for i in range(11))), (1, 2): (1, "e11"), (2, 1): (1, "only")}
     listed = outcomes.error_rows(df, ["run_id"], ["seq_no"], limit=limit).filter("run_id = 1").orderBy("error_no").collect()
     assert [(r.error_no, r.error) for r in listed] == [(i + 1, f"e{i}") for i in range(12)]
 
@@ -106,6 +106,28 @@ def test_until_exit_and_admit(spark):
     assert sorted(r.id for r in dropped.collect()) == [*range(20, 50), *range(70, 100)]
 
 
+def test_null_groups_times_and_keys(spark):
+    rows = [(None, 1, False), (None, 2, True), (None, 3, False), ("h", 1, False)]
+    df = spark.createDataFrame(rows, "g string, n int, is_exit boolean")
+    assert sorted((r.g or "", r.n) for r in routing.until_exit(df, ["g"], ["n"]).collect()) == [("", 1), ("", 2), ("h", 1)]
+    events = spark.createDataFrame([(i, None if i % 2 else "k", None if i > 17 else i) for i in range(21)], "id int, k string, s int")
+    timed = events.withColumn("ts", F.timestamp_seconds("s"))
+    admitted, dropped = routing.admit(timed, ["k"], "50 seconds", ["ts", "id"], cap=3)
+    assert sorted(r.id for r in admitted.collect()) == [0, 1, 2, 3, 4, 5]
+    assert sorted(r.id for r in dropped.collect()) == list(range(6, 21))
+    steps = spark.createDataFrame([(None, 1, False, "bad"), (None, 2, False, None)], "run_id int, seq_no int, is_deferred boolean, error string")
+    assert [(r.seq_no, r.state) for r in outcomes.step_states(steps).orderBy("seq_no").collect()] == [(1, "failed"), (2, "skipped")]
+
+
+def test_process_names_are_numbered_over_all_tasks(spark):
+    specs = spark.range(1000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "named").alias("name"), F.lit("w").alias("watch"), F.lit("r").alias("run"))
+    got = [r.name for r in routing.process_defaults(specs.repartition(7), "host", ["n"]).orderBy("n").collect()]
+    unnamed = iter(range(1, 1000))
+    assert got == ["named" if i % 3 == 0 else f"host-{next(unnamed)}" for i in range(1000)]
+    plan = routing.process_defaults(specs, "host", ["n"])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_fan_in_and_defaults(spark):
     with pytest.raises(ValueError):
         routing.fan_in()

@@ -178,10 +178,11 @@ finished AS (SELECT 'run' || o_orderkey AS run_id, o_orderpriority AS process, '
 @query(
     "route_run_durations",
     f"""WITH {FINISHED_SQL}, timed AS (SELECT process, error IS NULL AS ok, (epoch_us(ended_at) - epoch_us(started_at)) // 1000000 AS s FROM finished)
-    SELECT process, ok, count(*) AS n_runs, CAST(sum(s) AS DOUBLE) / count(*) AS avg_seconds, CAST(max(s) AS DOUBLE) AS max_seconds FROM timed GROUP BY ALL""",
+    SELECT process, ok, count(*) AS n_runs, CAST(sum(s) AS DOUBLE) / count(*) AS avg_seconds, CAST(max(s) AS DOUBLE) AS max_seconds,
+      CAST(quantile_disc(s, 0.5) AS DOUBLE) AS median_seconds FROM timed GROUP BY ALL""",
 )
 def run_durations(spark, sf):
-    return routing.run_durations(finished(spark, sf)).drop("median_seconds")
+    return routing.run_durations(finished(spark, sf))
 
 
 @query(
@@ -293,11 +294,11 @@ step_error AS (SELECT run_id, error FROM walked WHERE NOT is_deferred AND error
 @query(
     "outcome_sequence",
     f"""WITH {STEPS_SQL}
-    SELECT o.run_id, o.value, coalesce(d.error, s.error) AS error, d.error IS NULL AND s.error IS NULL AS ok, o.first_error_seq, o.n_deferred_run, o.n_deferred_failed
+    SELECT o.run_id, (SELECT count(*) FROM steps p WHERE p.run_id = o.run_id AND NOT p.is_deferred) AS n_plain, o.value, coalesce(d.error, s.error) AS error, d.error IS NULL AND s.error IS NULL AS ok, o.first_error_seq, o.n_deferred_run, o.n_deferred_failed
     FROM outcome o LEFT JOIN last_deferred d USING (run_id) LEFT JOIN step_error s USING (run_id)""",
 )
 def sequence(spark, sf):
-    return outcomes.sequence_outcome(steps(spark, sf)).drop("n_plain")
+    return outcomes.sequence_outcome(steps(spark, sf))
 
 
 @query("outcome_sequence_counted_double", f"WITH {STEPS_SQL} SELECT run_id, n_deferred_run + n_reached AS n_deferred_run FROM outcome")
@@ -308,10 +309,10 @@ def sequence_double(spark, sf):
 @query(
     "outcome_step_states",
     f"""WITH {STEPS_SQL} SELECT run_id, CASE WHEN is_deferred THEN 'deferred' WHEN NOT reached THEN 'skipped' WHEN error IS NOT NULL THEN 'failed' ELSE 'ok' END AS state,
-    count(*) AS n FROM walked GROUP BY ALL""",
+    reached, count(*) AS n FROM walked GROUP BY ALL""",
 )
 def states(spark, sf):
-    return outcomes.step_states(steps(spark, sf)).groupBy("run_id", "state").agg(F.count("*").alias("n"))
+    return outcomes.step_states(steps(spark, sf)).groupBy("run_id", "state", "reached").agg(F.count("*").alias("n"))
 
 
 def branches(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,8 +446,8 @@ def error_rows(spark, sf):
 
 @query(
     "outcome_error_summary",
-    f"""WITH {STEPS_SQL} SELECT run_id, count(*) AS n_errors, CASE WHEN count(*) <= 4 THEN string_agg(error, ', ' ORDER BY seq_no) END AS summary
-    FROM steps WHERE error IS NOT NULL GROUP BY 1""",
+    f"""WITH {STEPS_SQL}, numbered AS (SELECT run_id, error, seq_no, row_number() OVER (PARTITION BY run_id ORDER BY seq_no) AS error_no FROM steps WHERE error IS NOT NULL)
+    SELECT run_id, (error_no - 1) // 2 + 1 AS part_no, count(*) AS n_errors, string_agg(error, ', ' ORDER BY seq_no) AS summary FROM numbered GROUP BY 1, 2""",
 )
 def error_summary(spark, sf):
-    return outcomes.error_summary(steps(spark, sf), ["run_id"], ["seq_no"], max_inline=4)
+    return outcomes.error_summary(steps(spark, sf), ["run_id"], ["seq_no"], part_size=2)

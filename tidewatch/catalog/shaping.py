@@ -11,7 +11,6 @@ from tidewatch.functions import text as X
 from tidewatch.functions.user import define_function, host_function
 from tidewatch.operators import checks, logs, settings, transfers
 from tidewatch.session import send_by_value
-from tidewatch.sources.files import file_listing
 
 TRIM_SQL = r"regexp_replace({}, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g')"
 
@@ -249,11 +248,6 @@ def directory_bytes(spark, sf):
     return transfers.directory_bytes(transfers.transfer_manifest(records(spark, sf), "/up"))
 
 
-@query("source_file_listing")
-def listing(spark, sf):
-    return file_listing(spark, sf).select("rel_path", "length")
-
-
 # --- scopes and settings
 
 
@@ -545,11 +539,20 @@ def dates(spark, sf):
     )
 
 
-@query("text_escape_control", "SELECT doc_id, CASE WHEN regexp_matches(text, '[^[:print:]]') THEN true ELSE false END AS quoted FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'plain ' || doc_id ELSE chr(27) || '[0m' || doc_id END AS text FROM documents)")
+@query(
+    "text_escape_control",
+    """WITH spoken AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(27) || '[0m' || chr(7) || chr(160) END AS text FROM documents),
+    quoted AS (SELECT doc_id, text, replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') AS q FROM spoken),
+    shown AS (SELECT doc_id, text, replace(replace(replace(replace(replace(q, chr(7), chr(92) || 'a'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(27), chr(92) || 'x1b'), chr(160), chr(92) || 'u00a0') AS q FROM quoted)
+    SELECT doc_id, md5(CASE WHEN q = replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') THEN text ELSE '"' || q || '"' END) AS digest, length(q) > length(text) AS longer FROM shown""",
+)
 def escape(spark, sf):
-    docs = table(spark, sf, "documents")
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("plain "), "doc_id")).otherwise(F.concat(F.lit("\x1b[0m"), "doc_id"))
-    return docs.select("doc_id", X.escape_control(text).startswith('"\\x1b[0m').alias("quoted"))
+    """Whole texts, two thirds of them with control characters and a wide space added."""
+    ending = F.when(F.col("doc_id") % 3 == 0, "").otherwise("\x1b[0m\x07\xa0")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", ending).alias("text"))
+    shown = docs.withColumn("shown", X.escape_control(F.col("text")))
+    bare = F.when(F.col("shown") == F.col("text"), F.regexp_replace("text", r"([\\\"])", r"\\$1")).otherwise(F.substr("shown", F.lit(2), F.length("shown") - 2))
+    return shown.select("doc_id", F.md5(F.col("shown").cast("binary")).alias("digest"), (F.length(bare) > F.length("text")).alias("longer"))
 
 
 @query("function_defined", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big ' || o_orderstatus ELSE 'small' END AS label FROM orders")

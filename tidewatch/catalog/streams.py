@@ -9,7 +9,7 @@ from tidewatch.catalog import chatting, running, shaping, watching
 from tidewatch.catalog.registry import ORACLES, query
 from tidewatch.operators import logs, outcomes, routing
 from tidewatch.session import shared_folder
-from tidewatch.sources.sinks import write_logs
+from tidewatch.sources.sinks import LOG_TIME, write_logs
 from tidewatch.streaming.admission import stream_admission_counts, stream_admit
 from tidewatch.streaming.conversations import stream_conversations
 from tidewatch.streaming.jobs import run_once, stream_table, to_files
@@ -84,14 +84,17 @@ def admission(spark, sf):
 def statuses(spark, sf):
     folder = shared_folder(spark, "statuses")
     run_once(stream_statuses(running.as_finished(source(spark, sf, "orders")), f"{folder}/table", f"{folder}/checkpoint"))
-    kept = spark.read.parquet(f"{folder}/table").drop("batch_id").withColumn("tie", F.struct("run_id", "status_no"))
+    kept = spark.read.parquet(f"{folder}/table").drop("batch_id", "stream").withColumn("tie", F.struct("run_id", "status_no"))
     return outcomes.latest_status(kept, tie="tie", base="").drop("ts")
 
 
-@query("sink_logs", ORACLES["log_entries"])
+@query("sink_logs", f"SELECT unnest(['stackdriver', 'stdout']) AS output, e.* FROM ({ORACLES['log_entries']}) e")
 def log_sink(spark, sf):
     entries = logs.to_log_entries(logs.enrich_logs(shaping.entries(spark, sf), shaping.log_runs(spark, sf)))
     folder = shared_folder(spark, "logs")
-    write_logs(entries, {"stackdriver": folder})
-    kept = spark.read.schema(entries.schema).json(folder)
-    return kept.select(F.unix_micros("ts").alias("ts_us"), "severity", shaping.flat("labels").alias("labels"), "payload")
+    write_logs(entries, {"stackdriver": f"{folder}/entries", "stdout": f"{folder}/lines"})
+    lines = spark.read.text(f"{folder}/lines").select(F.from_json("value", entries.schema, {"timestampFormat": LOG_TIME}).alias("e")).select("e.*")
+    # an entry comes back twice, once from each output, or the counts differ
+    both = spark.read.schema(entries.schema).json(f"{folder}/entries").drop("stream", "batch_id").withColumn("output", F.lit("stackdriver"))
+    kept = both.unionByName(lines.withColumn("output", F.lit("stdout")))
+    return kept.select("output", F.unix_micros("ts").alias("ts_us"), "severity", shaping.flat("labels").alias("labels"), "payload")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import required_value, status_context
-from tidewatch.plans.ordered import HOT_ROWS, running_sum, with_running
+from tidewatch.plans.ordered import HOT_ROWS, join_same, running_sum, with_running
 
 # States of a commit status and texts of the two wrappers.
 STATES = ["success", "pending", "failure", "error"]
@@ -58,7 +58,7 @@ def sequence_outcome(steps: DataFrame, run: list[str] | None = None, *, count_do
         return outcome
     reached = step_states(steps, run).filter(F.col("is_deferred") & F.col("reached")).groupBy(*run).agg(F.count("*").alias("__again"))
     return (
-        outcome.join(reached, run, "left")
+        join_same(outcome, reached, run, "left")
         .withColumn("n_deferred_run", F.col("n_deferred_run") + F.coalesce("__again", F.lit(0)))
         .drop("__again")
     )
@@ -74,7 +74,7 @@ def step_states(steps: DataFrame, run: list[str] | None = None) -> DataFrame:
     )
     reached = F.col("__first").isNull() | (F.col("seq_no") <= F.col("__first"))
     state = F.when(F.col("is_deferred"), "deferred").when(~reached, "skipped").when(failed, "failed").otherwise("ok")
-    return steps.join(first, run, "left").select(*steps.columns, state.alias("state"), reached.alias("reached"))
+    return join_same(steps, first, run, "left").select(*steps.columns, state.alias("state"), reached.alias("reached"))
 
 
 def parallel_outcome(branches: DataFrame, run: list[str] | None = None) -> DataFrame:
@@ -206,14 +206,12 @@ def error_rows(rows: DataFrame, run: list[str], order: list[str], *, limit: int
     return numbered.select(*run, (F.col("__before") + 1).alias("error_no"), "error")
 
 
-def error_summary(rows: DataFrame, run: list[str], order: list[str], *, max_inline: int = 1000, limit: int = HOT_ROWS) -> DataFrame:
-    """Errors of a run as one message.
-
-    ``summary`` is NULL for runs with more than ``max_inline`` errors: a text
-    of that size belongs in no single row, and ``error_rows`` holds them all.
-    """
+def error_summary(rows: DataFrame, run: list[str], order: list[str], *, part_size: int = 1000, limit: int = HOT_ROWS) -> DataFrame:
+    """Errors of a run as text: one row per ``part_no`` (from 1) with up to
+    ``part_size`` errors in order. All parts of a run joined with ``, `` are its
+    whole message; no error is left out and no cell grows with the run."""
     numbered = error_rows(rows, run, order, limit=limit)
-    inline = F.when(F.col("error_no") <= max_inline, F.struct("error_no", "error"))
-    grouped = numbered.groupBy(*run).agg(F.count("*").alias("n_errors"), F.collect_list(inline).alias("__errors"))
+    part = (F.floor((F.col("error_no") - 1) / part_size) + 1).cast("long").alias("part_no")
+    grouped = numbered.groupBy(*run, part).agg(F.count("*").alias("n_errors"), F.collect_list(F.struct("error_no", "error")).alias("__errors"))
     text = F.array_join(F.transform(F.array_sort("__errors"), lambda e: e["error"]), ", ")
-    return grouped.select(*run, "n_errors", F.when(F.col("n_errors") <= max_inline, text).alias("summary"))
+    return grouped.select(*run, "part_no", "n_errors", text.alias("summary"))

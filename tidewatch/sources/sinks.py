@@ -1,4 +1,4 @@
-"""Sinks: statuses, logs, copies. Each works on a batch or, as the function of
+"""Sinks: statuses and logs. Each works on a batch or, as the function of
 ``foreachBatch``, on every micro-batch."""
 
 from __future__ import annotations
@@ -9,79 +9,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.checks import LOG_OUTPUTS
-from tidewatch.session import send_by_value
-
 
 LOG_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def write_statuses(statuses: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append statuses to a parquet table. A repeated micro-batch overwrites its
-    own partition, so it is written once."""
+def _target(path: str, batch_id: int | None, stream: str) -> tuple[str, str]:
+    """Folder and mode: a micro-batch has a folder of its own below its stream's,
+    which a repetition overwrites; batches are appended beside the streams."""
     if batch_id is None:
-        statuses.write.mode("append").parquet(path)
-    else:
-        statuses.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return f"{path}/stream=batch/batch_id=-1", "append"
+    return f"{path}/stream={stream}/batch_id={batch_id}", "overwrite"
+
+
+def write_statuses(statuses: DataFrame, path: str, batch_id: int | None = None, stream: str = "main") -> None:
+    """Add statuses to a parquet table. Streams that write to one table need
+    different names, and a stream with a new checkpoint a new name."""
+    folder, mode = _target(path, batch_id, stream)
+    statuses.write.mode(mode).parquet(folder)
 
 
-def write_logs(entries: DataFrame, outputs: dict[str, str | None], batch_id: int | None = None) -> None:
-    """Send every entry to every output: ``stdout`` (None) and ``stackdriver``,
-    a folder of JSON entries."""
+def write_logs(entries: DataFrame, outputs: dict[str, str | None], batch_id: int | None = None, stream: str = "main") -> None:
+    """Send every entry to every output. Both are folders that the tasks write to:
+    ``stackdriver`` JSON entries, ``stdout`` lines of text (time, severity,
+    payload, labels). A stdout without a folder would have to pass all entries
+    through the driver and is refused."""
     unknown = [o for o in outputs if o not in LOG_OUTPUTS]
     if unknown:
         raise ValueError(f"unsupported outputs {unknown}, supported are {LOG_OUTPUTS}")
+    missing = [o for o, target in outputs.items() if not target]
+    if missing:
+        raise ValueError(f"outputs {missing} need a folder")
     for kind, target in outputs.items():
+        folder, mode = _target(target, batch_id, stream)
         if kind == "stdout":
-            entries.write.format("console").option("truncate", "false").mode("append").save()
-        elif batch_id is None:
-            entries.write.option("timestampFormat", LOG_TIME).mode("append").json(target)
+            entries.select(log_line(entries).alias("value")).write.mode(mode).text(folder, lineSep="\n")
         else:
-            entries.write.option("timestampFormat", LOG_TIME).mode("overwrite").json(f"{target}/batch_id={batch_id}")
-
-
-def copy_objects(plan: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Carry out a copy plan (src, dest, error): one row per file with the bytes
-    written and the error. An empty remote source is an error. Files are streamed
-    by the tasks; both ends must be paths the executors can reach."""
-    spread = plan.repartition(partitions, "src") if partitions else plan
-    kept = spread.select("src", "dest", "error")
-    return kept.mapInPandas(_copy_batches, "src string, dest string, bytes long, error string")
-
-
-def _copy_batches(batches):
-    from pyarrow import fs
-
-    def open_fs(uri: str):
-        if uri.startswith("/"):
-            return fs.LocalFileSystem(), uri
-        return fs.FileSystem.from_uri(uri)
-
-    def copy(src: str, dest: str) -> int:
-        source_fs, source = open_fs(src)
-        target_fs, target = open_fs(dest)
-        is_remote = not src.startswith(("/", "file:"))
-        if is_remote and source_fs.get_file_info(source).size == 0:
-            raise FileNotFoundError("bucket key is not found")
-        target_fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-        written = 0
-        with source_fs.open_input_stream(source) as reader, target_fs.open_output_stream(target) as writer:
-            while chunk := reader.read(8 << 20):
-                writer.write(chunk)
-                written += len(chunk)
-        return written
-
-    for batch in batches:
-        sizes, errors = [], []
-        for src, dest, error in zip(batch["src"], batch["dest"], batch["error"], strict=True):
-            size = None
-            if error is None:
-                try:
-                    size = copy(src, dest)
-                except OSError as failure:
-                    error = str(failure)
-            sizes.append(size)
-            errors.append(error)
-        yield batch[["src", "dest"]].assign(bytes=sizes, error=errors).astype({"bytes": "Int64"})
+            entries.write.option("timestampFormat", LOG_TIME).mode(mode).json(folder)
+
+
+def log_line(entries: DataFrame):
+    """One line per entry: the entry as JSON, in which line breaks are escaped."""
+    return F.to_json(F.struct(*entries.columns), {"timestampFormat": LOG_TIME})
 
 
 def for_each_event(action: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -93,5 +61,3 @@ def for_each_event(action: Callable[[DataFrame, int], None]) -> Callable[[DataFr
 
     return run
 
-
-send_by_value(__name__)

@@ -28,6 +28,12 @@ def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern:
     return reader.parquet(folder)
 
 
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a write into the folder was committed; a crash leaves it without mark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def to_files(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Exactly-once parquet sink."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -9,11 +9,11 @@ from tidewatch.operators.outcomes import status_lifecycle
 from tidewatch.sources.sinks import write_statuses
 
 
-def stream_statuses(finished: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+def stream_statuses(finished: DataFrame, path: str, checkpoint: str, stream: str = "main") -> DataStreamWriter:
     """Write both statuses of every finished run to a table, each micro-batch
-    once; ``latest_status`` reads it."""
+    once; ``latest_status`` reads it. ``stream`` tells streams into one table apart."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_statuses(batch, path, batch_id)
+        write_statuses(batch, path, batch_id, stream)
 
     return status_lifecycle(finished).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,36 +20,32 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from tidewatch.operators import changes
 from tidewatch.session import send_by_value
-from tidewatch.streaming.jobs import run_once, stream_table, to_files, use_rocksdb
+from tidewatch.streaming.jobs import is_complete, run_once, stream_table, to_files, use_rocksdb
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _read_if_complete(spark: SparkSession, folder: str) -> DataFrame | None:
+    return spark.read.parquet(folder) if is_complete(spark, folder) else None
 
 
 def _keep_newer(prepare: Callable[[DataFrame], DataFrame], start: Column, state: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` step: rows above the mark to ``state/fresh``, marks to
-    ``state/marks``, each in a folder per batch. A batch that is run again after
-    both were written is skipped."""
+    ``state/marks``, each in a folder per batch. A batch that is run again is
+    skipped if both were committed; what a crash left half written is overwritten."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _read_if_there(spark, f"{state}/marks/batch={batch_id}") is not None:
+        if is_complete(spark, f"{state}/marks/batch={batch_id}"):
             return
-        known = _read_if_there(spark, f"{state}/marks/batch={batch_id - 1}")
+        known = _read_if_complete(spark, f"{state}/marks/batch={batch_id - 1}")
         rows = prepare(batch).persist()
-        if _read_if_there(spark, f"{state}/fresh/batch={batch_id}") is None:
-            changes.newer_than_mark(rows, start, known).write.parquet(f"{state}/fresh/batch={batch_id}")
-        newest = rows.groupBy("repo").agg(F.max("last_updated").alias("mark"))
-        if known is not None:
-            newest = changes.raise_marks(known, newest, ["repo"], "mark")
-        newest.write.parquet(f"{state}/marks/batch={batch_id}")
-        rows.unpersist()
+        try:
+            changes.newer_than_mark(rows, start, known).write.mode("overwrite").parquet(f"{state}/fresh/batch={batch_id}")
+            newest = rows.groupBy("repo").agg(F.max("last_updated").alias("mark"))
+            if known is not None:
+                newest = changes.raise_marks(known, newest, ["repo"], "mark")
+            newest.write.mode("overwrite").parquet(f"{state}/marks/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     return step
 
@@ -99,7 +94,7 @@ def _updates_once(
     use_rocksdb(spark)
     run_once(_marks_stage(polls, prepare, start, state))
     nothing = changes.newer_than_mark(prepare(spark.createDataFrame([], polls.schema)), start)
-    if _read_if_there(spark, f"{state}/fresh") is None:
+    if not is_complete(spark, f"{state}/fresh/batch=0"):
         return news(nothing.withColumn("__prev", F.lit(None).cast("struct<oid:string,body:string>")))
     fresh = stream_table(spark, f"{state}/fresh/*", nothing.schema)
     changed = news(_with_previous_version(fresh, keys))
