@@ -2,14 +2,15 @@
 
 Email and IP addresses, card and phone numbers are found by pattern. Then the words
 around each found value are looked at over the whole corpus. With p the share of the
-different texts, a term t discloses of a value e
+documents, a term t discloses of a value e
 
     log(p(t, e) / (p(t) p(e))) / log(1 / p(e))
 
 which is 1 if the term never occurs without the value and 0 if both are independent.
 Terms that stand near one value in at least ``MIN_TEXTS`` different texts and
 disclose at least ``GENERALISE`` of it are generalised wherever they occur, those
-that disclose ``REMOVE`` or more are removed. Copies of a text count as one.
+that disclose ``REMOVE`` or more are removed. Terms are first counted, and only those
+that disclose enough, which are rare, are looked for in the texts.
 
 Everything is made of Spark expressions.
 
@@ -143,58 +144,80 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def candidates(found: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(term, entity, n_both, n_entity): terms near one value in enough different texts."""
-    values = found.filter(F.size("near") > 0).select("hash", F.explode("near").alias("n")).select("hash", "n.entity", "n.terms")
-    of_value = values.groupBy("entity").agg(F.count_distinct("hash").alias("n_entity")).filter(F.col("n_entity") >= min_texts)
-    pairs = values.select("hash", "entity", F.explode("terms").alias("term")).distinct()
-    both = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_texts)
-    return both.join(of_value, "entity")
+    """(term, entity, n_both, n_entity): terms near one value in enough different
+    texts, the documents with both and those with the value."""
+    with_any = found.filter(F.size("near") > 0)
+    entities = with_any.select("hash", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("hash").alias("n_texts"))
+    of_entity = of_entity.filter(F.col("n_texts") >= min_texts).drop("n_texts")
+    pairs = F.flatten(
+        F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t.alias("term"))))
+    )
+    both = with_any.select("hash", F.explode(F.array_distinct(pairs)).alias("p")).select("hash", "p.entity", "p.term")
+    counted = both.groupBy("term", "entity").agg(F.count("*").alias("n_both"), F.count_distinct("hash").alias("n_texts"))
+    return counted.filter(F.col("n_texts") >= min_texts).drop("n_texts").join(of_entity, "entity")
 
 
-def occurrences(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(doc_id, hash, term, starts) of the given terms in all documents."""
+def _all_terms(docs: DataFrame, *more: Column) -> DataFrame:
     whole = F.coalesce("text", F.lit(""))
-    words = docs.select("doc_id", whole.alias("text"), F.explode(F.array_distinct(_terms(whole))).alias("term"))
+    return docs.select(*more, F.explode(F.array_distinct(_terms(whole))).alias("term"))
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """(term, n_term): in how many documents each of the given terms occurs."""
     side = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    if n_terms > BROADCAST_TERMS:  # then the words travel, without their text
-        words = words.withColumn("text", F.xxhash64("text"))
-        keyed = words.join(side, "term").select("doc_id", F.col("text").alias("hash"), "term")
+    return _all_terms(docs).join(side, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+
+
+def occurrences(docs: DataFrame, flagged: DataFrame, n_terms: int) -> DataFrame:
+    """(doc_id, hash, term, removed, starts) of the flagged terms in all documents."""
+    whole = F.coalesce("text", F.lit(""))
+    if n_terms <= BROADCAST_TERMS:
+        matched = _all_terms(docs, F.col("doc_id"), whole.alias("text")).join(F.broadcast(flagged), "term")
+    else:  # then the words travel without their text
+        words = _all_terms(docs, F.col("doc_id"), F.xxhash64(whole).alias("hash")).join(flagged, "term").distinct()
         texts = docs.select(F.col("doc_id").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("of")).dropDuplicates(["id", "of"])
-        matched = keyed.distinct().join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of"))).select("doc_id", "text", "term")
-    else:
-        matched = words.join(side, "term")
+        matched = words.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of"))).drop("hash")
     pattern = F.concat(F.lit(f"(?<!{_LETTER})"), F.col("term"), F.lit(f"(?!{_LETTER})"))
     lower = F.translate("text", _UPPER, _LOWER)
     starts = F.transform(_placed(lower, pattern, F.regexp_extract_all(lower, pattern, F.lit(0))), lambda s: s["start"])
-    return matched.select("doc_id", F.xxhash64("text").alias("hash"), "term", starts.alias("starts"))
+    return matched.select("doc_id", F.xxhash64("text").alias("hash"), "term", "removed", starts.alias("starts"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
-    """(doc_id, hash, spans) of the disclosing terms, where a document has any;
-    ``spans`` are (start, end, removed). None if no term comes into question."""
+def flagged_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
+    """(term, removed) of the terms that disclose enough; None if none can."""
     pairs = cut(candidates(found))
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if n_terms == 0:
         return None
-    seen = cut(occurrences(docs, terms, n_terms))
-    n_texts = found.select("hash").distinct().count()
-    of_term = seen.groupBy("term").agg(F.count_distinct("hash").alias("n_term"))
-    shared = F.log(F.lit(float(n_texts)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    whole = F.log(F.lit(float(n_texts)) / F.col("n_entity"))
-    disclosed = F.when(whole > 0, shared / whole).otherwise(F.lit(0.0))
-    flagged = (
-        pairs.join(of_term, "term")
+    n_docs = F.lit(float(found.count()))
+    shared = F.log(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    whole = F.log(n_docs / F.col("n_entity"))
+    return (
+        pairs.join(term_counts(docs, terms, n_terms), "term")
         .groupBy("term")
-        .agg(F.max(disclosed).alias("disclosed"))
+        .agg(F.max(F.when(whole > 0, shared / whole).otherwise(F.lit(0.0))).alias("disclosed"))
         .filter(F.col("disclosed") >= generalise)
         .select("term", (F.col("disclosed") >= remove).alias("removed"))
     )
+
+
+def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(doc_id, hash, spans) of the disclosing terms, where a document has any;
+    ``spans`` are (start, end, removed). None if there is no such term."""
+    flagged = flagged_terms(docs, found)
+    if flagged is None:
+        return None
+    flagged = cut(flagged)
+    n_flagged = flagged.count()
+    if n_flagged == 0:
+        return None
     spans = F.transform(
         "starts", lambda s: F.struct(s.alias("start"), (s + F.length("term")).alias("end"), F.col("removed").alias("removed"))
     )
     return (
-        seen.join(flagged, "term")
+        occurrences(docs, flagged, n_flagged)
         .select("doc_id", "hash", F.explode(spans).alias("span"))
         .groupBy("doc_id", "hash")
         .agg(F.array_sort(F.collect_set("span")).alias("spans"))
