@@ -41,7 +41,7 @@ def pr_updates(spark, sf):
 @query("stream_branch_updates", ORACLES["watch_branch_updates"])
 def branch_updates(spark, sf):
     polls = streamed(spark, watching.heads(spark, sf), "heads")
-    found = stream_branch_updates(polls, F.lit("1995-06-01").cast("timestamp"), shared_folder(spark, "branch-updates"))
+    found = stream_branch_updates(polls, F.lit("1995-06-01").cast("timestamp"), shared_folder(spark, "branch-updates"), watching.rules(spark, sf))
     return watching.shown_branches(found)
 
 

@@ -22,12 +22,15 @@ def start():
 
 
 def rules(spark: SparkSession, sf: str) -> DataFrame:
-    nation = table(spark, sf, "nation")
+    """Two watches per repository: one on the default branches, one on release. The
+    latter needs approval where the former does not."""
+    nation = table(spark, sf, "nation").withColumn("name", F.explode(F.array(F.lit("main"), F.lit("release"))))
     return nation.select(
+        F.concat_ws("/", F.lit("w"), "n_nationkey", "name").alias("watch"),
         F.concat(F.lit("org/r"), "n_nationkey").alias("repo"),
-        (F.col("n_regionkey") % 2 == 0).alias("approval_required"),
-        F.array(F.concat(F.lit("org/t"), "n_regionkey")).alias("teams"),
-        F.lit("").alias("branch_pattern"),
+        ((F.col("n_regionkey") % 2 == 0) == (F.col("name") == "main")).alias("approval_required"),
+        F.array(F.concat(F.lit("org/t"), F.when(F.col("name") == "main", F.col("n_regionkey")).otherwise((F.col("n_regionkey") + 1) % 5))).alias("teams"),
+        F.when(F.col("name") == "main", "").otherwise("^rel").alias("branch_pattern"),
     )
 
 
@@ -70,10 +73,13 @@ def polls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RULES_SQL = """
-rules AS (SELECT 'org/r' || n_nationkey AS repo, n_regionkey % 2 = 0 AS approval_required, n_regionkey FROM nation),
+rules AS (
+  SELECT 'w/' || n_nationkey || '/' || name AS watch, 'org/r' || n_nationkey AS repo, (n_regionkey % 2 = 0) = (name = 'main') AS approval_required,
+    CASE WHEN name = 'main' THEN 'master' ELSE '^rel' END AS pattern, CASE WHEN name = 'main' THEN n_regionkey ELSE (n_regionkey + 1) % 5 END AS team
+  FROM nation, (SELECT unnest(['main', 'release']) AS name)),
 approvers AS (
-  SELECT DISTINCT r.repo, 'u' || (m.n_nationkey % 5) AS login
-  FROM rules r JOIN nation m ON m.n_regionkey = r.n_regionkey)
+  SELECT DISTINCT r.watch, 'u' || (m.n_nationkey % 5) AS login
+  FROM rules r JOIN nation m ON m.n_regionkey = r.team)
 """
 
 POLLS_SQL = """
@@ -95,28 +101,40 @@ polls AS (
 
 UPDATES_SQL = f"""
 matching AS (
-  SELECT *, greatest(committed_at, coalesce(comment_at, committed_at)) AS last_updated
-  FROM polls WHERE regexp_matches(base_ref, 'master')),
-newest AS (SELECT repo, poll_ts, max(last_updated) AS newest FROM matching GROUP BY ALL),
-marks AS (
-  SELECT repo, poll_ts, greatest(TIMESTAMP '{START}', coalesce(max(newest) OVER (
-    PARTITION BY repo ORDER BY poll_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '{START}')) AS mark
-  FROM newest),
-fresh AS (SELECT m.*, k.mark FROM matching m JOIN marks k USING (repo, poll_ts) WHERE last_updated > mark),
-seen AS (
-  SELECT *, row_number() OVER w AS version, lag(oid) OVER w AS prev_oid, lag(coalesce(comment_body, '')) OVER w AS prev_body
-  FROM fresh WINDOW w AS (PARTITION BY repo, number ORDER BY poll_ts)),
-flagged AS (
-  SELECT *, CASE WHEN version = 1 THEN committed_at > mark ELSE prev_oid <> oid END AS new_commit,
-    CASE WHEN version = 1 THEN coalesce(comment_id, '') <> '' ELSE prev_body <> coalesce(comment_body, '') END AS new_comment
-  FROM seen),
-updates AS (SELECT * FROM flagged WHERE new_commit OR new_comment)
+  SELECT p.*, r.watch, greatest(committed_at, coalesce(comment_at, committed_at)) AS last_updated
+  FROM polls p JOIN rules r USING (repo) WHERE regexp_matches(base_ref, r.pattern)),
+-- a replay, one poll of every watch after the other: mark and versions as state
+listed AS (
+  SELECT watch, poll_ts, row_number() OVER (PARTITION BY watch ORDER BY poll_ts) AS k,
+    list({{'number': number, 'updated': last_updated, 'committed': committed_at, 'oid': oid, 'body': coalesce(comment_body, ''),
+      'commented': coalesce(comment_id, '') <> ''}}) AS rows
+  FROM matching GROUP BY watch, poll_ts),
+replay AS (
+  SELECT watch, CAST(0 AS BIGINT) AS k, CAST(NULL AS TIMESTAMP) AS poll_ts, TIMESTAMP '{START}' AS mark, TIMESTAMP '{START}' AS next_mark,
+    CAST(MAP {{}} AS MAP(BIGINT, STRUCT(oid VARCHAR, body VARCHAR))) AS versions,
+    CAST([] AS STRUCT(number BIGINT, updated TIMESTAMP, new_commit BOOLEAN, new_comment BOOLEAN)[]) AS news
+  FROM (SELECT DISTINCT watch FROM listed)
+  UNION ALL
+  SELECT watch, k, poll_ts, mark, greatest(mark, coalesce(list_max(list_transform(news, lambda n: n.updated)), mark)),
+    map_concat(versions, map_from_entries(list_transform(kept, lambda x: {{'k': x.number, 'v': {{'oid': x.oid, 'body': x.body}}}}))), news
+  FROM (
+    SELECT *, list_filter(list_transform(kept, lambda x: {{'number': x.number, 'updated': x.updated,
+        'new_commit': CASE WHEN map_extract(versions, x.number)[1] IS NULL THEN x.committed > mark ELSE map_extract(versions, x.number)[1].oid <> x.oid END,
+        'new_comment': CASE WHEN map_extract(versions, x.number)[1] IS NULL THEN x.commented ELSE map_extract(versions, x.number)[1].body <> x.body END}}),
+      lambda n: n.new_commit OR n.new_comment) AS news
+    FROM (
+      SELECT l.watch, l.k, l.poll_ts, r.next_mark AS mark, r.versions, list_filter(l.rows, lambda x: x.updated > r.next_mark) AS kept
+      FROM replay r JOIN listed l ON l.watch = r.watch AND l.k = r.k + 1))),
+found AS (SELECT watch, poll_ts, mark, unnest(news) AS n FROM replay),
+updates AS (
+  SELECT m.*, f.mark, f.n.new_commit AS new_commit, f.n.new_comment AS new_comment
+  FROM found f JOIN matching m ON m.watch = f.watch AND m.poll_ts = f.poll_ts AND m.number = f.n.number)
 """
 
 FIRED_SQL = """
 judged AS (
-  SELECT u.*, r.approval_required, a.login IS NOT NULL AS by_approver
-  FROM updates u JOIN rules r USING (repo) LEFT JOIN approvers a ON a.repo = u.repo AND a.login = u.comment_author),
+  SELECT u.* EXCLUDE (repo), u.repo, r.approval_required, a.login IS NOT NULL AS by_approver
+  FROM updates u JOIN rules r USING (watch) LEFT JOIN approvers a ON a.watch = u.watch AND a.login = u.comment_author),
 fired AS (
   SELECT * FROM (
     SELECT *, CASE
@@ -132,18 +150,18 @@ comments AS (
     CASE WHEN event_type = 'signup' THEN 'ok to test ' || event_id ELSE event_type END AS body
   FROM events),
 approvals AS (
-  SELECT c.repo, c.number, c.login, c.body FROM comments c JOIN rules r USING (repo) JOIN approvers a ON a.repo = c.repo AND a.login = c.login
+  SELECT r.watch, c.number, c.login, c.body FROM comments c JOIN rules r USING (repo) JOIN approvers a ON a.watch = r.watch AND a.login = c.login
   WHERE r.approval_required AND regexp_matches(c.body, '.*ok to test.*')
-  QUALIFY row_number() OVER (PARTITION BY c.repo, c.number ORDER BY c.position) = 1),
+  QUALIFY row_number() OVER (PARTITION BY r.watch, c.number ORDER BY c.position) = 1),
 gated AS (
   SELECT f.*, CASE WHEN f.approval_required AND o.login IS NULL THEN p.login END AS approved_by,
     CASE WHEN f.approval_required AND o.login IS NULL THEN p.body END AS approval_body
-  FROM fired f LEFT JOIN approvers o ON o.repo = f.repo AND o.login = f.author_login
-  LEFT JOIN approvals p ON p.repo = f.repo AND p.number = f.number
+  FROM fired f LEFT JOIN approvers o ON o.watch = f.watch AND o.login = f.author_login
+  LEFT JOIN approvals p ON p.watch = f.watch AND p.number = f.number
   WHERE NOT f.approval_required OR o.login IS NOT NULL OR p.login IS NOT NULL)
 """
 
-WITH_UPDATES = f"WITH {RULES_SQL}, {POLLS_SQL}, {UPDATES_SQL}"
+WITH_UPDATES = f"WITH RECURSIVE {RULES_SQL}, {POLLS_SQL}, {UPDATES_SQL}"
 
 
 def updates(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +194,7 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "watch_pull_request_updates",
     WITH_UPDATES
-    + """ SELECT repo, number, epoch_us(poll_ts) AS poll_us, oid, comment_id, epoch_us(mark) AS mark_us, epoch_us(last_updated) AS updated_us,
+    + """ SELECT watch, repo, number, epoch_us(poll_ts) AS poll_us, oid, comment_id, epoch_us(mark) AS mark_us, epoch_us(last_updated) AS updated_us,
     new_commit, new_comment FROM updates""",
 )
 def pull_request_updates(spark, sf):
@@ -185,6 +203,7 @@ def pull_request_updates(spark, sf):
 
 def shown_updates(found: DataFrame) -> DataFrame:
     return found.select(
+        "watch",
         "repo",
         "number",
         F.unix_micros("poll_ts").alias("poll_us"),
@@ -199,24 +218,24 @@ def shown_updates(found: DataFrame) -> DataFrame:
 
 @query(
     "watch_pull_request_triggers",
-    f"{WITH_UPDATES}, {FIRED_SQL} SELECT repo, number, epoch_us(poll_ts) AS poll_us, trigger FROM fired",
+    f"{WITH_UPDATES}, {FIRED_SQL} SELECT watch, repo, number, epoch_us(poll_ts) AS poll_us, trigger FROM fired",
 )
 def pull_request_triggers(spark, sf):
-    return fired(spark, sf).select("repo", "number", F.unix_micros("poll_ts").alias("poll_us"), "trigger")
+    return fired(spark, sf).select("watch", "repo", "number", F.unix_micros("poll_ts").alias("poll_us"), "trigger")
 
 
 @query(
     "watch_approval_gate",
     f"""{WITH_UPDATES}, {FIRED_SQL}, {COMMENTS_SQL}
-    SELECT repo, number, epoch_us(poll_ts) AS poll_us, trigger, approved_by, approval_body FROM gated""",
+    SELECT watch, repo, number, epoch_us(poll_ts) AS poll_us, trigger, approved_by, approval_body FROM gated""",
 )
 def approval_gate(spark, sf):
     return gated(spark, sf).select(
-        "repo", "number", F.unix_micros("poll_ts").alias("poll_us"), "trigger", "approved_by", "approval_body"
+        "watch", "repo", "number", F.unix_micros("poll_ts").alias("poll_us"), "trigger", "approved_by", "approval_body"
     )
 
 
-@query("watch_approvers", f"WITH {RULES_SQL} SELECT repo, login FROM approvers")
+@query("watch_approvers", f"WITH {RULES_SQL} SELECT watch, login FROM approvers")
 def approvers_by_repo(spark, sf):
     return approvers(spark, sf)
 
@@ -249,24 +268,25 @@ heads AS (
   FROM orders
   QUALIFY row_number() OVER (PARTITION BY date_trunc('month', o_orderdate), o_custkey % 25, o_orderpriority
     ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
-newest AS (SELECT repo, poll_ts, max(committed_at) AS newest FROM heads GROUP BY ALL),
+watched AS (SELECT h.*, r.watch FROM heads h JOIN rules r USING (repo)),
+newest AS (SELECT watch, poll_ts, max(committed_at) AS newest FROM watched GROUP BY ALL),
 marks AS (
-  SELECT repo, poll_ts, greatest(TIMESTAMP '1995-06-01', coalesce(max(newest) OVER (
-    PARTITION BY repo ORDER BY poll_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '1995-06-01')) AS mark FROM newest),
-fresh AS (SELECT h.*, mark FROM heads h JOIN marks USING (repo, poll_ts) WHERE committed_at > mark),
+  SELECT watch, poll_ts, greatest(TIMESTAMP '1995-06-01', coalesce(max(newest) OVER (
+    PARTITION BY watch ORDER BY poll_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '1995-06-01')) AS mark FROM newest),
+fresh AS (SELECT h.*, mark FROM watched h JOIN marks USING (watch, poll_ts) WHERE committed_at > mark),
 changed AS (
-  SELECT * FROM (SELECT *, lag(oid) OVER (PARTITION BY repo, name ORDER BY poll_ts) AS prev_oid FROM fresh)
+  SELECT * FROM (SELECT *, lag(oid) OVER (PARTITION BY watch, name ORDER BY poll_ts) AS prev_oid FROM fresh)
   WHERE prev_oid IS NULL OR prev_oid <> oid)
 """
 
 
 def branch_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.branch_updates(heads(spark, sf), F.lit("1995-06-01").cast("timestamp"))
+    return changes.branch_updates(heads(spark, sf), F.lit("1995-06-01").cast("timestamp"), rules(spark, sf))
 
 
 @query(
     "watch_branch_updates",
-    f"WITH {BRANCHES_SQL} SELECT repo, name, oid, epoch_us(poll_ts) AS poll_us, epoch_us(mark) AS mark_us FROM changed",
+    f"WITH {RULES_SQL}, {BRANCHES_SQL} SELECT watch, repo, name, oid, epoch_us(poll_ts) AS poll_us, epoch_us(mark) AS mark_us FROM changed",
 )
 def branch_updates(spark, sf):
     return shown_branches(branch_changes(spark, sf))
@@ -274,28 +294,28 @@ def branch_updates(spark, sf):
 
 def shown_branches(found: DataFrame) -> DataFrame:
     return found.select(
-        "repo", "name", "oid", F.unix_micros("poll_ts").alias("poll_us"), F.unix_micros("mark").alias("mark_us")
+        "watch", "repo", "name", "oid", F.unix_micros("poll_ts").alias("poll_us"), F.unix_micros("mark").alias("mark_us")
     )
 
 
 @query(
     "watch_branch_triggers",
-    f"WITH {BRANCHES_SQL} SELECT repo, name, oid FROM changed WHERE NOT regexp_matches(message, '.*skip ci.*')",
+    f"WITH {RULES_SQL}, {BRANCHES_SQL} SELECT watch, repo, name, oid FROM changed WHERE NOT regexp_matches(message, '.*skip ci.*')",
 )
 def branch_triggers(spark, sf):
-    return triggers.branch_triggers(branch_changes(spark, sf), rules(spark, sf)).select("repo", "name", "oid")
+    return triggers.branch_triggers(branch_changes(spark, sf), rules(spark, sf)).select("watch", "repo", "name", "oid")
 
 
 @query(
     "watch_branch_approval_gate",
     f"""WITH {RULES_SQL}, {BRANCHES_SQL}
-    SELECT c.repo, c.name, c.oid, c.author_login FROM changed c JOIN rules r USING (repo)
+    SELECT c.watch, c.repo, c.name, c.oid, c.author_login FROM changed c JOIN rules r USING (watch)
     WHERE NOT regexp_matches(c.message, '.*skip ci.*') AND (NOT r.approval_required
-      OR EXISTS (SELECT 1 FROM approvers a WHERE a.repo = c.repo AND a.login = c.author_login))""",
+      OR EXISTS (SELECT 1 FROM approvers a WHERE a.watch = c.watch AND a.login = c.author_login))""",
 )
 def branch_approval_gate(spark, sf):
     fired_branches = triggers.branch_triggers(branch_changes(spark, sf), rules(spark, sf))
-    return triggers.branch_approval_gate(fired_branches, approvers(spark, sf), rules(spark, sf)).select("repo", "name", "oid", "author_login")
+    return triggers.branch_approval_gate(fired_branches, approvers(spark, sf), rules(spark, sf)).select("watch", "repo", "name", "oid", "author_login")
 
 
 # Open pull requests: orders are pull requests, line items their commits, and
@@ -435,7 +455,7 @@ def branch_patterns(spark, sf):
     f"""{WITH_UPDATES}, {FIRED_SQL}, {COMMENTS_SQL},
     started AS (
       SELECT *, CAST(epoch_us(poll_ts) AS BIGINT) AS at_us, 'g' || (number % 2) AS grp, number % 11 = 0 AS fails,
-        repo || '@' || number || '@' || epoch_us(poll_ts) AS event_id FROM gated),
+        watch || '@' || number || '@' || epoch_us(poll_ts) AS event_id FROM gated),
     procs AS (SELECT unnest(['g0', 'g1', 'g1']) AS grp, unnest(['build', 'test', 'lint']) AS process),
     run AS (
       SELECT left(sha256(event_id || chr(31) || process), 8) AS run_id, process, repo, oid, at_us, fails FROM started JOIN procs USING (grp)),
@@ -450,7 +470,7 @@ def branch_patterns(spark, sf):
 def poll_to_status(spark, sf):
     """Polls, changes, triggers, approval, delivery, runs, statuses, latest."""
     events = gated(spark, sf).select(
-        F.concat_ws("@", "repo", "number", F.unix_micros("poll_ts")).alias("event_id"),
+        F.concat_ws("@", "watch", "number", F.unix_micros("poll_ts")).alias("event_id"),
         F.concat(F.lit("g"), F.col("number") % 2).alias("group_id"),
         F.lit(False).alias("is_exit"),
         F.col("poll_ts").alias("created_at"),

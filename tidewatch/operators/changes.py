@@ -3,13 +3,16 @@ branches are new or changed since the watcher last looked."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import last_updated, required_value, split_repo
-from tidewatch.operators.settings import with_rule_defaults
+from tidewatch.operators.settings import matches_pattern, with_rule_defaults
 from tidewatch.plans.expand import explode_range
-from tidewatch.plans.ordered import HOT_ROWS, latest, with_previous, with_running
+from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, join_same, latest, with_previous
+from tidewatch.session import cut
 
 
 def poll_snapshots(
@@ -55,41 +58,107 @@ def raise_marks(marks: DataFrame, kept: DataFrame, keys: list[str], ts: str) ->
     return marks.select(*keys, "mark").unionByName(fresh).groupBy(*keys).agg(F.max("mark").alias("mark"))
 
 
-def newer_than_mark(polls: DataFrame, start: Column, marks: DataFrame | None = None) -> DataFrame:
-    """Rows of ``polls`` (with ``last_updated``) newer than the repository's mark
-    at their poll.
+def with_watch(rules: DataFrame) -> DataFrame:
+    """Rules with their patterns filled in and the ``watch`` each of them is: a
+    repository may have several. Without such a column, the repository's only one."""
+    filled = with_rule_defaults(rules)
+    return filled if "watch" in rules.columns else filled.withColumn("watch", F.col("repo"))
+
+
+def poll_marks(polls: DataFrame) -> DataFrame:
+    """Per watch and poll: the newest update of all rows, and of those that count
+    for the mark (not ``silent``). The one small table all marks come from."""
+    dated = polls.filter(F.col("watch").isNotNull() & F.col("poll_ts").isNotNull() & F.col("last_updated").isNotNull())
+    return dated.groupBy("watch", F.to_date("poll_ts").alias("__day"), "poll_ts").agg(
+        F.max("last_updated").alias("__newest"), F.max(F.when(~F.col("silent"), F.col("last_updated"))).alias("__counted")
+    )
 
-    The mark before a poll is the newest update any earlier poll held, the one
-    in ``marks`` (repo, mark) or ``start``. It is worked out on one row per
-    (repo, poll): within a day, and then from day to day, so no window holds
+
+def newer_than_mark(polls: DataFrame, per_poll: DataFrame, start: Column, marks: DataFrame | None = None) -> DataFrame:
+    """Rows of ``polls`` newer than their watch's mark at their poll.
+
+    The mark before a poll is the newest counted update of any earlier poll, the
+    one in ``marks`` (watch, mark) or ``start``. It is worked out on one row per
+    (watch, poll): within a day, and then from day to day, so no window holds
     more than a day of polls.
     """
-    # the filters that the joins below would add are stated here, so that both
-    # uses of per_poll are one and the same shuffle
-    dated = polls.filter(F.col("repo").isNotNull() & F.col("poll_ts").isNotNull() & F.col("last_updated").isNotNull())
-    per_poll = dated.groupBy("repo", F.to_date("poll_ts").alias("__day"), "poll_ts").agg(F.max("last_updated").alias("__newest"))
-    per_day = per_poll.groupBy("repo", "__day").agg(F.max("__newest").alias("__of_day"))
+    per_day = per_poll.groupBy("watch", "__day").agg(F.max("__counted").alias("__of_day"))
     earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    days = per_day.select("repo", "__day", F.max("__of_day").over(earlier(["repo"], "__day")).alias("__before"))
+    days = per_day.select("watch", "__day", F.max("__of_day").over(earlier(["watch"], "__day")).alias("__before"))
     if marks is not None:
-        known = marks.select("repo", F.col("mark").alias("__known"))
-        days = days.join(known, "repo", "left").select("repo", "__day", F.greatest("__before", "__known").alias("__before"))
-    today = per_poll.withColumn("__today", F.max("__newest").over(earlier(["repo", "__day"], "poll_ts")))
+        known = marks.select("watch", F.col("mark").alias("__known"))
+        days = days.join(known, "watch", "left").select("watch", "__day", F.greatest("__before", "__known").alias("__before"))
+    today = per_poll.withColumn("__today", F.max("__counted").over(earlier(["watch", "__day"], "poll_ts")))
     at_poll = (
-        today.join(days, ["repo", "__day"])
+        today.join(days, ["watch", "__day"])
         .withColumn("mark", F.greatest(start, "__before", "__today"))
         .filter(F.col("__newest") > F.col("mark"))
-        .select("repo", "poll_ts", "mark")
+        .select("watch", "poll_ts", "mark")
     )
-    return polls.join(at_poll, ["repo", "poll_ts"]).filter(F.col("last_updated") > F.col("mark"))
+    return polls.join(at_poll, ["watch", "poll_ts"]).filter(F.col("last_updated") > F.col("mark"))
+
+
+def watch_polls(
+    polls: DataFrame,
+    keys: list[str],
+    version: Column,
+    news: dict[str, Column],
+    start: Column,
+    *,
+    marks: DataFrame | None = None,
+    versions: DataFrame | None = None,
+    limit: int = HOT_ROWS,
+) -> DataFrame:
+    """All rows above their watch's mark, with the columns of ``news`` (over the
+    remembered ``version`` before the row, ``__prev``) and ``silent``: no news.
+
+    Only rows with news raise the mark. Which these are depends on the marks, so
+    marks are first worked out as if all rows had news, and again without the
+    silent ones until these are the same; every round settles at least one more
+    poll, and without silent rows there is one round. ``marks`` (watch, mark) and
+    ``versions`` (watch, keys, version) are what earlier polls left.
+    """
+    entity = ["watch", *keys]
+    polls = polls.filter(F.col("last_updated") > start)  # no mark is below the start
+    silent: DataFrame | None = None
+    while True:
+        told = polls.withColumn("silent", F.lit(False))
+        if silent is not None:
+            told = join_same(polls, silent.withColumn("silent", F.lit(True)), [*entity, "poll_ts"], "left")
+            told = told.withColumn("silent", F.coalesce("silent", F.lit(False)))
+        per_poll = cut(poll_marks(told))
+        longest = per_poll.groupBy("watch").count().agg(F.max("count")).first()[0] or 0
+        fresh = newer_than_mark(told.drop("silent"), per_poll, start, marks)
+        # an entity is in a poll once, so it has no more rows than its watch has polls
+        groups = (
+            OrderedGroups.of_light(fresh, entity, ["poll_ts"]) if longest <= limit else OrderedGroups.split(fresh, entity, ["poll_ts"], limit)
+        )
+        seen = groups.running({"__prev": latest(version)}).rows()
+        if versions is not None:
+            known = versions.select(*entity, F.col("version").alias("__known"))
+            seen = join_same(seen, known, entity, "left").withColumn("__prev", F.coalesce("__prev", "__known")).drop("__known")
+        seen = seen.withColumns(news)
+        has_news = functools.reduce(lambda a, b: a | b, [F.col(n) for n in news])
+        seen = cut(seen.withColumn("silent", ~F.coalesce(has_news, F.lit(False))))
+        quiet = seen.filter("silent").select(*entity, "poll_ts")
+        if silent is None and quiet.isEmpty():
+            return seen
+        if silent is not None and _same_rows(quiet, silent, [*entity, "poll_ts"]):
+            return seen
+        silent = quiet
+
+
+def _same_rows(a: DataFrame, b: DataFrame, columns: list[str]) -> bool:
+    """Equal counts and sums of row hashes."""
+    return len({tuple(d.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()) for d in (a, b)}) == 1
 
 
 def watched_pull_requests(polls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Polled pull requests on a watched base branch, with ``last_updated``."""
-    wanted = with_rule_defaults(rules).select("repo", F.col("branch_pattern").alias("__pattern"))
+    """Polled pull requests once per watch on their base branch, with ``last_updated``."""
+    wanted = with_watch(rules).select("watch", "repo", F.col("branch_pattern").alias("__pattern"))
     return (
         polls.join(wanted, "repo")
-        .filter(F.rlike("base_ref", F.col("__pattern")))
+        .filter(matches_pattern(F.col("base_ref"), F.col("__pattern"), "branch_pattern"))
         .drop("__pattern")
         .withColumn("last_updated", last_updated(F.col("committed_at"), F.col("comment_at")))
     )
@@ -100,55 +169,60 @@ def pull_request_version() -> Column:
     return F.struct("oid", F.coalesce("comment_body", F.lit("")).alias("body"))
 
 
-def with_pull_request_news(seen: DataFrame, previous: str) -> DataFrame:
-    """Rows with ``new_commit`` or ``new_comment`` against the ``previous`` version."""
-    first = F.col(previous).isNull()
+def pull_request_news() -> dict[str, Column]:
+    """``new_commit`` and ``new_comment`` against the version before, ``__prev``."""
+    first = F.col("__prev").isNull()
     has_comment = F.coalesce("comment_id", F.lit("")) != ""
-    flagged = seen.withColumns(
-        {
-            "new_commit": F.when(first, F.col("committed_at") > F.col("mark")).otherwise(F.col(f"{previous}.oid") != F.col("oid")),
-            "new_comment": F.when(first, has_comment).otherwise(
-                F.col(f"{previous}.body") != F.coalesce("comment_body", F.lit(""))
-            ),
-        }
-    )
-    return flagged.filter(F.col("new_commit") | F.col("new_comment")).drop(previous)
+    body = F.coalesce("comment_body", F.lit(""))
+    return {
+        "new_commit": F.when(first, F.col("committed_at") > F.col("mark")).otherwise(F.col("__prev.oid") != F.col("oid")),
+        "new_comment": F.when(first, has_comment).otherwise(F.col("__prev.body") != body),
+    }
 
 
 def pull_request_updates(polls: DataFrame, rules: DataFrame, start: Column, *, limit: int = HOT_ROWS) -> DataFrame:
-    """Pull requests with a new commit or comment, per poll.
+    """Pull requests with a new commit or comment, per watch and poll.
 
     ``polls``: poll_ts, repo, number, base_ref, oid, committed_at, comment_id,
-    comment_at, comment_body and any other columns. Adds ``last_updated``,
-    ``mark``, ``new_commit`` and ``new_comment``.
+    comment_at, comment_body and any other columns. Adds ``watch``,
+    ``last_updated``, ``mark``, ``new_commit`` and ``new_comment``.
     """
-    fresh = newer_than_mark(watched_pull_requests(polls, rules), start)
-    remembered = {"__prev": latest(pull_request_version())}
-    seen = with_running(fresh, ["repo", "number"], ["poll_ts"], remembered, limit=limit, sizes=polls)
-    return with_pull_request_news(seen, "__prev")
+    watched = watched_pull_requests(polls, rules)
+    seen = watch_polls(watched, ["repo", "number"], pull_request_version(), pull_request_news(), start, limit=limit)
+    return seen.filter(~F.col("silent")).drop("silent", "__prev")
+
+
+def watched_branches(polls: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Polled branches once per watch on their repository (one without rules)."""
+    dated = polls.withColumn("last_updated", F.col("committed_at"))
+    if rules is None:
+        return dated.withColumn("watch", F.col("repo"))
+    return dated.join(with_watch(rules).select("watch", "repo"), "repo")
+
+
+def branch_news() -> dict[str, Column]:
+    return {"is_new": F.col("__prev").isNull() | (F.col("__prev.oid") != F.col("oid"))}
 
 
-def branch_updates(polls: DataFrame, start: Column, *, limit: int = HOT_ROWS) -> DataFrame:
-    """Branches whose head changed, per poll; ``polls``: poll_ts, repo, name,
-    oid, committed_at. No branch pattern applies. Adds ``mark``."""
-    fresh = newer_than_mark(polls.withColumn("last_updated", F.col("committed_at")), start)
-    seen = with_running(fresh, ["repo", "name"], ["poll_ts"], {"__prev": latest(F.struct("oid"))}, limit=limit, sizes=polls)
-    changed = F.col("__prev").isNull() | (F.col("__prev.oid") != F.col("oid"))
-    return seen.filter(changed).drop("__prev", "last_updated")
+def branch_updates(polls: DataFrame, start: Column, rules: DataFrame | None = None, *, limit: int = HOT_ROWS) -> DataFrame:
+    """Branches whose head changed, per watch and poll; ``polls``: poll_ts, repo,
+    name, oid, committed_at. No branch pattern applies. Adds ``watch``, ``mark``."""
+    seen = watch_polls(watched_branches(polls, rules), ["repo", "name"], F.struct("oid"), branch_news(), start, limit=limit)
+    return seen.filter(~F.col("silent")).drop("silent", "__prev", "is_new", "last_updated")
 
 
 def open_prs_with_latest(prs: DataFrame, commits: DataFrame, comments: DataFrame) -> DataFrame:
     """Open pull requests with their last commit and last comment (structs;
     NULL when there is none). The last one is the newest, ties by id."""
     keys = ["repo", "number"]
+    still_open = prs.filter(F.upper("state") == "OPEN")
 
     def newest(rows: DataFrame, ts: str, key: str, name: str) -> DataFrame:
         body = F.struct(*[c for c in rows.columns if c not in keys])
-        return rows.groupBy(*keys).agg(F.max_by(body, F.struct(ts, key)).alias(name))
+        return rows.join(still_open.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.max_by(body, F.struct(ts, key)).alias(name))
 
     return (
-        prs.filter(F.upper("state") == "OPEN")
-        .join(newest(commits, "committed_at", "oid", "last_commit"), keys, "left")
+        still_open.join(newest(commits, "committed_at", "oid", "last_commit"), keys, "left")
         .join(newest(comments, "created_at", "id", "last_comment"), keys, "left")
     )
 
@@ -173,12 +247,12 @@ def modified_files(pr_files: DataFrame) -> DataFrame:
 
 
 def approvers(team_members: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct logins over the teams (``org/slug``) each repository lists."""
-    listed = rules.select("repo", F.explode("teams").alias("__team")).select(
-        "repo", split_repo(F.col("__team")).alias("__team")
+    """Distinct logins over the teams (``org/slug``) each watch lists."""
+    listed = with_watch(rules).select("watch", F.explode("teams").alias("__team")).select(
+        "watch", split_repo(F.col("__team")).alias("__team")
     )
     wanted = listed.filter(F.col("__team").isNotNull()).select(
-        "repo", F.col("__team.owner").alias("org"), F.col("__team.name").alias("slug")
+        "watch", F.col("__team.owner").alias("org"), F.col("__team.name").alias("slug")
     )
     members = team_members.filter(required_value(F.col("login")).isNotNull())
-    return members.join(wanted, ["org", "slug"]).select("repo", "login").distinct()
+    return members.join(wanted, ["org", "slug"]).select("watch", "login").distinct()

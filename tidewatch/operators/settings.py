@@ -33,6 +33,13 @@ def with_rule_defaults(rules: DataFrame) -> DataFrame:
     return filled
 
 
+def matches_pattern(text: Column, pattern: Column, name: str) -> Column:
+    """Whether the text matches a rule's pattern. Most rules have the default, which
+    is compiled once as a literal instead of once per row."""
+    default = F.lit(DEFAULTS["watch"][name])
+    return F.when(pattern == default, F.rlike(text, default)).otherwise(F.rlike(text, pattern))
+
+
 def with_image_defaults(images: DataFrame) -> DataFrame:
     """Build context ``.`` and the Dockerfile inside the context."""
     context = or_default(F.col("context"), F.lit(DEFAULTS["image"]["context"]))

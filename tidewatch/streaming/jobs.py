@@ -28,10 +28,21 @@ def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern:
     return reader.parquet(folder)
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def is_complete(spark: SparkSession, folder: str) -> bool:
     """Whether a write into the folder was committed; a crash leaves it without mark."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    path, files = _hadoop_path(spark, f"{folder}/_SUCCESS")
+    return files.exists(path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that a stream wrote, if it is there."""
+    path, files = _hadoop_path(spark, folder)
+    files.delete(path, True)
 
 
 def to_files(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

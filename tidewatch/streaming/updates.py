@@ -1,132 +1,89 @@
 """Watching repositories as a stream.
 
-Two stages, because the mark belongs to the repository and the remembered
-version to the pull request: the first drops rows at or below the mark, working
-on whole micro-batches with one mark per repository as its state; the second
-keeps the last version of each pull request in the state store, so a repository
-with a third of all polls is still spread over its pull requests.
+A micro-batch of polls goes through the batch operator, together with what the
+batches before it left: a mark per watch, and the remembered version of each entity
+that was polled within ``forget`` of the newest poll. Both are small tables, written
+per batch beside its updates; the tables of older batches are removed. A batch that is
+run again after a crash overwrites what was left half written.
 
 A poll's rows must arrive in one micro-batch, and polls in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators import changes
-from tidewatch.session import send_by_value
-from tidewatch.streaming.jobs import is_complete, run_once, stream_table, to_files, use_rocksdb
+from tidewatch.streaming.jobs import is_complete, remove_folder, run_once
+
+FORGET = "90 days"
 
 
 def _read_if_complete(spark: SparkSession, folder: str) -> DataFrame | None:
     return spark.read.parquet(folder) if is_complete(spark, folder) else None
 
 
-def _keep_newer(prepare: Callable[[DataFrame], DataFrame], start: Column, state: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` step: rows above the mark to ``state/fresh``, marks to
-    ``state/marks``, each in a folder per batch. A batch that is run again is
-    skipped if both were committed; what a crash left half written is overwritten."""
+def _new_marks(seen: DataFrame, known: DataFrame | None) -> DataFrame:
+    raised = seen.filter(~F.col("silent")).groupBy("watch").agg(F.max("last_updated").alias("mark"))
+    return raised if known is None else known.unionByName(raised).groupBy("watch").agg(F.max("mark").alias("mark"))
+
+
+def _new_versions(seen: DataFrame, version: Column, keys: list[str], known: DataFrame | None, forget: str) -> DataFrame:
+    entity = ["watch", *keys]
+    latest = seen.select(*entity, "poll_ts", version.alias("version"))
+    every = latest if known is None else known.unionByName(latest)
+    newest = every.groupBy(*entity).agg(F.max_by("version", "poll_ts").alias("version"), F.max("poll_ts").alias("poll_ts"))
+    end = every.agg(F.max("poll_ts")).first()[0]
+    return newest if end is None else newest.filter(F.col("poll_ts") >= F.lit(end) - F.expr(f"INTERVAL {forget}"))
+
+
+def _step(watched: Callable[[DataFrame], DataFrame], keys: list[str], version: Column, news: dict[str, Column], start: Column, state: str, forget: str):
+    """``foreachBatch`` step: ``updates``, ``versions`` and, last, ``marks`` in a
+    folder per batch below ``state``."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if is_complete(spark, f"{state}/marks/batch={batch_id}"):
             return
-        known = _read_if_complete(spark, f"{state}/marks/batch={batch_id - 1}")
-        rows = prepare(batch).persist()
-        try:
-            changes.newer_than_mark(rows, start, known).write.mode("overwrite").parquet(f"{state}/fresh/batch={batch_id}")
-            newest = rows.groupBy("repo").agg(F.max("last_updated").alias("mark"))
-            if known is not None:
-                newest = changes.raise_marks(known, newest, ["repo"], "mark")
-            newest.write.mode("overwrite").parquet(f"{state}/marks/batch={batch_id}")
-        finally:
-            rows.unpersist()
+        marks = _read_if_complete(spark, f"{state}/marks/batch={batch_id - 1}")
+        versions = _read_if_complete(spark, f"{state}/versions/batch={batch_id - 1}")
+        seen = changes.watch_polls(watched(batch), keys, version, news, start, marks=marks, versions=versions)
+        updates = seen.filter(~F.col("silent")).drop("silent", "__prev")
+        updates.write.mode("overwrite").parquet(f"{state}/updates/batch={batch_id}")
+        _new_versions(seen, version, keys, versions, forget).write.mode("overwrite").parquet(f"{state}/versions/batch={batch_id}")
+        _new_marks(seen, marks).write.mode("overwrite").parquet(f"{state}/marks/batch={batch_id}")
+        # a restart goes on from the last batch or repeats it, which needs the one before
+        for name in ("marks", "versions"):
+            remove_folder(spark, f"{state}/{name}/batch={batch_id - 2}")
 
     return step
 
 
-class LastVersion(StatefulProcessor):
-    """Adds to each row the version of its key seen before it."""
-
-    def __init__(self, columns: list[str]):
-        self.columns = columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.version = handle.getValueState("version", T.StructType([T.StructField("oid", T.StringType()), T.StructField("body", T.StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        kept = self.version.get() if self.version.exists() else None
-        previous = None if kept is None else (kept[0], kept[1])
-        for row in sorted(rows, key=lambda r: r["poll_ts"]):
-            kept_row = None if previous is None else Row(oid=previous[0], body=previous[1])
-            yield Row(**{c: row[c] for c in self.columns}, __prev=kept_row)
-            previous = (row["oid"], row["__body"])
-        if previous is not None:
-            self.version.update(previous)
-
-    def close(self) -> None:
-        pass
-
-
-def _with_previous_version(fresh: DataFrame, keys: list[str]) -> DataFrame:
-    columns = fresh.columns
-    version = T.StructType([T.StructField("oid", T.StringType()), T.StructField("body", T.StringType())])
-    schema = T.StructType([*fresh.schema.fields, T.StructField("__prev", version)])
-    return fresh.groupBy(*keys).transformWithState(
-        statefulProcessor=LastVersion(columns), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
-
-
-def _marks_stage(polls: DataFrame, prepare: Callable[[DataFrame], DataFrame], start: Column, state: str) -> DataStreamWriter:
-    step = _keep_newer(prepare, start, state)
-    return polls.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint-marks")
+def _updates_once(polls: DataFrame, step, state: str, nothing: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    spark = polls.sparkSession
+    run_once(polls.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint"))
+    empty = nothing(spark.createDataFrame([], polls.schema))
+    if not is_complete(spark, f"{state}/updates/batch=0"):
+        return empty
+    return spark.read.schema(empty.schema).parquet(f"{state}/updates").select(*empty.columns)
 
 
-def _updates_once(
-    polls: DataFrame, prepare, start: Column, keys: list[str], news: Callable[[DataFrame], DataFrame], state: str
-) -> DataFrame:
-    spark = polls.sparkSession
-    use_rocksdb(spark)
-    run_once(_marks_stage(polls, prepare, start, state))
-    nothing = changes.newer_than_mark(prepare(spark.createDataFrame([], polls.schema)), start)
-    if not is_complete(spark, f"{state}/fresh/batch=0"):
-        return news(nothing.withColumn("__prev", F.lit(None).cast("struct<oid:string,body:string>")))
-    fresh = stream_table(spark, f"{state}/fresh/*", nothing.schema)
-    changed = news(_with_previous_version(fresh, keys))
-    run_once(to_files(changed, f"{state}/updates", f"{state}/checkpoint-updates"))
-    return spark.read.parquet(f"{state}/updates")
-
-
-def stream_pr_updates(polls: DataFrame, rules: DataFrame, start: Column, state: str) -> DataFrame:
+def stream_pr_updates(polls: DataFrame, rules: DataFrame, start: Column, state: str, *, forget: str = FORGET) -> DataFrame:
     """Run the stream of polls over all that is there and return all updates
     found so far. ``state`` is a shared folder; calling again goes on from it."""
-
-    def prepare(batch: DataFrame) -> DataFrame:
-        watched = changes.watched_pull_requests(batch, rules)
-        return watched.withColumn("__body", F.coalesce("comment_body", F.lit("")))
-
-    def news(seen: DataFrame) -> DataFrame:
-        return changes.with_pull_request_news(seen, "__prev").drop("__body")
-
-    return _updates_once(polls, prepare, start, ["repo", "number"], news, state)
+    step = _step(
+        lambda batch: changes.watched_pull_requests(batch, rules),
+        ["repo", "number"], changes.pull_request_version(), changes.pull_request_news(), start, state, forget,
+    )
+    return _updates_once(polls, step, state, lambda none: changes.pull_request_updates(none, rules, start))
 
 
-def stream_branch_updates(polls: DataFrame, start: Column, state: str) -> DataFrame:
+def stream_branch_updates(polls: DataFrame, start: Column, state: str, rules: DataFrame | None = None, *, forget: str = FORGET) -> DataFrame:
     """As ``stream_pr_updates``, for branches."""
-
-    def prepare(batch: DataFrame) -> DataFrame:
-        return batch.withColumns({"last_updated": F.col("committed_at"), "__body": F.lit("")})
-
-    def news(seen: DataFrame) -> DataFrame:
-        changed = F.col("__prev").isNull() | (F.col("__prev.oid") != F.col("oid"))
-        return seen.filter(changed).drop("__prev", "__body", "last_updated")
-
-    return _updates_once(polls, prepare, start, ["repo", "name"], news, state)
-
-
-send_by_value(__name__)
+    step = _step(
+        lambda batch: changes.watched_branches(batch, rules), ["repo", "name"], F.struct("oid"), changes.branch_news(), start, state, forget
+    )
+    return _updates_once(polls, step, state, lambda none: changes.branch_updates(none, start, rules))
