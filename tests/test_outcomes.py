@@ -6,6 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.streaming.admission import admission_totals, stream_admission_counts, stream_admit
+from tidewatch.streaming.jobs import run_once
 from tidewatch.operators import outcomes, routing
 
 STEP = "run_id int, seq_no int, is_deferred boolean, error string, value string"
@@ -141,3 +143,25 @@ def test_durations_have_a_median(spark):
     df = spark.createDataFrame([("p", at, datetime(2024, 1, 1, 0, 0, s), None) for s in (1, 2, 9)], "process string, started_at timestamp, ended_at timestamp, error string")
     row = routing.run_durations(df).first()
     assert (row.n_runs, row.avg_seconds, row.max_seconds, row.median_seconds) == (3, 4.0, 9.0, 2.0)
+
+
+def test_streamed_admission_keeps_every_event(spark, tmp_path):
+    """Counts go on between micro-batches; late, untimed and surplus events stay findable."""
+    schema = "id int, k string, s int"
+    batches = [
+        [(i, "k", i) for i in range(10)] + [(10, None, 3), (11, None, None)],
+        [(20 + i, "k", 20 + i) for i in range(5)] + [(30, "k", 400_000)],
+        [(40, "k", 5), (41, "k", 400_001), (42, None, 400_002)],
+    ]
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        events = spark.readStream.schema(f"{schema}, ts timestamp").parquet(f"{tmp_path}/in")
+        run_once(stream_admit(events, ["k"], "1 hour", ["ts", "id"], f"{tmp_path}/state", cap=12, lateness="1 day"))
+        run_once(stream_admission_counts(events, ["k"], "1 hour", "ts", f"{tmp_path}/counts"))
+    found = {name: spark.read.parquet(f"{tmp_path}/state/{name}").collect() for name in ("admitted", "dropped", "late")}
+    assert sorted(r.id for r in found["admitted"]) == [*range(11), 20, 21, 30, 41, 42]
+    assert {r.id: r.position for r in found["admitted"]}[21] == 12 and {r.id: r.position for r in found["admitted"]}[41] == 2
+    assert sorted(r.id for r in found["dropped"]) == [11, 22, 23, 24]
+    assert [r.id for r in found["late"]] == [40]
+    totals = admission_totals(spark.read.parquet(f"{tmp_path}/counts/counts"), ["k"], 12).collect()
+    assert sorted((r.k or "", r.n_admitted, r.n_dropped) for r in totals) == [("", 1, 0), ("", 1, 0), ("k", 2, 0), ("k", 12, 4)]

@@ -2,88 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import chatting, running, shaping, watching
-from tidewatch.catalog.registry import ORACLES, query
+from tidewatch.catalog.registry import ORACLES, query, table
 from tidewatch.operators import logs, outcomes, routing
 from tidewatch.session import shared_folder
 from tidewatch.sources.sinks import LOG_TIME, write_logs
-from tidewatch.streaming.admission import stream_admission_counts, stream_admit
+from tidewatch.streaming.admission import admission_totals, stream_admission_counts, stream_admit
 from tidewatch.streaming.conversations import stream_conversations
 from tidewatch.streaming.jobs import run_once, stream_table, to_files
 from tidewatch.streaming.statuses import stream_statuses
 from tidewatch.streaming.updates import stream_branch_updates, stream_pr_updates
 
 
-def streamed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A derived table written to the shared folder and read back as a stream."""
-    folder = f"{shared_folder(spark, name)}/input"
-    df.write.parquet(folder)
-    return stream_table(spark, folder, df.schema)
+BATCHES = 5
 
 
-def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table as a stream."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    raw = stream_table(spark, sf, schema, pattern=f"{name}.parquet")
-    return raw.withColumns({f: F.col(f).cast("timestamp") for f, t in raw.dtypes if t == "timestamp_ntz"})
+def fed(spark: SparkSession, df: DataFrame, ts: str, name: str, run: Callable[[DataFrame], object]) -> object:
+    """Feed a table to a stream in ``BATCHES`` stretches of time, the earliest first.
+    After each, ``run`` takes up the stream where it stopped; the last result counts."""
+    folder = shared_folder(spark, name)
+    df.write.parquet(f"{folder}/all")
+    every = spark.read.schema(df.schema).parquet(f"{folder}/all")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    first, last = every.agg(F.min(at), F.max(at)).first()
+    width = ((last or 0) - (first or 0)) // BATCHES + 1
+    stretch = F.floor((at - (first or 0)) / width)
+    result = None
+    for number in range(BATCHES):
+        every.filter(stretch == number).write.mode("append").parquet(f"{folder}/input")
+        result = run(stream_table(spark, f"{folder}/input", df.schema))
+    return result
 
 
 @query("stream_pull_request_updates", ORACLES["watch_pull_request_updates"])
 def pr_updates(spark, sf):
-    polls = streamed(spark, watching.polls(spark, sf), "polls")
-    found = stream_pr_updates(polls, watching.rules(spark, sf), watching.start(), shared_folder(spark, "pr-updates"))
-    return watching.shown_updates(found)
+    state, ruled = shared_folder(spark, "pr-updates"), watching.rules(spark, sf)
+    run = lambda polls: stream_pr_updates(polls, ruled, watching.start(), state)
+    return watching.shown_updates(fed(spark, watching.polls(spark, sf), "poll_ts", "polls", run))
 
 
 @query("stream_branch_updates", ORACLES["watch_branch_updates"])
 def branch_updates(spark, sf):
-    polls = streamed(spark, watching.heads(spark, sf), "heads")
-    found = stream_branch_updates(polls, F.lit("1995-06-01").cast("timestamp"), shared_folder(spark, "branch-updates"), watching.rules(spark, sf))
-    return watching.shown_branches(found)
+    state, ruled = shared_folder(spark, "branch-updates"), watching.rules(spark, sf)
+    run = lambda heads: stream_branch_updates(heads, F.lit("1995-06-01").cast("timestamp"), state, ruled)
+    return watching.shown_branches(fed(spark, watching.heads(spark, sf), "poll_ts", "heads", run))
 
 
 @query("stream_conversations", ORACLES["chat_conversations"])
 def conversations(spark, sf):
-    said = chatting.as_talk(source(spark, sf, "events"))
-    handled = stream_conversations(said, chatting.TALK, thread=["thread"], order=["ts", "event_id"], self_id="BOT")
     folder = shared_folder(spark, "conversations")
-    run_once(to_files(handled, f"{folder}/out", f"{folder}/checkpoint"))
+
+    def run(events: DataFrame) -> None:
+        handled = stream_conversations(chatting.as_talk(events), chatting.TALK, thread=["thread"], order=["ts", "event_id"], self_id="BOT")
+        run_once(to_files(handled, f"{folder}/out", f"{folder}/checkpoint"))
+
+    fed(spark, table(spark, sf, "events"), "ts", "talk", run)
     return spark.read.parquet(f"{folder}/out").select("thread", "event_id", "phase", "reply", "is_event")
 
 
 @query("stream_admit", ORACLES["route_admit"])
 def admit(spark, sf):
-    numbered = stream_admit(source(spark, sf, "events"), ["event_type"], "1 day", ["ts", "event_id"])
-    folder = shared_folder(spark, "admit")
-    run_once(to_files(numbered, f"{folder}/out", f"{folder}/checkpoint"))
-    admitted = spark.read.parquet(f"{folder}/out").filter(F.col("position") <= routing.PROCESS_CAP)
-    return admitted.select(
+    state = shared_folder(spark, "admit")
+    run = lambda events: run_once(stream_admit(events, ["event_type"], "1 day", ["ts", "event_id"], state, routing.PROCESS_CAP))
+    fed(spark, table(spark, sf, "events"), "ts", "events", run)
+    return spark.read.parquet(f"{state}/admitted").select(
         "event_id", "event_type", F.unix_micros("window_start").alias("window_us"), F.col("position").cast("int").alias("position")
     )
 
 
-@query(
-    "stream_admission_counts",
-    f"""{running.ADMIT_SQL}, closed AS (SELECT epoch_us(max(ts) - INTERVAL 1 HOUR) AS mark FROM events)
-    SELECT event_type, window_us, count(*) FILTER (position <= 32) AS n_admitted, count(*) FILTER (position > 32) AS n_dropped
-    FROM ranked, closed WHERE window_us + 86400000000 <= mark GROUP BY ALL""",
-)
+@query("stream_admission_counts", ORACLES["route_admission_counts"])
 def admission(spark, sf):
-    counts = stream_admission_counts(source(spark, sf, "events"), ["event_type"], "1 day", "ts", routing.PROCESS_CAP)
-    folder = shared_folder(spark, "admission")
-    run_once(to_files(counts, f"{folder}/out", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/out").select(
-        "event_type", F.unix_micros("window_start").alias("window_us"), "n_admitted", "n_dropped"
-    )
+    state = shared_folder(spark, "admission")
+    run = lambda events: run_once(stream_admission_counts(events, ["event_type"], "1 day", "ts", state))
+    fed(spark, table(spark, sf, "events"), "ts", "events", run)
+    counts = admission_totals(spark.read.parquet(f"{state}/counts"), ["event_type"], routing.PROCESS_CAP)
+    return counts.select("event_type", F.unix_micros("window_start").alias("window_us"), "n_admitted", "n_dropped")
 
 
 @query("stream_statuses", ORACLES["outcome_latest_status"])
 def statuses(spark, sf):
     folder = shared_folder(spark, "statuses")
-    run_once(stream_statuses(running.as_finished(source(spark, sf, "orders")), f"{folder}/table", f"{folder}/checkpoint"))
+    run = lambda orders: run_once(stream_statuses(running.as_finished(orders), f"{folder}/table", f"{folder}/checkpoint"))
+    fed(spark, table(spark, sf, "orders"), "o_orderdate", "orders", run)
     kept = spark.read.parquet(f"{folder}/table").drop("batch_id", "stream").withColumn("tie", F.struct("run_id", "status_no"))
     return outcomes.latest_status(kept, tie="tie", base="").drop("ts")
 

@@ -1,69 +1,88 @@
-"""Load shedding as a stream: one counter per key and window."""
+"""Load shedding as a stream: counts per key and window carried between micro-batches.
 
-from __future__ import annotations
+Everything runs on whole micro-batches. What is carried is one count per key and
+window, until ``lateness`` has passed since the window began to be the newest;
+events that come for a window no longer carried are kept apart as late, so every
+event is admitted, dropped or late.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tidewatch.operators.routing import CHANNEL_CAP, admission_counts
-from tidewatch.session import send_by_value
-from tidewatch.streaming.jobs import use_rocksdb
-
-
-class Admission(StatefulProcessor):
-    """Numbers the events of a key and window as they arrive; the counter goes
-    when the watermark passes the end of the window."""
-
-    def __init__(self, columns: list[str], order: list[str]):
-        self.columns, self.order = columns, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        if n == 0:
-            self.handle.registerTimer(int(key[-1]) // 1000)
-        for row in sorted(rows, key=lambda r: [r[c] for c in self.order]):
-            n += 1
-            yield Row(**{c: row[c] for c in self.columns}, position=n)
-        self.count.update((n,))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.count.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_admit(events: DataFrame, keys: list[str], window: str, order: list[str], *, lateness: str = "1 hour") -> DataFrame:
-    """Events with their ``position`` of arrival in key and window: those up to
-    the cap are admitted, those beyond are dropped."""
-    use_rocksdb(events.sparkSession)
-    ts = order[0]
-    slot = F.window(ts, window)
-    binned = events.withWatermark(ts, lateness).withColumns({"window_start": slot["start"], "__end_us": F.unix_micros(slot["end"])})
-    numbered = binned.groupBy(*keys, "window_start", "__end_us").transformWithState(
-        statefulProcessor=Admission(binned.columns, order),
-        outputStructType=T.StructType([*binned.schema.fields, T.StructField("position", T.LongType())]),
-        outputMode="Append",
-        timeMode="EventTime",
+from pyspark.sql.streaming import DataStreamWriter
+
+from tidewatch.operators.routing import CHANNEL_CAP
+from tidewatch.plans.ordered import first_in_group, join_same
+from tidewatch.streaming.jobs import is_complete, remove_folder
+
+FOLDERS = ("admitted", "dropped", "late")
+
+
+def _binned(events: DataFrame, ts: str, window: str) -> tuple[DataFrame, DataFrame]:
+    """Events with their window, and those without a time."""
+    untimed = events.filter(F.col(ts).isNull()).withColumn("window_start", F.lit(None).cast("timestamp"))
+    return events.filter(F.col(ts).isNotNull()).withColumn("window_start", F.window(ts, window)["start"]), untimed
+
+
+def stream_admit(
+    events: DataFrame, keys: list[str], window: str, order: list[str], state: str, cap: int = CHANNEL_CAP, *, lateness: str = "7 days"
+) -> DataStreamWriter:
+    """Write the first ``cap`` events of each key and window, with their
+    ``position`` of arrival, to ``state/admitted``, the others to ``state/dropped``
+    and ``state/late``, in a folder per micro-batch. Within a micro-batch events
+    count in the given total ``order``."""
+    group = [*keys, "window_start"]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if is_complete(spark, f"{state}/counts/batch={batch_id}"):
+            return
+        before = f"{state}/counts/batch={batch_id - 1}"
+        known = spark.read.parquet(before) if is_complete(spark, before) else None
+        binned, untimed = _binned(batch, order[0], window)
+        timely, late = binned, binned.limit(0)
+        if known is not None:
+            horizon = F.lit(known.agg(F.max("window_start")).first()[0]) - F.expr(f"INTERVAL {lateness}")
+            is_late = F.coalesce(F.col("window_start") < horizon, F.lit(False))
+            timely, late = binned.filter(~is_late), binned.filter(is_late)
+        ranked = first_in_group(timely, group, order, cap).withColumn("position", F.col("position").cast("long"))
+        if known is not None:
+            ranked = join_same(ranked, known.withColumnRenamed("n", "__n"), group, "left")
+            ranked = ranked.withColumn("position", F.col("position") + F.coalesce("__n", F.lit(0))).drop("__n")
+        taken = ranked.filter(F.col("position") <= cap)
+        last = taken.groupBy(*group).agg(F.max(F.struct(*order)).alias("__last"))
+        beyond = join_same(timely, last, group, "left").filter(F.col("__last").isNull() | (F.struct(*order) > F.col("__last"))).drop("__last")
+        for folder, rows in zip(FOLDERS, (taken, beyond.unionByName(untimed), late), strict=True):
+            rows.write.mode("overwrite").parquet(f"{state}/{folder}/batch={batch_id}")
+        counts = timely.groupBy(*group).agg(F.count("*").alias("n"))
+        if known is not None:
+            counts = known.unionByName(counts).groupBy(*group).agg(F.sum("n").alias("n"))
+        newest = counts.agg(F.max("window_start")).first()[0]
+        if newest is not None:
+            counts = counts.filter(F.col("window_start") >= F.lit(newest) - F.expr(f"INTERVAL {lateness}"))
+        counts.write.mode("overwrite").parquet(f"{state}/counts/batch={batch_id}")
+        remove_folder(spark, f"{state}/counts/batch={batch_id - 2}")
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint")
+
+
+def stream_admission_counts(events: DataFrame, keys: list[str], window: str, ts: str, state: str) -> DataStreamWriter:
+    """Write the number of events per key and window of every micro-batch to
+    ``state/counts``; ``admission_totals`` adds them up. Nothing waits for a window
+    to close, so open windows and late events are in it."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        binned, _ = _binned(batch, ts, window)
+        counts = binned.groupBy(*keys, "window_start").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{state}/counts/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint")
+
+
+def admission_totals(counts: DataFrame, keys: list[str], cap: int = CHANNEL_CAP) -> DataFrame:
+    """Admitted and dropped events per key and window so far."""
+    total = counts.groupBy(*keys, "window_start").agg(F.sum("n").alias("n"))
+    return total.select(
+        *keys, "window_start", F.least("n", F.lit(cap)).alias("n_admitted"), F.greatest(F.col("n") - cap, F.lit(0)).alias("n_dropped")
     )
-    return numbered.drop("__end_us")
-
-
-def stream_admission_counts(
-    events: DataFrame, keys: list[str], window: str, ts: str, cap: int = CHANNEL_CAP, *, lateness: str = "1 hour"
-) -> DataFrame:
-    """Admitted and dropped counts of each closed window: a plain windowed
-    aggregate, combined before the shuffle."""
-    return admission_counts(events.withWatermark(ts, lateness), keys, window, ts, cap)
-
-
-send_by_value(__name__)
