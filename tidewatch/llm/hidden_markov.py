@@ -1,6 +1,6 @@
 """Hidden Markov language model, trained by Baum-Welch over the whole corpus.
 
-The ``HEAD`` most frequent words of the training texts, the end of a text and "any
+At most ``HEAD`` frequent words of the training texts, the end of a text and "any
 other word" are the symbols that the hidden states emit. Another word w then has a
 probability of its own, (c + 0.5) / (R + 0.5 (Q + 1)), from its count c, the count R
 and the number Q of all other words in training; one unseen word's share is left
@@ -76,6 +76,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words, the most frequent first: all words of the highest
+    counts, in steps of a 64th of a doubling, of which as many whole steps are taken
+    as fit. So the tasks together hand on no more rows than that."""
+    step = F.floor(F.log2("c") * 64)
+    sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    lowest, n = None, 0
+    for at, count in sizes:
+        n += count
+        if n > most:
+            break
+        lowest = at
+    if lowest is None:
+        return []
+    found = [(bytes(r["word"]), r["c"]) for r in counts.filter(step >= lowest).collect()]
+    return sorted(found, key=lambda word: (-word[1], word[0]))
+
+
 # ---- texts as symbols
 
 
@@ -259,7 +277,7 @@ def score(docs: DataFrame, head: int = HEAD, states: int = STATES, rounds: int =
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0))
     ).first()
     total = n_all + 0.5 * (n_distinct + 1)
-    frequent = [(bytes(r["word"]), r["c"]) for r in counts.filter(~is_end).orderBy(F.desc("c"), "word").limit(head).collect()]
+    frequent = frequent_words(counts.filter(~is_end), head)
     rows = encoded(docs, frequent, n_ends, total)
 
     in_head = sum(c for _, c in frequent)
