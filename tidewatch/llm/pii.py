@@ -33,8 +33,8 @@ MIN_TEXTS = 3
 MIN_TERM_CHARS = 3
 GENERALISE = 0.85
 REMOVE = 0.95
-#: Candidate terms, or documents with terms, that are still sent to every task:
-#: a term has at most CONTEXT_CHARS characters, and the bytes of the latter are checked.
+#: Disclosing terms, or documents with them, that are still sent to every task: a
+#: term has at most CONTEXT_CHARS characters, and the bytes of the latter are checked.
 BROADCAST_TERMS = 20_000
 BROADCAST_BYTES = 8 << 20
 
@@ -163,10 +163,10 @@ def _all_terms(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(*more, F.explode(F.array_distinct(_terms(whole))).alias("term"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, n_term): in how many documents each of the given terms occurs."""
-    side = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    return _all_terms(docs).join(side, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_term): in how many documents each term of the corpus occurs, added
+    up in each task before the shuffle."""
+    return _all_terms(docs).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def occurrences(docs: DataFrame, flagged: DataFrame, n_terms: int) -> DataFrame:
@@ -187,15 +187,13 @@ def occurrences(docs: DataFrame, flagged: DataFrame, n_terms: int) -> DataFrame:
 def flagged_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
     """(term, removed) of the terms that disclose enough; None if none can."""
     pairs = cut(candidates(found))
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if n_terms == 0:
+    if pairs.isEmpty():
         return None
     n_docs = F.lit(float(found.count()))
     shared = F.log(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     whole = F.log(n_docs / F.col("n_entity"))
     return (
-        pairs.join(term_counts(docs, terms, n_terms), "term")
+        pairs.join(term_counts(docs), "term")
         .groupBy("term")
         .agg(F.max(F.when(whole > 0, shared / whole).otherwise(F.lit(0.0))).alias("disclosed"))
         .filter(F.col("disclosed") >= generalise)
