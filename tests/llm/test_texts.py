@@ -154,6 +154,22 @@ def test_disclosure_is_the_normalised_information(spark, secret_rows):
     assert pii.GENERALISE < share < pii.REMOVE  # generalised, as one text holds it alone
 
 
+def test_terms_of_rare_values(spark):
+    """Names beside values of one and of two texts are found, words of other texts stay,
+    and copies of a text are no further evidence."""
+    rows = [(i, f"w{i % 50} w{i % 7} plain") for i in range(2000)]
+    rows += [(3000, "plain w1 Quillon at q1@mail.example.com w2"), (3001, "w3 plain Brandt +49 30 1234567 w4")]
+    rows += [(3002, "w5 plain w6 Brandt +49 30 1234567")]
+    found = {r["doc_id"]: r for r in pii.judge(frame(spark, rows)).filter("size(terms) > 0").collect()}
+    words = {i: [dict(rows)[i][t["start"] : t["end"]] for t in r["terms"]] for i, r in found.items()}
+    assert words[3000][0] == "Quillon" and "Brandt" in words[3001] and "Brandt" in words[3002]
+    assert set(words) == {3000, 3001, 3002}
+    assert not {"plain", *(f"w{i}" for i in range(50))} & {w for ws in words.values() for w in ws}
+    few = [(i, f"w{i % 50} plain") for i in range(60)]
+    copied = frame(spark, few + [(100 + i, "plain Quillon q1@mail.example.com") for i in range(5)])
+    assert pii.judge(copied).filter("size(terms) > 0").count() == 0
+
+
 def test_sanitised_texts(spark, secret_rows, odd_docs, odd_rows, no_docs):
     docs = frame(spark, secret_rows)
     clean = pii.sanitised(docs)

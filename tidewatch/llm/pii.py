@@ -7,9 +7,11 @@ documents, a term t discloses of a value e
     log(p(t, e) / (p(t) p(e))) / log(1 / p(e))
 
 which is 1 if the term never occurs without the value and 0 if both are independent.
-Terms that stand near one value in at least ``MIN_TEXTS`` different texts and
-disclose at least ``GENERALISE`` of it are generalised wherever they occur, those
-that disclose ``REMOVE`` or more are removed. Terms are first counted, and only those
+p(t, e) / p(t) is estimated as if ``PRIOR`` further texts with the term held the value
+as often as any text does, so what only one or two texts show counts for less; copies
+of a text are no further evidence. Terms that disclose at least ``GENERALISE`` of a
+value are generalised wherever they occur, those that disclose ``REMOVE`` or more are
+removed, however few texts hold the value. Terms are first counted, and only those
 that disclose enough, which are rare, are looked for in the texts.
 
 Everything is made of Spark expressions.
@@ -29,7 +31,7 @@ from tidewatch.session import cut
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 CONTEXT_CHARS = 64
-MIN_TEXTS = 3
+PRIOR = 2.0
 MIN_TERM_CHARS = 3
 GENERALISE = 0.85
 REMOVE = 0.95
@@ -143,19 +145,18 @@ def base(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", F.xxhash64("text").alias("hash"), *bare, near.alias("near"))
 
 
-def candidates(found: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(term, entity, n_both, n_entity): terms near one value in enough different
-    texts, the documents with both and those with the value."""
+def candidates(found: DataFrame) -> DataFrame:
+    """(term, entity, n_both, n_texts, n_entity): terms near a value, the documents
+    and different texts with both, and the documents with the value."""
     with_any = found.filter(F.size("near") > 0)
-    entities = with_any.select("hash", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
-    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("hash").alias("n_texts"))
-    of_entity = of_entity.filter(F.col("n_texts") >= min_texts).drop("n_texts")
+    entities = with_any.select(F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = F.flatten(
         F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t.alias("term"))))
     )
     both = with_any.select("hash", F.explode(F.array_distinct(pairs)).alias("p")).select("hash", "p.entity", "p.term")
     counted = both.groupBy("term", "entity").agg(F.count("*").alias("n_both"), F.count_distinct("hash").alias("n_texts"))
-    return counted.filter(F.col("n_texts") >= min_texts).drop("n_texts").join(of_entity, "entity")
+    return counted.join(of_entity, "entity")
 
 
 def _all_terms(docs: DataFrame, *more: Column) -> DataFrame:
@@ -190,8 +191,11 @@ def flagged_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERAL
     if pairs.isEmpty():
         return None
     n_docs = F.lit(float(found.count()))
-    shared = F.log(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    whole = F.log(n_docs / F.col("n_entity"))
+    of_value = F.col("n_entity") / n_docs
+    # the documents with the term, counted in texts as those with both are
+    texts = F.col("n_term") * F.col("n_texts") / F.col("n_both")
+    shared = F.log((F.col("n_texts") + PRIOR * of_value) / (texts + PRIOR) / of_value)
+    whole = -F.log(of_value)
     return (
         pairs.join(term_counts(docs), "term")
         .groupBy("term")
