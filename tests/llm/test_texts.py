@@ -170,6 +170,24 @@ def test_terms_of_rare_values(spark):
     assert pii.judge(copied).filter("size(terms) > 0").count() == 0
 
 
+def test_terms_of_whole_documents(spark):
+    """Terms far from the value, of digits and of two letters are counted like others;
+    those that only stand inside values are no candidates."""
+    far = "李四 77123 Quillon " + " ".join(f"w{k % 50}" for k in range(60)) + " q.one@mail.example.com"
+    near = "Quillon q.one@mail.example.com " + " ".join(f"w{k}" for k in range(50)) + " 李四 77123"
+    rows = [(i, " ".join(f"w{(i + k) % 50}" for k in range(9))) for i in range(120)]
+    rows += [(1000 + i, f"{'w1 ' * i}{far if i % 2 else near}") for i in range(8)]
+    docs = frame(spark, rows)
+    pairs = {r["term"]: (r["n_both"], r["n_texts"]) for r in pii.candidates(pii.base(docs)).collect()}
+    assert pairs["quillon"] == pairs["李四"] == pairs["77123"] == (8, 8)
+    assert not {"q", "one", "mail", "com"} & set(pairs)
+    found = {r["doc_id"]: r for r in pii.judge(docs).filter("size(terms) > 0").collect()}
+    texts = dict(rows)
+    assert {i: {texts[i][t["start"] : t["end"]] for t in r["terms"]} for i, r in found.items()} == {
+        1000 + i: {"Quillon", "李四", "77123"} for i in range(8)
+    }
+
+
 def test_sanitised_texts(spark, secret_rows, odd_docs, odd_rows, no_docs):
     docs = frame(spark, secret_rows)
     clean = pii.sanitised(docs)

@@ -1,7 +1,7 @@
 """Personal data: patterns, and terms that give the found values away.
 
 Email and IP addresses, card and phone numbers are found by pattern. Then the words
-around each found value are looked at over the whole corpus. With p the share of the
+of the documents with each found value are looked at over the whole corpus. With p the share of the
 documents, a term t discloses of a value e
 
     log(p(t, e) / (p(t) p(e))) / log(1 / p(e))
@@ -11,7 +11,8 @@ p(t, e) / p(t) is estimated as if ``PRIOR`` further texts with the term held the
 as often as any text does, so what only one or two texts show counts for less; copies
 of a text are no further evidence. Terms that disclose at least ``GENERALISE`` of a
 value are generalised wherever they occur, those that disclose ``REMOVE`` or more are
-removed, however few texts hold the value. Terms are first counted, and only those
+removed, however few texts hold the value. A term may be any run of letters and
+digits that stands outside the found values at least once. Terms are first counted, and only those
 that disclose enough, which are rare, are looked for in the texts.
 
 Everything is made of Spark expressions.
@@ -30,15 +31,14 @@ from tidewatch.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-CONTEXT_CHARS = 64
 PRIOR = 2.0
-MIN_TERM_CHARS = 3
 GENERALISE = 0.85
 REMOVE = 0.95
-#: Disclosing terms, or documents with them, that are still sent to every task: a
-#: term has at most CONTEXT_CHARS characters, and the bytes of the latter are checked.
+#: Disclosing terms, or documents with them, that are still sent to every task; the
+#: bytes of both are checked. Of more terms, so many are sent as their hashes.
 BROADCAST_TERMS = 20_000
 BROADCAST_BYTES = 8 << 20
+BROADCAST_HASHES = 2_000_000
 
 # A match that starts inside a run could only do so where the one before it ended;
 # looking behind keeps long runs from being read again from each of their characters.
@@ -112,17 +112,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 def _terms(text: Column) -> Column:
     """Runs of letters and digits, A-Z lower-cased."""
     plain = F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(plain, " "), lambda t: (F.length(t) >= MIN_TERM_CHARS) & ~t.rlike("^[0-9]+$"))
-
-
-def _context(text: Column, start: Column, end: Column) -> Column:
-    """Terms within CONTEXT_CHARS of a span, without the words that the cut splits."""
-    begin = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-    before = F.substr(text, (begin + 1).cast("int"), (start - begin).cast("int"))
-    before = F.when(begin > 0, F.regexp_replace(before, rf"^{_LETTER}+", "")).otherwise(before)
-    after = F.substr(text, (end + 1).cast("int"), F.lit(CONTEXT_CHARS))
-    after = F.when(end + CONTEXT_CHARS < F.length(text), F.regexp_replace(after, rf"{_LETTER}+$", "")).otherwise(after)
-    return F.array_distinct(_terms(F.concat_ws(" ", before, after)))
+    return F.filter(F.split(plain, " "), lambda t: t != "")
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -130,33 +120,60 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain)
 
 
-def _near(kind: str) -> Column:
-    def look(s: Column) -> Column:
-        return F.struct(_entity(kind, s["value"]).alias("entity"), _context(F.col("text"), s["start"], s["end"]).alias("terms"))
+def _entities(kind: str) -> Column:
+    return F.transform(kind, lambda s: _entity(kind, s["value"]))
 
-    return F.transform(kind, look)
+
+def _standing(place: str) -> Column:
+    return F.transform(place, lambda t: F.struct(t.alias("term"), F.lit(place == "outside").alias("out")))
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, spans per kind, and near: each value with its context."""
+    """doc_id, hash of the text, spans per kind; entities: the values; and, where there
+    are any, the terms of the text: those also outside of the values, and the others."""
     spans = with_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    near = F.flatten(F.array(*map(_near, KINDS)))
+    entities = F.flatten(F.array(*map(_entities, KINDS)))
+    blanks = [F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("put"))) for kind in KINDS]
     bare = [F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind) for kind in KINDS]
-    return spans.select("doc_id", F.xxhash64("text").alias("hash"), *bare, near.alias("near"))
+    has_any = sum((F.size(kind) for kind in KINDS), F.lit(0)) > 0
+    none = F.array().cast("array<string>")
+    outside = F.when(has_any, _terms(_replaced(F.col("text"), F.array_sort(F.flatten(F.array(*blanks)))))).otherwise(none)
+    rows = spans.select(
+        "doc_id", F.xxhash64("text").alias("hash"), *bare, F.array_distinct(entities).alias("entities"),
+        F.when(has_any, _terms(F.col("text"))).otherwise(none).alias("all"), outside.alias("free"),
+    )
+    return rows.withColumns({"outside": F.array_intersect("all", "free"), "inside": F.array_except("all", "free")}).drop("all", "free")
+
+
+def candidates(found: DataFrame, n_terms: DataFrame | None = None, n_docs: int = 0, generalise: float = GENERALISE) -> DataFrame:
+    """(term, entity, n_both, n_texts, n_entity): terms of documents with a value, the
+    documents and different texts with both, and the documents with the value. With
+    ``n_terms``, also n_term, and without pairs whose counts apart rule them out."""
+    with_any = found.filter(F.size("entities") > 0).withColumn("row", F.monotonically_increasing_id())
+    values = with_any.select("row", F.explode("entities").alias("entity"))
+    of_entity = values.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    of_row = values.join(of_entity, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("values"))
+    terms = (
+        with_any.select("row", "hash", F.concat(_standing("outside"), _standing("inside")).alias("terms"))
+        .join(of_row, "row")
+        .select("hash", "values", F.explode("terms").alias("t"))
+        .select("hash", "values", "t.term", "t.out")
+    )
+    keys = ["term", "entity", "n_entity"]
+    if n_terms is not None:  # then all below is done where the term is
+        terms = terms.join(n_terms, "term")
+        keys.append("n_term")
+    both = terms.withColumn("v", F.explode("values")).select("*", "v.*").select("hash", "out", *keys)
+    if n_terms is not None:  # what all documents of the rarer one having both would disclose
+        both = both.filter(_disclosed(F.least("n_entity", "n_term"), F.col("n_term"), F.col("n_entity"), n_docs) >= generalise - 1e-9)
+    counted = both.groupBy(*keys).agg(F.count("*").alias("n_both"), F.count_distinct("hash").alias("n_texts"), F.max("out").alias("out"))
+    return counted.filter("out").drop("out")
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """(term, entity, n_both, n_texts, n_entity): terms near a value, the documents
-    and different texts with both, and the documents with the value."""
-    with_any = found.filter(F.size("near") > 0)
-    entities = with_any.select(F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
-    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = F.flatten(
-        F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t.alias("term"))))
-    )
-    both = with_any.select("hash", F.explode(F.array_distinct(pairs)).alias("p")).select("hash", "p.entity", "p.term")
-    counted = both.groupBy("term", "entity").agg(F.count("*").alias("n_both"), F.count_distinct("hash").alias("n_texts"))
-    return counted.join(of_entity, "entity")
+def _disclosed(both: Column, term: Column, entity: Column, n_docs: int) -> Column:
+    of_value = entity / F.lit(float(n_docs))
+    shared, whole = F.log((both + PRIOR * of_value) / (term + PRIOR) / of_value), -F.log(of_value)
+    return F.when(whole > 0, shared / whole).otherwise(F.lit(0.0))
 
 
 def _all_terms(docs: DataFrame, *more: Column) -> DataFrame:
@@ -170,36 +187,44 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return _all_terms(docs).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def occurrences(docs: DataFrame, flagged: DataFrame, n_terms: int) -> DataFrame:
-    """(doc_id, hash, term, removed, starts) of the flagged terms in all documents."""
+def occurrences(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(doc_id, hash, spans) of the flagged terms in all documents."""
     whole = F.coalesce("text", F.lit(""))
-    if n_terms <= BROADCAST_TERMS:
-        matched = _all_terms(docs, F.col("doc_id"), whole.alias("text")).join(F.broadcast(flagged), "term")
-    else:  # then the words travel without their text
-        words = _all_terms(docs, F.col("doc_id"), F.xxhash64(whole).alias("hash")).join(flagged, "term").distinct()
-        texts = docs.select(F.col("doc_id").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("of")).dropDuplicates(["id", "of"])
-        matched = words.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of"))).drop("hash")
-    pattern = F.concat(F.lit(f"(?<!{_LETTER})"), F.col("term"), F.lit(f"(?!{_LETTER})"))
-    lower = F.translate("text", _UPPER, _LOWER)
-    starts = F.transform(_placed(lower, pattern, F.regexp_extract_all(lower, pattern, F.lit(0))), lambda s: s["start"])
-    return matched.select("doc_id", F.xxhash64("text").alias("hash"), "term", "removed", starts.alias("starts"))
+    n_terms, n_bytes = flagged.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    # the words travel without their text
+    words = _all_terms(docs, F.col("doc_id").alias("id"), F.xxhash64(whole).alias("of"))
+    small = n_terms <= BROADCAST_TERMS and n_bytes <= BROADCAST_BYTES
+    if not small and n_terms <= BROADCAST_HASHES:
+        hashes = flagged.select(F.xxhash64("term").alias("of_term")).distinct()
+        words = words.join(F.broadcast(hashes), F.xxhash64("term") == F.col("of_term"), "left_semi")
+    words = words.join(F.broadcast(flagged) if small else flagged, "term")
+    of_text = cut(words.groupBy("id", "of").agg(F.collect_set(F.struct("term", "removed")).alias("terms")))
+    texts = docs.select("doc_id", whole.alias("text"), F.xxhash64(whole).alias("hash"))
+    if of_text.count() <= BROADCAST_HASHES:
+        texts = texts.join(F.broadcast(of_text.select("of").distinct()), F.col("hash") == F.col("of"), "left_semi")
+    with_terms = texts.dropDuplicates(["doc_id", "hash"]).join(of_text, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")))
+    # terms are whole runs of letters and digits, so at most one of them fits anywhere
+    one_of = F.array_join(F.transform("terms", lambda t: t["term"]), "|")
+    pattern = F.concat(F.lit(f"(?<!{_LETTER})(?:"), one_of, F.lit(f")(?!{_LETTER})"))
+    found = with_terms.select("doc_id", "hash", F.map_from_entries("terms").alias("removed"), F.translate("text", _UPPER, _LOWER).alias("lower"), pattern.alias("pattern"))
+    placed = _placed(F.col("lower"), F.col("pattern"), F.regexp_extract_all("lower", F.col("pattern"), F.lit(0)))
+    spans = F.transform(
+        placed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("removed", s["value"]).alias("removed"))
+    )
+    return found.select("doc_id", "hash", F.array_sort(spans).alias("spans"))
 
 
 def flagged_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
     """(term, removed) of the terms that disclose enough; None if none can."""
-    pairs = cut(candidates(found))
-    if pairs.isEmpty():
+    if found.filter(F.size("entities") > 0).isEmpty():
         return None
-    n_docs = F.lit(float(found.count()))
-    of_value = F.col("n_entity") / n_docs
+    n_docs = found.count()
     # the documents with the term, counted in texts as those with both are
     texts = F.col("n_term") * F.col("n_texts") / F.col("n_both")
-    shared = F.log((F.col("n_texts") + PRIOR * of_value) / (texts + PRIOR) / of_value)
-    whole = -F.log(of_value)
     return (
-        pairs.join(term_counts(docs), "term")
+        candidates(found, term_counts(docs), n_docs, generalise)
         .groupBy("term")
-        .agg(F.max(F.when(whole > 0, shared / whole).otherwise(F.lit(0.0))).alias("disclosed"))
+        .agg(F.max(_disclosed(F.col("n_texts"), texts, F.col("n_entity"), n_docs)).alias("disclosed"))
         .filter(F.col("disclosed") >= generalise)
         .select("term", (F.col("disclosed") >= remove).alias("removed"))
     )
@@ -212,18 +237,7 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     if flagged is None:
         return None
     flagged = cut(flagged)
-    n_flagged = flagged.count()
-    if n_flagged == 0:
-        return None
-    spans = F.transform(
-        "starts", lambda s: F.struct(s.alias("start"), (s + F.length("term")).alias("end"), F.col("removed").alias("removed"))
-    )
-    return (
-        occurrences(docs, flagged, n_flagged)
-        .select("doc_id", "hash", F.explode(spans).alias("span"))
-        .groupBy("doc_id", "hash")
-        .agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    )
+    return None if flagged.isEmpty() else occurrences(docs, flagged)
 
 
 def _joined(kind: str, spans: Column) -> Column:
