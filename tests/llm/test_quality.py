@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame
 from tidewatch.llm import quality_rules, rule_ensemble
@@ -108,3 +109,11 @@ def test_accepted_documents_are_whole(labelled):
     docs, labels = labelled
     kept = {tuple(r) for r in rule_ensemble.accepted(docs, docs, labels).collect()}
     assert kept == {tuple(r) for r in docs.collect() if r["doc_id"] % 20 != 0}
+
+
+@pytest.mark.parametrize("n_different", [3, 20])
+def test_copies_take_no_rows_from_the_forest(spark, n_different):
+    """Of many copies all different rows are seen, up to the number wanted."""
+    values = spark.range(20_000).select((F.col("id") % n_different).cast("double").alias("v"))
+    measured = values.select(*[(F.col("v") / (i + 1)).alias(name) for i, name in enumerate(quality_rules.FEATURES)])
+    assert len(quality_rules.sample_rows(measured, 10)) == min(10, n_different)

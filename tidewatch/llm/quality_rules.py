@@ -114,18 +114,20 @@ def sample_rows(measured: DataFrame, n: int) -> np.ndarray:
     """Up to n different feature rows in the order of their hash, so that copies
     of one text weigh no more than the text."""
     columns = [F.col(name) for name in FEATURES]
+    different = cut(measured.groupBy(*columns).agg(F.xxhash64(*columns).alias("__hash")))
+    total, rows, share = different.count(), [], 0.0
     # of many rows only the lowest hashes can be among the first n: look at the lowest
-    # 4 n / rows of the hash range, so that all tasks together hand on about 4 n rows
-    share = min(1.0, 4 * n / max(1, measured.count()))
-    hashed = measured.select(*columns, F.xxhash64(*columns).alias("__hash"))
-    rows = (
-        hashed.filter(F.col("__hash") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-        .distinct()
-        .orderBy("__hash", *FEATURES)
-        .limit(n)
-        .select(*FEATURES)
-        .collect()
-    )
+    # 4 n / rows of the hash range, so that all tasks together hand on about 4 n rows;
+    # should that hold too few, at all
+    while len(rows) < min(n, total):
+        share = 1.0 if share else min(1.0, 4 * n / total)
+        rows = (
+            different.filter(F.col("__hash") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+            .orderBy("__hash", *FEATURES)
+            .limit(n)
+            .select(*FEATURES)
+            .collect()
+        )
     return np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
 
 
