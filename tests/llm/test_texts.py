@@ -311,6 +311,35 @@ def test_segments_cover_each_text():
     assert covered == list(range(len(flat))) and max(sizes) == 64 and len(starts) == 1 + 1 + 2 + 4
 
 
+def test_rounds_count_whole_texts(spark, monkeypatch):
+    """A round over texts longer than a stretch counts as over the uncut texts."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    unit = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
+    model = hidden_markov.Model(unit(draw.random(2), 0), unit(draw.random((2, 2)), 1), unit(draw.random((5, 2)), 0))
+    texts = [draw.integers(0, 5, n).astype(np.uint16) for n in (1, 63, 64, 65, 128, 300, 640)]
+    rows = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "codes binary").repartition(2)
+    got, logs = hidden_markov.improved(rows, model, np.full(5, 0.2))
+    monkeypatch.setattr(hidden_markov, "_AT_ONCE", 50)  # then texts are worked on in stretches
+    again, _ = hidden_markov.improved(rows, model, np.full(5, 0.2))
+    assert np.allclose(got.start, again.start) and np.allclose(got.move, again.move) and np.allclose(got.emit, again.emit)
+    starts, moves, total = np.zeros(2), np.zeros((2, 2)), 0.0
+    for text in texts:  # unscaled sums would vanish, so each step is scaled on its own
+        alphas, betas = [model.start * model.emit[text[0]]], [np.ones(2)]
+        for c in text[1:]:
+            alphas.append(alphas[-1] / alphas[-1].sum() @ model.move * model.emit[c])
+        for c in text[:0:-1]:
+            back = model.move @ (model.emit[c] * betas[0])
+            betas.insert(0, back / back.sum())
+        total += sum(np.log10(a.sum()) for a in alphas)
+        starts += unit(alphas[0] * betas[0], 0)
+        for t in range(1, len(text)):
+            step = alphas[t - 1][:, None] * model.move * (model.emit[text[t]] * betas[t])[None]
+            moves += step / step.sum()
+    assert np.isclose(logs, total) and np.allclose(got.start, unit(starts + 1e-3, 0)) and np.allclose(got.move, unit(moves + 1e-3, 1))
+
+
 def test_rounds_improve_and_find_structure(spark):
     """Texts of two vocabularies: states tell them apart, so texts become likelier."""
     rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * 7 + k * k) % 23}" for k in range(40))) for i in range(300)]

@@ -7,8 +7,9 @@ and the number Q of all other words in training; one unseen word's share is left
 over. The probability of a text is thus exact: the scaled forward recursion over its
 symbols, times those of its other words.
 
-Each Baum-Welch round reads all training texts as segments of ``SEGMENT`` tokens;
-every task adds up its expected counts and Spark sums them. The driver only holds
+Each Baum-Welch round goes over whole training texts, forward and back. Of a text too
+long to keep all its forward values, those before each stretch of ``SEGMENT`` tokens are
+kept, and a stretch is worked out again on the way back; every task adds up its expected counts and Spark sums them. The driver only holds
 the model, which is as large as ``STATES`` and ``HEAD`` say. Word counts are exact
 and stay in Spark; other words meet their counts in a join, which they enter once
 per text, so that no key of it is frequent in training.
@@ -43,8 +44,8 @@ SEED = 11
 STICKY = 0.8
 #: Share of the symbol's overall frequency mixed into each state.
 FLOOR = 1e-3
-#: Segments worked on at once, so many bytes for each state and token.
-_AT_ONCE = 4096
+#: Tokens worked on at once, so many bytes for each state and token.
+_AT_ONCE = 1 << 18
 
 _ENCODED = "struct<n_tokens:bigint,codes:binary,head_base:double,rare:array<struct<word:binary,n:bigint>>>"
 
@@ -170,46 +171,59 @@ def _active(sizes: np.ndarray) -> np.ndarray:
     return len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), side="right")
 
 
-def forward(model: Model, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keep: bool = False):
-    """log10 probability of each sequence; with ``keep`` also the scaled forward
-    values and scales of every step."""
+def forward(model: Model, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, every: int = 0):
+    """log10 probability of each sequence; with ``every`` also the scaled forward
+    values before each stretch of so many steps."""
     logs = np.zeros(len(starts))
-    steps, alpha = [], None
+    entries, alpha = [], None
     for t, n in enumerate(_active(sizes).tolist()):
-        seen = model.emit[codes[starts[:n] + t]]
-        alpha = (model.start if t == 0 else alpha[:n] @ model.move) * seen
+        if every and t % every == 0:
+            entries.append(alpha)
+        alpha = (model.start if t == 0 else alpha[:n] @ model.move) * model.emit[codes[starts[:n] + t]]
         scale = alpha.sum(axis=1)
         alpha /= scale[:, None]
         logs[:n] += np.log10(scale)
-        if keep:
-            steps.append((alpha, scale, seen))
-    return logs, steps
+    return logs, entries
 
 
-def expected(model: Model, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+def expected(model: Model, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, stretch: int = SEGMENT):
     """Expected counts: of starts, moves and emissions; and the log10 probability."""
     states = len(model.start)
-    logs, steps = forward(model, codes, starts, sizes, keep=True)
+    active = _active(sizes).tolist()
+    if len(active) <= stretch:  # one stretch, so nothing is worked out twice
+        logs, entries = np.zeros(len(starts)), [None]
+    else:
+        logs, entries = forward(model, codes, starts, sizes, stretch)
+    once = len(entries) == 1
     moves, emits = np.zeros((states, states)), np.zeros_like(model.emit)
-    symbols, weights = [], []
-    beta = after = None
-    for t in range(len(steps) - 1, -1, -1):
-        alpha, _, _ = steps[t]
-        n = len(alpha)
-        now = np.ones((n, states))
-        if after is not None:
-            m = len(after)
-            now[:m] = after @ model.move.T
-            moves += (alpha[:m].T @ after) * model.move
-        gamma = alpha * now
-        symbols.append(codes[starts[:n] + t])
-        weights.append(gamma)
-        beta = now
-        after = beta * steps[t][2] / steps[t][1][:, None]
-    symbols, weights = np.concatenate(symbols), np.concatenate(weights)
-    for state in range(states):
-        emits[:, state] = np.bincount(symbols, weights[:, state], minlength=len(emits))
-    return weights[-len(starts) :].sum(axis=0), moves, emits, logs.sum()
+    after = None
+    while entries:
+        alpha, begin = entries.pop(), len(entries) * stretch
+        steps = []
+        for t in range(begin, min(begin + stretch, len(active))):
+            n = active[t]
+            symbols = codes[starts[:n] + t]
+            seen = model.emit[symbols]
+            alpha = (model.start if t == 0 else alpha[:n] @ model.move) * seen
+            scale = alpha.sum(axis=1)
+            alpha /= scale[:, None]
+            if once:
+                logs[:n] += np.log10(scale)
+            steps.append((alpha, scale, seen, symbols))
+        weights = []
+        for alpha, scale, seen, _ in reversed(steps):
+            beta = np.ones_like(alpha)
+            if after is not None:
+                m = len(after)
+                beta[:m] = after @ model.move.T
+                moves += (alpha[:m].T @ after) * model.move
+            weights.append(alpha * beta)
+            after = beta * seen / scale[:, None]
+        found, of = np.unique(np.concatenate([s[3] for s in reversed(steps)]), return_inverse=True)
+        gamma = np.concatenate(weights)
+        for state in range(states):
+            emits[found, state] += np.bincount(of, gamma[:, state], minlength=len(found))
+    return weights[-1].sum(axis=0), moves, emits, logs.sum()
 
 
 def improved(rows: DataFrame, model: Model, frequency: np.ndarray, segment: int = SEGMENT) -> tuple[Model, float]:
@@ -225,10 +239,12 @@ def improved(rows: DataFrame, model: Model, frequency: np.ndarray, segment: int
             texts = [np.frombuffer(c, np.uint16) for c in batch.column(0).to_pylist()]
             if not texts:
                 continue
-            codes, starts, sizes = segments(texts, segment)
-            for at in range(0, len(starts), _AT_ONCE):
-                part = slice(at, at + _AT_ONCE)
-                first, moves, emits, logs = expected(now, codes, starts[part], sizes[part])
+            codes, starts, sizes = segments(texts, max(map(len, texts)))  # whole texts
+            nth = sizes.cumsum() // _AT_ONCE
+            for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(nth)) + 1):
+                fits = sizes[part].sum() <= 2 * _AT_ONCE
+                stretch = int(sizes[part[0]]) if fits else segment
+                first, moves, emits, logs = expected(now, codes, starts[part], sizes[part], stretch)
                 total[:n_symbols] += emits
                 total[n_symbols : n_symbols + states] += moves
                 total[-2] += first
