@@ -127,7 +127,7 @@ def search_column(text: Column, hits: Column, items: Column, block: list[tuple[s
     shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def search(texts: pa.Array, hits: pa.Array, items: pa.Array) -> pa.Array:
-        searcher = worker_state(("decontamination", key), lambda: Searcher(shared.value))
+        searcher = worker_state("searcher", lambda: Searcher(shared.value), key)
         rows = [searcher.search(*row) for row in zip(utf8(texts), hits.to_pylist(), items.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays(
             [

@@ -120,7 +120,7 @@ def encoded(docs: DataFrame, head: list[tuple[bytes, int]], n_ends: int, total:
     shared, key = docs.sparkSession.sparkContext.broadcast((head, n_ends, total)), uuid.uuid4().hex
 
     def encode(texts: pa.Array) -> pa.Array:
-        symbols = worker_state(("symbols", key), lambda: Symbols(*shared.value))
+        symbols = worker_state("symbols", lambda: Symbols(*shared.value), key)
         sizes, codes, base, rare = [], [], [], []
         for text in utf8(texts):
             code, others = symbols.encode(text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, hidden_markov, packing, pii, quality_rules, rule_ensemble, simhash, substring_dedup, training_order, url_filter
+from tidewatch.llm import decontamination, hidden_markov, packing, pii, quality_rules, rule_ensemble, run_length_index, simhash, substring_dedup, training_order, url_filter
 from tidewatch.llm.oracles import ORACLES
 from tidewatch.session import shared_folder
 
@@ -86,3 +86,8 @@ def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op11_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_index.dedup(table(spark, sf_dir, "documents")).drop("spans")

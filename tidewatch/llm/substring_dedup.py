@@ -157,7 +157,7 @@ def _first_windows(docs: DataFrame, shared, key: str, window: int, gram: int) ->
     id_kind = docs.schema["doc_id"].dataType
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passing = worker_state(("anchors", key), lambda: AnchorFilter(*shared.value))
+        passing = worker_state("anchors", lambda: AnchorFilter(*shared.value), key)
         for batch in batches:
             found, owners = [], []
             for i, text in enumerate(utf8(batch.column(1))):
@@ -185,7 +185,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     firsts = _first_windows(named, shared, key, window, gram)
 
     def remove(texts: pa.Array, owned: pa.Array, has_id: pa.Array) -> pa.Array:
-        passing = worker_state(("anchors", key), lambda: AnchorFilter(*shared.value))
+        passing = worker_state("anchors", lambda: AnchorFilter(*shared.value), key)
         rows = []
         for text, first, named in zip(utf8(texts), owned, has_id.to_pylist(), strict=True):
             found = words(text)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.plans.ordered import bounded_broadcast
 from tidewatch.session import send_by_value, shared_folder
 
 send_by_value(__name__)
@@ -32,12 +33,14 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def worker_state(key: Any, make: Callable[[], Any]) -> Any:
-    """An object kept by a Python worker between its tasks (a cache, a model)."""
+def worker_state(kind: str, make: Callable[[], Any], key: Any = None) -> Any:
+    """An object kept by a Python worker between its tasks (a cache, a model): the last
+    one of its kind, so that a worker never holds the tables of two jobs."""
     kept = sys.modules.setdefault(_STATE, ModuleType(_STATE)).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kind not in kept or kept[kind][0] != key:
+        kept.pop(kind, None)
+        kept[kind] = (key, make())
+    return kept[kind][1]
 
 
 def quoted(name: str) -> str:
@@ -64,3 +67,27 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``kept``, in buckets by ``key``: a join by that column shuffles only the
+    other side. The table's files lie in the shared folder. Rows that come from an
+    aggregation by the key are written without another shuffle."""
+    spark = df.sparkSession
+    buckets = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions")
+    path = shared_folder(spark, name)
+    table = "tidewatch_" + path.rsplit("-", 1)[-1]
+    df.write.bucketBy(int(buckets), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
+def join_copies(left: DataFrame, right: DataFrame, keys: list[str], copies: str, limit: int) -> DataFrame:
+    """Inner join with a side of unique keys that says how many rows the left side has
+    of each. Keys with more than ``limit`` rows (at most rows / limit of them, counted
+    first) are broadcast, so that their rows stay where they are; the rest is shuffled."""
+    n_heavy = right.filter(F.col(copies) > limit).count()
+    if n_heavy == 0:
+        return left.join(right, keys)
+    heavy = bounded_broadcast(right.filter(F.col(copies) > limit), n_heavy)
+    light = left.join(bounded_broadcast(right.filter(F.col(copies) > limit).select(*keys), n_heavy), keys, "left_anti")
+    return light.join(right.filter(F.col(copies) <= limit), keys).unionByName(left.join(heavy, keys))

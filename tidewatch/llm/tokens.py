@@ -78,7 +78,7 @@ class Encoder:
 
 
 def encoder(files: tuple[str, str]) -> Encoder:
-    return worker_state(("tokens", *files), lambda: Encoder(*files))
+    return worker_state("tokens", lambda: Encoder(*files), files)
 
 
 _END_BYTES = array("I", [END]).tobytes()
