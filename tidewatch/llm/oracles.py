@@ -60,3 +60,49 @@ kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS words
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op13_ranked_search"] = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+i AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id, list_distinct({_TERMS}) AS w FROM benchmark),
+sizes AS MATERIALIZED (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_all FROM d WHERE len(w) > 0),
+postings AS MATERIALIZED (
+  SELECT r, doc_id, len(w)::BIGINT AS n, term, count(*)::BIGINT AS tf
+  FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL
+), weights AS MATERIALIZED (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), sizes
+), scores AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM (SELECT q, item_id, unnest(w) AS term FROM i) JOIN postings USING (term) JOIN weights USING (term), sizes
+  GROUP BY q, item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+ORACLES["op11_run_length_index"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS MATERIALIZED (
+  SELECT r, s, md5(substr(h, 2 * s + 1, 400)) AS m FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS s FROM d WHERE len(h) >= 400)
+), several AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+starts AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM windows SEMI JOIN several USING (m)),
+runs AS (
+  SELECT r, min(s) AS a, max(s) + 200 AS b
+  FROM (SELECT r, s, sum(CASE WHEN before IS NULL OR s > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS g FROM starts)
+  GROUP BY r, g
+), edges AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS kept_from FROM runs
+), parts AS (
+  SELECT r, a, substr(h, 2 * kept_from + 1, 2 * (a - kept_from)) AS part FROM edges JOIN d USING (r)
+  UNION ALL
+  SELECT r, len(h), substr(h, 2 * last + 1) FROM d JOIN (SELECT r, max(b) AS last FROM runs GROUP BY r) USING (r)
+), cut AS (SELECT r, string_agg(part, '' ORDER BY a) AS rest FROM parts GROUP BY r),
+sums AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed FROM runs GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN cut USING (r)
+"""
