@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, hidden_markov, packing, pii, quality_rules, ranked_search, rule_ensemble, run_length_index, simhash, substring_dedup, training_order, url_filter
+from tidewatch.llm import decontamination, hidden_markov, packing, pii, quality_rules, ranked_search, rule_ensemble, run_length_index, simhash, spelling_variants, substring_dedup, training_order, url_filter
 from tidewatch.llm.oracles import ORACLES
 from tidewatch.session import shared_folder
 
@@ -96,3 +96,8 @@ def op11_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(table(spark, sf_dir, "documents"))
