@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.predicates import confirm_kind
 from tidewatch.functions.tokenizer import tokenize
-from tidewatch.operators import chat
+from tidewatch.operators import chat, dialogs
 from tidewatch.operators.chat import Command, Field
+from tidewatch.plans import ordered
+from tidewatch.streaming.conversations import stream_conversations
+from tidewatch.streaming.jobs import stream_table
 
 GO = ("go-build", "go-check")
 LETTERS = 'xyz\\", \t\né𝒳'
@@ -137,25 +140,68 @@ def test_command_values(spark):
     assert [(r.Flags, r.Version, r.Other) for r in rows] == [(list(GO), "9", [""]), (["go-build"], "1", [""])]
 
 
-def test_commands_from_a_table(spark):
-    df = spark.createDataFrame(
-        [
-            (2, "stop", "halts", True, []),
-            (1, "go", "", False, [("flags", True, "", "enum", ["a", "b"], None, True), ("version", False, "v", "string", None, ["9"], False)]),
-        ],
-        "position int, name string, help string, confirm boolean, "
-        "fields array<struct<name:string,required:boolean,help:string,kind:string,enum:array<string>,default:array<string>,default_all:boolean>>",
-    )
-    commands = chat.read_commands(df)
-    assert commands == [
-        Command("go", (Field("flags", True, "", ("a", "b"), (), True), Field("version", False, "v", None, ("9",)))),
-        Command("stop", (), "halts", True),
+TABLE = "position int, name string, help string, confirm boolean, fields array<struct<name:string,required:boolean,help:string,kind:string,enum:array<string>,default:array<string>,default_all:boolean>>"
+SHOP = [
+    Command("go far", (Field("flags", True, "", ("a", "b"), (), True),)),
+    Command("stop", (), confirm=True),
+    Command("go", (Field("version", False, "v", None, ("9",)), Field("flags", enum=("a", "b"), default_all=True))),
+    Command("go far away", (Field("version"),)),
+    Command("a.b*c"),
+]
+
+
+def command_table(spark, commands, **more):
+    rows = [
+        (i, c.name, c.help, c.confirm, [(f.name, f.required, f.help, f.kind, f.enum and list(f.enum), list(f.default), f.default_all) for f in c.fields])
+        for i, c in enumerate(commands)
     ]
-    assert chat.command_schema(commands[0]).simpleString() == "struct<Flags:array<string>,Version:string>"
-    with pytest.raises(ValueError):
-        chat.read_commands(df, max_commands=1)
+    return spark.createDataFrame(rows, TABLE)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_commands_from_a_table(spark, small, monkeypatch):
+    """A dialog in a table does what the same dialog in the plan does, for hot names too."""
+    monkeypatch.setattr(dialogs, "small_enough", lambda df: small)
+    if not small:
+        monkeypatch.setattr(ordered, "small_enough", lambda df: False)
+    texts = [
+        "go", "  go\tfar with flags a", "go far", "go farther", "go far away with version 1", "go  far", "stop", "stop now", "gone", "", None,
+        "go with version 2 and flags b", "go\nwith version 2", "go with\nversion\n2", "a.b*c", "aXb*c", "help", "help go far", "helper stop",
+        "help me to stop and go", "please stop", "help nothing", "stop with x",
+    ]
+    rows = [(i % len(texts), texts[i % len(texts)]) for i in range(3 * len(texts))] + [(99, "stop")] * 40
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    doubled = command_table(spark, [*SHOP, Command("stop", (Field("never"),))])
+    found = chat.parse_commands(df, dialogs.definitions(doubled), limit=10)
+    wanted = chat.parse_commands(df, SHOP)
+    assert found.columns == wanted.columns
+    key = lambda r: (r.id, r.text or "")
+    assert sorted(found.collect(), key=key) == sorted(wanted.collect(), key=key)
+    filled = dialogs.filled_values(found, dialogs.definitions(doubled), limit=10).filter("text = 'go' or text like '% and flags b'")
+    assert {(r.text, tuple(sorted((k, tuple(v)) for k, v in r["values"].items()))) for r in filled.collect()} == {
+        ("go", (("flags", ("a", "b")), ("version", ("9",)))), ("go with version 2 and flags b", (("flags", ("b",)), ("version", ("2",))))
+    }
+
+
+def test_no_commands(spark):
+    df = spark.createDataFrame([(1, "go"), (2, "help go")], "id int, text string")
+    none = dialogs.definitions(command_table(spark, []))
+    found = chat.parse_commands(df, none).orderBy("id").collect()
+    assert [(r.error_class, r.requested_help, r.help_command) for r in found] == [("NOT_FOUND", False, None), (None, True, None)]
+
+
+def test_rows_that_define_no_command(spark):
+    assert chat.command_schema(SHOP[2]).simpleString() == "struct<Version:string,Flags:array<string>>"
     with pytest.raises(ValueError):
         Command("go", (Field("and"),))
+    none = lambda name: (name, None, None, None, None, None, None)
+    rows = [
+        (1, " ", "", False, []), (2, None, "", None, []), (3, "x", "", None, [none("a"), none("a")]),
+        (4, "y", "", None, [none(None)]), (5, "z", "", None, [none("And")]), (6, "fine", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, TABLE)
+    assert sorted(r.position for r in dialogs.problems(df).collect()) == [1, 2, 3, 4, 5]
+    assert [(r.name, r.confirm, r.fields) for r in dialogs.definitions(df).collect()] == [("fine", False, [])]
 
 
 DIALOG = [
@@ -242,3 +288,40 @@ def test_routing(spark):
     handled = chat.conversations(chat.route_messages(df, "BOT").filter("route <> 'unknown'"), DIALOG, thread=["channel", "thread"], order=["ts"], self_id="BOT")
     out = chat.outgoing_messages(chat.route_messages(df, "BOT"), handled)
     assert out.filter(F.col("reply") == chat.UNRECOGNIZED_THREAD).count() == 2
+
+
+def talk(rng, n_threads, n_hot):
+    pool = ["deploy", "deploy with target a", "deploy with bad x", "notify", "yes", "no", "hm", "help deploy", "cancel", "run", "run not"]
+    quiet = [w for w in pool if w not in ("yes", "run")]
+    return {t: [rng.choice(quiet if t < n_threads // 2 else pool) for _ in range(n_hot if t == 0 else rng.randint(1, 20))] for t in range(n_threads)}
+
+
+@pytest.mark.parametrize("limit", [10**6, 50])
+def test_streamed_conversations_go_on_where_they_stopped(spark, tmp_path, limit):
+    rng = random.Random(8)
+    threads = talk(rng, 30, 300)
+    rows = [(t or None, i, text) for t, texts in threads.items() for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "thread int, n int, text string").withColumn("ts", F.timestamp_seconds(F.col("n") * 60))
+    state, keys = f"{tmp_path}/state", {"thread": ["thread"], "order": ["ts", "n"]}
+    for begin in (0, 1, 4, 15, 150):
+        end = {0: 1, 1: 4, 4: 15, 15: 150, 150: 1000}[begin]
+        df.filter((F.col("n") >= begin) & (F.col("n") < end)).write.mode("append").parquet(f"{tmp_path}/in")
+        found = stream_conversations(stream_table(spark, f"{tmp_path}/in", df.schema), DIALOG, state, limit=limit, **keys)
+    shown = lambda handled: sorted((str(r.thread), r.n, r.phase, r.reply, r.is_event, r.command) for r in handled.collect())
+    assert shown(found) == shown(chat.conversations(df, DIALOG, **keys))
+    assert len([f for f in (tmp_path / "state" / "threads").iterdir()]) <= 2
+
+
+def test_threads_are_forgotten(spark, tmp_path):
+    days = [[(1, 0, "deploy"), (2, 0, "deploy")], [(2, 9, "hm"), (3, 9, "run")], [(1, 10, "yes"), (2, 10, "yes"), (3, 10, "hm")]]
+    kept = []
+    for rows in days:
+        df = spark.createDataFrame(rows, "thread int, day int, text string").withColumn("ts", F.timestamp_seconds(F.col("day") * 86400))
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        messages = stream_table(spark, f"{tmp_path}/in", df.schema)
+        found = stream_conversations(messages, DIALOG, f"{tmp_path}/state", thread=["thread"], order=["ts"], forget="8 days")
+        kept.append({r.thread for r in spark.read.parquet(f"{tmp_path}/state/threads/batch={len(kept)}").collect()})
+    assert kept == [{1, 2}, {2, 3}, {1, 2, 3}]
+    got = {(r.thread, r.day): (r.phase, r.is_event) for r in found.collect()}
+    # thread 1 had been silent for nine days when the second batch came: its question is gone
+    assert got[1, 10] == ("init", False) and got[2, 10] == ("confirm", True) and got[3, 10] == ("confirmed", False)

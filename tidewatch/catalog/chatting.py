@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query, table
 from tidewatch.functions.tokenizer import tokenize
-from tidewatch.operators import chat
+from tidewatch.operators import chat, dialogs
 from tidewatch.operators.chat import Command, Field
 
 TAGS = ("a", "b", "c")
@@ -149,6 +149,122 @@ def help_text(spark, sf):
     return chat.help_lines(defs)
 
 
+# --- a dialog kept in a table
+
+
+def part_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """A command per part, with names of one to three words. Some names stand at the
+    head of others, and some occur more than once."""
+    strings = lambda c: c.cast("array<string>")
+    none = strings(F.lit(None))
+    name = (
+        F.when(F.col("p_partkey") % 4 == 0, F.col("p_name"))
+        .when(F.col("p_partkey") % 4 == 1, F.concat_ws(" ", "p_brand", "p_name"))
+        .when(F.col("p_partkey") % 4 == 2, F.concat_ws(" ", "p_name", "p_partkey"))
+        .otherwise(F.concat(F.lit("part"), "p_partkey"))
+    )
+    size = (F.lit("size"), F.col("p_size") % 2 == 0, F.lit("string"), none, none, F.lit(False))
+    brand = (F.lit("brand"), F.lit(False), F.lit("enum"), F.array("p_brand", F.lit("any")), none, F.col("p_size") % 3 == 0)
+    names = ("name", "required", "kind", "enum", "default", "default_all")
+    fields = F.array(*[F.struct(*[c.alias(n) for c, n in zip(f, names, strict=True)]) for f in (size, brand)])
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("position"), name.alias("name"), (F.col("p_size") > 25).alias("confirm"), fields.alias("fields"))
+
+
+# What a line item says of its part, by line number; ``quantity`` stands for its own.
+ORDERS_SAID = {
+    1: " with size quantity",
+    2: ' with brand any, with size "quantity units"',
+    3: "",
+    4: " please",
+    5: "x with size 3",
+    6: " with colour red",
+}
+
+
+def part_messages(spark: SparkSession, sf: str) -> DataFrame:
+    named = part_commands(spark, sf).select(F.col("position").alias("l_partkey"), "name")
+    lines = table(spark, sf, "lineitem").join(named, "l_partkey")
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    text = F.concat(F.lit("help me with "), "name")
+    for number, said in ORDERS_SAID.items():
+        lead = F.lit("  " if number == 3 else "")
+        text = F.when(F.col("l_linenumber") == number, F.concat(lead, "name", F.replace(F.lit(said), F.lit("quantity"), quantity))).otherwise(text)
+    return lines.select("l_orderkey", "l_partkey", "l_linenumber", text.alias("text"))
+
+
+_ORDERS_SQL = " ".join(
+    f"WHEN {n} THEN c.name || replace('{said}', 'quantity', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR))" for n, said in ORDERS_SAID.items()
+)
+PART_SQL = f"""
+defs AS (
+  SELECT p_partkey AS position, p_size, p_brand, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand || ' ' || p_name
+    WHEN 2 THEN p_name || ' ' || p_partkey ELSE 'part' || p_partkey END AS name FROM part
+), firsts AS MATERIALIZED (SELECT * FROM defs QUALIFY row_number() OVER (PARTITION BY name ORDER BY position) = 1),
+said AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, l_orderkey, l_partkey, l_linenumber, c.name AS own, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity,
+    CASE l_linenumber {_ORDERS_SQL} ELSE 'help me with ' || c.name END AS text
+  FROM lineitem JOIN defs c ON c.position = l_partkey
+), called AS (
+  SELECT s.r, min_by(f.name, f.position) AS command, min_by(f.p_size, f.position) AS p_size, min_by(f.p_brand, f.position) AS p_brand
+  FROM said s JOIN firsts f ON starts_with(s.text || ' ', f.name || ' ') WHERE l_linenumber < 7 GROUP BY s.r
+), helped AS (
+  SELECT r, arg_min(name, row(spot, position)) AS about
+  FROM (SELECT s.r, f.name, f.position, instr(substr(s.text, 6), f.name) AS spot FROM said s, firsts f WHERE s.l_linenumber = 7) WHERE spot > 0 GROUP BY r
+), judged AS (
+  SELECT s.*, c.command, c.p_size, c.p_brand, h.about, s.l_linenumber = 7 AS asked,
+    CASE WHEN s.l_linenumber = 7 THEN NULL WHEN c.command IS NULL THEN 'NOT_FOUND'
+      WHEN c.command <> s.own OR s.l_linenumber IN (4, 5, 6) OR (s.l_linenumber = 3 AND c.p_size % 2 = 0) THEN 'BAD_PARAMETER' END AS error_class,
+    CASE s.l_linenumber WHEN 1 THEN quantity WHEN 2 THEN quantity || ' units' END AS size
+  FROM said s LEFT JOIN called c USING (r) LEFT JOIN helped h USING (r)
+)"""
+
+
+def part_calls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    commands = dialogs.definitions(part_commands(spark, sf))
+    return chat.parse_commands(part_messages(spark, sf), commands), commands
+
+
+@query(
+    "chat_table_commands",
+    f"""WITH {PART_SQL} SELECT l_orderkey, l_partkey, l_linenumber, text, command,
+      CASE WHEN command IS NOT NULL AND error_class IS NULL THEN CASE l_linenumber WHEN 1 THEN 'size=' || size WHEN 2 THEN 'brand=any;size=' || size ELSE '' END END AS given,
+      error_class, asked, about FROM judged""",
+)
+def table_commands(spark, sf):
+    """Commands and messages both from tables: which part's command is called, with what."""
+    calls, _ = part_calls(spark, sf)
+    return calls.select(
+        "l_orderkey", "l_partkey", "l_linenumber", "text", "command", flat_values("values").alias("given"), "error_class",
+        F.col("requested_help").alias("asked"), F.col("help_command").alias("about"),
+    )
+
+
+@query(
+    "chat_table_command_values",
+    f"""WITH {PART_SQL} SELECT l_orderkey, l_partkey, l_linenumber, command,
+      'brand=' || CASE WHEN l_linenumber = 2 THEN 'any' WHEN p_size % 3 = 0 THEN p_brand || '|any' ELSE '' END || ';size=' || coalesce(size, '') AS given
+      FROM judged WHERE command IS NOT NULL AND error_class IS NULL""",
+)
+def table_command_values(spark, sf):
+    calls, commands = part_calls(spark, sf)
+    return dialogs.filled_values(calls, commands).select("l_orderkey", "l_partkey", "l_linenumber", "command", flat_values("values").alias("given"))
+
+
+@query(
+    "chat_table_problems",
+    """SELECT p_partkey AS position, CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_name END AS name,
+      CASE WHEN p_size % 5 = 0 THEN 'a command needs a name' WHEN p_size % 5 = 1 THEN 'field names must be set and unique' ELSE 'a field has the name of a delimiter' END AS problem
+      FROM part WHERE p_size % 5 < 3""",
+)
+def table_problems(spark, sf):
+    """Rows of a table of commands that define none."""
+    part = table(spark, sf, "part")
+    second = F.when(F.col("p_size") % 5 == 1, "brand").when(F.col("p_size") % 5 == 2, "With").otherwise("size")
+    fields = F.array(F.struct(F.lit("brand").alias("name")), F.struct(second.alias("name")))
+    rows = part.select(F.col("p_partkey").alias("position"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.col("p_name")).alias("name"), fields.alias("fields"))
+    return dialogs.problems(rows)
+
+
 # --- conversations
 
 TALK = [

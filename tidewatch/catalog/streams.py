@@ -14,7 +14,7 @@ from tidewatch.session import shared_folder
 from tidewatch.sources.sinks import LOG_TIME, write_logs
 from tidewatch.streaming.admission import admission_totals, stream_admission_counts, stream_admit
 from tidewatch.streaming.conversations import stream_conversations
-from tidewatch.streaming.jobs import run_once, stream_table, to_files
+from tidewatch.streaming.jobs import run_once, stream_table
 from tidewatch.streaming.statuses import stream_statuses
 from tidewatch.streaming.updates import stream_branch_updates, stream_pr_updates
 
@@ -55,14 +55,14 @@ def branch_updates(spark, sf):
 
 @query("stream_conversations", ORACLES["chat_conversations"])
 def conversations(spark, sf):
-    folder = shared_folder(spark, "conversations")
+    state = shared_folder(spark, "conversations")
 
-    def run(events: DataFrame) -> None:
-        handled = stream_conversations(chatting.as_talk(events), chatting.TALK, thread=["thread"], order=["ts", "event_id"], self_id="BOT")
-        run_once(to_files(handled, f"{folder}/out", f"{folder}/checkpoint"))
+    def run(events: DataFrame) -> DataFrame:
+        return stream_conversations(
+            chatting.as_talk(events), chatting.TALK, state, thread=["thread"], order=["ts", "event_id"], self_id="BOT", forget="10 years"
+        )
 
-    fed(spark, table(spark, sf, "events"), "ts", "talk", run)
-    return spark.read.parquet(f"{folder}/out").select("thread", "event_id", "phase", "reply", "is_event")
+    return fed(spark, table(spark, sf, "events"), "ts", "talk", run).select("thread", "event_id", "phase", "reply", "is_event")
 
 
 @query("stream_admit", ORACLES["route_admit"])

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.predicates import confirm_kind, from_bot, mention, mentions
 from tidewatch.functions.text import SPACE, capitalize, quoted, trim_space
 from tidewatch.functions.tokenizer import is_delimiter, tokenize
+from tidewatch.operators import dialogs
 from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, latest, running_max, running_sum
 
 STRING, ENUM = "string", "enum"
@@ -97,24 +98,6 @@ def help_lines(command_defs: DataFrame) -> DataFrame:
     return command_defs.select("position", "name", text.alias("help_text"))
 
 
-def read_commands(command_defs: DataFrame, max_commands: int = 1000) -> list[Command]:
-    """The dialog kept in a table: position, name, help, confirm and fields
-    array<struct<name, required, help, kind, enum, default, default_all>>.
-
-    A dialog is written by hand and goes into the plan as a constant, so a table
-    of more than ``max_commands`` is refused.
-    """
-    rows = command_defs.orderBy("position").limit(max_commands + 1).collect()
-    if len(rows) > max_commands:
-        raise ValueError(f"more than {max_commands} commands")
-
-    def one(f) -> Field:
-        enum = tuple(f["enum"] or ()) if f["kind"] == ENUM else None
-        return Field(f["name"], bool(f["required"]), f["help"] or "", enum, tuple(f["default"] or ()), bool(f["default_all"]))
-
-    return [Command(r["name"], tuple(one(f) for f in r["fields"] or ()), r["help"] or "", bool(r["confirm"])) for r in rows]
-
-
 def command_schema(command: Command) -> T.StructType:
     """Columns of a command's event: capitalised field names, text or list."""
     types = {STRING: T.StringType(), ENUM: T.ArrayType(T.StringType())}
@@ -186,11 +169,10 @@ def _invocation(name: str) -> str:
 def requested_help(text: Column, commands: list[Command]) -> Column:
     """struct(requested boolean, command): the first command name found after
     ``help``; NULL asks for general help."""
-    pattern = rf"(?d)\A{SPACE}*help({SPACE}.*)?"
-    rest = trim_space(F.coalesce(F.regexp_extract(text, pattern, 1), F.lit("")))
+    rest = trim_space(F.coalesce(F.regexp_extract(text, dialogs.HELP, 1), F.lit("")))
     names = "|".join(quoted(c.name) for c in commands) or r"\z."
     return F.struct(
-        text.rlike(pattern).alias("requested"), F.nullif(F.regexp_extract(rest, names, 0), F.lit("")).alias("command")
+        text.rlike(dialogs.HELP).alias("requested"), F.nullif(F.regexp_extract(rest, names, 0), F.lit("")).alias("command")
     )
 
 
@@ -247,27 +229,35 @@ def _go_list(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(values, " "), F.lit("]"))
 
 
-def parse_commands(messages: DataFrame, commands: list[Command], text: str = "text") -> DataFrame:
-    """Messages with ``command``, ``values`` (map of field to words),
-    ``error_class`` (NOT_FOUND, BAD_PARAMETER or NULL), ``error``,
-    ``requested_help`` and ``help_command``. Commands are tried in order."""
+def _dispatched(messages: DataFrame, commands: list[Command], text: str) -> DataFrame:
+    """As ``dialogs.dispatched``, for a dialog that is part of the plan."""
     body = F.col(text)
-    helped = requested_help(body, commands)
     number = _first_match([body.rlike(_invocation(c.name)) for c in commands])
-    rest = F.coalesce(
-        *[F.when(F.col("__number") == i + 1, F.regexp_extract(body, _invocation(c.name), 1)) for i, c in enumerate(commands)]
+    rest = [F.when(F.col("__number") == i + 1, F.regexp_extract(body, _invocation(c.name), 1)) for i, c in enumerate(commands)]
+    return (
+        messages.withColumn("__help", requested_help(body, commands))
+        .withColumn("__number", F.when(~F.col("__help.requested"), number))
+        .withColumn("__rest", F.coalesce(*rest, F.lit(None)))
+        .withColumn("__command", F.when(F.col("__number").isNotNull(), F.get(_dialog(commands), F.col("__number") - 1)))
+        .drop("__number")
     )
+
+
+def parse_commands(messages: DataFrame, commands: list[Command] | DataFrame, text: str = "text", limit: int = HOT_ROWS) -> DataFrame:
+    """Messages with ``command``, ``values`` (map of field to words),
+    ``error_class`` (NOT_FOUND, BAD_PARAMETER or NULL), ``error``,
+    ``requested_help`` and ``help_command``. Commands are tried in order. They may
+    be a table (``dialogs.definitions``), tried by position."""
+    if isinstance(commands, DataFrame):
+        dispatched = dialogs.dispatched(messages, commands, text, limit)
+    else:
+        dispatched = _dispatched(messages, commands, text)
     staged = (
-        messages.withColumn("__help", helped)
-        .withColumn("__number", F.when(~F.col("__help.requested"), number))
-        .withColumn("__words", tokenize(rest))
+        dispatched.withColumn("__words", tokenize(F.col("__rest")))
         .withColumn("__starts", _group_starts(F.col("__words")))
         .withColumn("__groups", _groups(F.col("__words"), F.col("__starts")))
     )
-    command = F.when(F.col("__number").isNotNull(), F.get(_dialog(commands), F.col("__number") - 1))
-    results = staged.withColumn("__command", command).withColumn(
-        "__results", F.transform("__groups", lambda g: _group_result(g, F.col("__command")))
-    )
+    results = staged.withColumn("__results", F.transform("__groups", lambda g: _group_result(g, F.col("__command"))))
     failed = F.get(F.filter("__results", lambda r: r["error"].isNotNull()), F.lit(0))["error"]
     given = F.transform("__results", lambda r: r["name"])
     missing = F.get(
@@ -279,7 +269,7 @@ def parse_commands(messages: DataFrame, commands: list[Command], text: str = "te
     )
     judged = (
         results.withColumn("__given", given)
-        .withColumn("__error", F.when(F.col("__number").isNotNull(), F.coalesce(failed, missing_error)))
+        .withColumn("__error", F.when(F.col("__command").isNotNull(), F.coalesce(failed, missing_error)))
     )
     # The last repeat of a field wins: keep a result when no later one has its name.
     kept = F.filter(
@@ -288,12 +278,12 @@ def parse_commands(messages: DataFrame, commands: list[Command], text: str = "te
     )
     values = F.map_from_entries(F.transform(kept, lambda r: F.struct(r["name"], r["values"])))
     is_help = F.col("__help.requested")
-    error = F.when(~is_help & F.col("__number").isNull(), NOT_PARSED).otherwise(F.col("__error"))
-    error_class = F.when(~is_help & F.col("__number").isNull(), "NOT_FOUND").when(F.col("__error").isNotNull(), "BAD_PARAMETER")
+    error = F.when(~is_help & F.col("__command").isNull(), NOT_PARSED).otherwise(F.col("__error"))
+    error_class = F.when(~is_help & F.col("__command").isNull(), "NOT_FOUND").when(F.col("__error").isNotNull(), "BAD_PARAMETER")
     parsed = F.struct(
         F.col("__command.name").alias("command"),
         F.col("__command.confirm").alias("confirm"),
-        F.when(F.col("__number").isNotNull() & F.col("__error").isNull(), values).alias("values"),
+        F.when(F.col("__command").isNotNull() & F.col("__error").isNull(), values).alias("values"),
         error_class.alias("error_class"),
         error.alias("error"),
         is_help.alias("requested_help"),
@@ -356,26 +346,35 @@ def coded_messages(messages: DataFrame, commands: list[Command], self_id: str =
     )
 
 
-def conversations(
-    messages: DataFrame,
-    commands: list[Command],
-    *,
-    thread: list[str],
-    order: list[str],
-    self_id: str = "",
-    text: str = "text",
-    limit: int = HOT_ROWS,
-) -> DataFrame:
-    """Each message of a thread with the phase it met, the reply and whether it
-    starts a run (``is_event``, with ``command`` and ``values`` of that run).
+#: What a command of a thread is remembered by, and the state of a thread between batches:
+#: whether it waits for a command or for a yes, or is done, with the command it is about.
+CHAT = "struct<command:string,values:map<string,array<string>>,__shown:string,__listed:string>"
+STATE = f"struct<phase:string,chat:{CHAT}>"
 
-    A thread waits for a command (init), for a yes or no (confirm), or is done
-    (confirmed). What a message does to a waiting thread is one of four moves:
-    to init, to confirm, swap the two, or none. The phase before a message is
-    therefore the last fixed move, swapped once per swap since; the first message
-    that confirms or runs unconfirmed ends it. Only running sums and last
-    values are needed, which hold for threads of any size.
-    """
+
+def _seeded(coded: DataFrame) -> DataFrame:
+    """Where a row is the state of a thread (``__state``), let it move the thread there:
+    to its phase, asking what was asked, or ending with what was started."""
+    phase, chat = F.col("__state.phase"), F.col("__state.chat")
+    is_state = F.col("__state").isNotNull()
+    done = phase == "confirmed"
+    return coded.withColumns(
+        {
+            "__fixed": F.when(is_state, (phase == "confirm").cast("int")).otherwise(F.col("__fixed")),
+            "__swap": F.when(is_state, 0).otherwise(F.col("__swap")),
+            "__held": F.when(phase == "confirm", chat),
+            "__over": F.when(done, chat),
+        }
+    )
+
+
+def settled_conversations(
+    messages: DataFrame, commands: list[Command], *, thread: list[str], order: list[str], self_id: str = "", text: str = "text", limit: int = HOT_ROWS
+) -> DataFrame:
+    """Coded messages with the phase each met: ``__phase`` (0 init, 1 confirm), ``__pending``
+    (what was asked), ``__confirmed`` (what was started before, if anything) and ``__final``
+    (what this message starts). A column ``__state`` marks rows that are no messages but
+    the state in which a thread is from there on."""
     yes, no = F.col("__answer").eqNullSafe("CONFIRM"), F.col("__answer").eqNullSafe("ABORT")
     asks, runs = F.col("__asks"), F.col("__runs")
     idle = ~asks & ~runs
@@ -386,22 +385,71 @@ def conversations(
     chat = F.struct("command", "values", "__shown", "__listed")
     ends = ((F.col("__phase") == 0) & runs) | ((F.col("__phase") == 1) & yes)
     first_end = (F.coalesce("__done", F.lit(0)) == 0) & F.col("__ends")
-    settled = (
+    if "__state" not in messages.columns:
+        messages = messages.withColumn("__state", F.lit(None).cast(STATE))
+    is_message = F.col("__state").isNull()
+    return (
         OrderedGroups.split(messages, thread, order, limit)
         .transform(lambda d: coded_messages(d, commands, self_id, text))
-        .transform(lambda d: d.withColumns({"__swap": (asks & no).cast("int"), "__fixed": F.when(to_init, 0).when(to_confirm, 1)}))
+        .transform(lambda d: _seeded(d.withColumns({"__swap": (asks & no).cast("int"), "__fixed": F.when(to_init, 0).when(to_confirm, 1)})))
         .running({"__swaps": running_sum(F.col("__swap"))})
         .transform(lambda d: d.withColumn("__base", (F.col("__fixed") + F.col("__swaps")) % 2))
         .running({"__last": latest(F.col("__base"))})
         .transform(lambda d: d.withColumn("__phase", (F.coalesce("__last", F.lit(0)) + F.col("__swaps")) % 2))
-        .transform(lambda d: d.withColumns({"__ends": ends, "__asked": F.when((F.col("__phase") == 0) & asks, chat)}))
+        .transform(
+            lambda d: d.withColumns(
+                {
+                    "__ends": (is_message & ends) | F.col("__over").isNotNull(),
+                    "__asked": F.coalesce("__held", F.when(is_message & (F.col("__phase") == 0) & asks, chat)),
+                }
+            )
+        )
         .running({"__pending": latest(F.col("__asked")), "__done": running_max(F.col("__ends").cast("int"))})
         .transform(
-            lambda d: d.withColumn("__final", F.when(first_end, F.when(F.col("__phase") == 1, F.col("__pending")).otherwise(chat)))
+            lambda d: d.withColumn(
+                "__final", F.coalesce("__over", F.when(first_end, F.when(F.col("__phase") == 1, F.col("__pending")).otherwise(chat)))
+            )
         )
         .running({"__confirmed": latest(F.col("__final"))})
         .rows()
     )
+
+
+def thread_states(settled: DataFrame, thread: list[str], order: list[str]) -> DataFrame:
+    """The ``__state`` each thread is in after its last row, and ``__last``, the place of
+    that row: one pass with a partial aggregate, no sort."""
+    after = (F.coalesce("__fixed", F.col("__phase")) + F.col("__swap")) % 2
+    # a fixed move and a swap exclude each other
+    waits = F.when(after == 1, F.struct(F.lit("confirm").alias("phase"), F.coalesce("__asked", "__pending").alias("chat"))).otherwise(
+        F.struct(F.lit("init").alias("phase"), F.lit(None).cast(CHAT).alias("chat"))
+    )
+    over = F.coalesce("__confirmed", "__final")
+    state = F.when(over.isNotNull(), F.struct(F.lit("confirmed").alias("phase"), over.alias("chat"))).otherwise(waits).cast(STATE)
+    place = F.struct(*order)
+    return settled.groupBy(*thread).agg(F.max_by(state, place).alias("__state"), F.max(place).alias("__last"))
+
+
+def conversations(
+    messages: DataFrame,
+    commands: list[Command],
+    *,
+    thread: list[str],
+    order: list[str],
+    self_id: str = "",
+    text: str = "text",
+    limit: int = HOT_ROWS,
+) -> DataFrame:
+    """Each message of a thread with the phase it met, the reply and whether it
+    starts a run (``is_event``, with ``command`` and ``values`` of that run).
+
+    A thread waits for a command (init), for a yes or no (confirm), or is done
+    (confirmed). What a message does to a waiting thread is one of four moves:
+    to init, to confirm, swap the two, or none. The phase before a message is
+    therefore the last fixed move, swapped once per swap since; the first message
+    that confirms or runs unconfirmed ends it. Only running sums and last
+    values are needed, which hold for threads of any size.
+    """
+    settled = settled_conversations(messages, commands, thread=thread, order=order, self_id=self_id, text=text, limit=limit)
     return with_replies(settled, commands, messages.columns)
 
 

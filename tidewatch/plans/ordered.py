@@ -21,6 +21,7 @@ from tidewatch.session import cut
 
 HOT_ROWS = 2_000_000
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 _CHUNK = "__chunk"
 _ALL = "__all"
@@ -80,6 +81,28 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return joined.drop(*[f"__k_{k}" for k in keys])
 
 
+def small_enough(df: DataFrame) -> bool:
+    """Whether a table is small enough to send, by its counted rows and bytes."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    n_rows, n_bytes = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n_rows <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
+
+
+def look_up(left: DataFrame, right: DataFrame, key: str, limit: int = HOT_ROWS, small: bool | None = None) -> DataFrame:
+    """Left join with a table of unique keys. A small table is sent to the rows. To a larger
+    one the rows are shuffled, but for those whose key is null or among more than
+    ``limit`` rows: they stay where they are, and the entries they need are sent."""
+    if small_enough(right) if small is None else small:
+        return left.join(F.broadcast(right), key, "left")
+    hot = heavy_keys(left.filter(F.col(key).isNotNull()), [key], limit).select(key)
+    n_hot = hot.count()
+    marked = left.join(bounded_broadcast(hot.withColumn("__hot", F.lit(True)), n_hot), key, "left")
+    stays = F.col(key).isNull() | F.col("__hot").isNotNull()
+    entries = bounded_broadcast(right.join(bounded_broadcast(hot, n_hot), key, "left_semi"), n_hot)
+    apart, rest = marked.filter(stays).drop("__hot"), marked.filter(~stays).drop("__hot")
+    return apart.join(entries, key, "left").unionByName(rest.join(right, key, "left"))
+
+
 def _ordering(order: list[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 

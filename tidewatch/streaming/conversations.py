@@ -1,79 +1,80 @@
-"""Conversations as a stream: the phase of each thread lives in the state store.
+"""Conversations as a stream.
 
-Parsing and replies are the batch expressions; only the moves between phases run
-per message. Messages of one micro-batch are taken in order; across batches they
-must arrive in order.
+A micro-batch goes through the running values of the batch operator, which cut a hot thread
+into chunks. Between micro-batches a thread is one row, its phase and the command it is about.
+That row enters the next batch as the first of its thread, a move to that phase, so all the
+moves of a batch are one transition of the state before it. States are small tables in
+one folder per batch, written last; older folders are removed. A batch that is run again after
+a crash overwrites what was left half written.
+
+A thread is forgotten when its last message is ``forget`` older than the newest of all; if
+it speaks again it starts anew. Across micro-batches, messages of a thread must come in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tidewatch.operators.chat import Command, coded_messages, with_replies
-from tidewatch.session import send_by_value
-from tidewatch.streaming.jobs import use_rocksdb
-
-_CHAT = "struct<command:string,values:map<string,array<string>>,__shown:string,__listed:string>"
 
+from tidewatch.operators.chat import STATE, Command, conversations, settled_conversations, thread_states, with_replies
+from tidewatch.plans.ordered import HOT_ROWS
+from tidewatch.session import cut
+from tidewatch.streaming.jobs import is_complete, remove_folder, run_once
 
-class Phases(StatefulProcessor):
-    """Adds phase, pending, confirmed and final chat (as JSON) to each message."""
+FORGET = "30 days"
 
-    def __init__(self, columns: list[str], order: list[str]):
-        self.columns, self.order = columns, order
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        state = T.StructType([T.StructField("phase", T.StringType()), T.StructField("chat", T.StringType())])
-        self.thread = handle.getValueState("thread", state)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        phase, chat = self.thread.get() if self.thread.exists() else ("init", None)
-        for row in sorted(rows, key=lambda r: [r[c] for c in self.order]):
-            before, held, final = phase, chat, None
-            if phase == "init" and row["__runs"]:
-                phase, chat, final = "confirmed", row["__chat"], row["__chat"]
-            elif phase == "init" and row["__asks"]:
-                phase, chat = "confirm", row["__chat"]
-            elif phase == "confirm" and row["__answer"] == "CONFIRM":
-                phase, final = "confirmed", chat
-            elif phase == "confirm" and row["__answer"] == "ABORT":
-                phase, chat = "init", None
-            added = {
-                "__phase": 1 if before == "confirm" else 0,
-                "__pending": held if before == "confirm" else None,
-                "__confirmed": held if before == "confirmed" else None,
-                "__final": final,
-            }
-            yield Row(**{c: row[c] for c in self.columns}, **added)
-        self.thread.update((phase, chat))
-
-    def close(self) -> None:
-        pass
+def _with_states(batch: DataFrame, known: DataFrame | None, thread: list[str]) -> DataFrame:
+    """The messages of a batch, and before them the states of their threads."""
+    messages = batch.withColumns({"__turn": F.lit(1), "__state": F.lit(None).cast(STATE)})
+    if known is None:
+        return messages
+    speaking = batch.select(*thread).distinct()
+    same = [known[t].eqNullSafe(speaking[t]) for t in thread]
+    states = known.join(speaking, same, "left_semi").select(*thread, F.lit(0).alias("__turn"), "__state")
+    return messages.unionByName(states, allowMissingColumns=True)
 
 
 def stream_conversations(
-    messages: DataFrame, commands: list[Command], *, thread: list[str], order: list[str], self_id: str = "", text: str = "text"
+    messages: DataFrame,
+    commands: list[Command],
+    state: str,
+    *,
+    thread: list[str],
+    order: list[str],
+    self_id: str = "",
+    text: str = "text",
+    forget: str = FORGET,
+    limit: int = HOT_ROWS,
 ) -> DataFrame:
-    """Streaming form of ``conversations``, with the same output."""
-    use_rocksdb(messages.sparkSession)
-    chat = F.to_json(F.struct("command", "values", "__shown", "__listed"))
-    coded = coded_messages(messages, commands, self_id, text).withColumn("__chat", chat).drop("values")
-    added = T.StructType(
-        [T.StructField("__phase", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("__pending", "__confirmed", "__final")]]
-    )
-    moved = coded.groupBy(*thread).transformWithState(
-        statefulProcessor=Phases(coded.columns, order),
-        outputStructType=T.StructType([*coded.schema.fields, *added.fields]),
-        outputMode="Append",
-        timeMode="None",
-    )
-    settled = moved.withColumns({n: F.from_json(n, _CHAT) for n in ("__pending", "__confirmed", "__final")})
-    return with_replies(settled, commands, messages.columns)
-
-
-send_by_value(__name__)
+    """Run the stream over all messages that are there and return all that was handled so far,
+    as ``conversations`` does. ``order`` begins with the time. ``state`` is a shared folder;
+    calling again goes on from it."""
+    columns, places = messages.columns, ["__turn", *order]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if is_complete(spark, f"{state}/threads/batch={batch_id}"):
+            return
+        before = f"{state}/threads/batch={batch_id - 1}"
+        known = spark.read.parquet(before) if is_complete(spark, before) else None
+        rows = _with_states(batch, known, thread)
+        settled = cut(settled_conversations(rows, commands, thread=thread, order=places, self_id=self_id, text=text, limit=limit))
+        with_replies(settled.filter("__turn = 1"), commands, columns).write.mode("overwrite").parquet(f"{state}/handled/batch={batch_id}")
+        now = thread_states(settled, thread, places).withColumn("__time", F.col("__last")[order[0]]).drop("__last")
+        if known is not None:  # threads that did not speak stay as they are
+            same = [known[t].eqNullSafe(now[t]) for t in thread]
+            now = now.unionByName(known.join(now, same, "left_anti"))
+        now = cut(now)
+        newest = now.agg(F.max("__time")).first()[0]
+        if newest is not None:
+            now = now.filter(F.col("__time") >= F.lit(newest) - F.expr(f"INTERVAL {forget}"))
+        now.write.mode("overwrite").parquet(f"{state}/threads/batch={batch_id}")
+        remove_folder(spark, f"{state}/threads/batch={batch_id - 2}")
+
+    run_once(messages.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint"))
+    spark = messages.sparkSession
+    empty = conversations(spark.createDataFrame([], messages.schema), commands, thread=thread, order=order, self_id=self_id, text=text)
+    if not is_complete(spark, f"{state}/handled/batch=0"):
+        return empty
+    return spark.read.schema(empty.schema).parquet(f"{state}/handled").select(*empty.columns)

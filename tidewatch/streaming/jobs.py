@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep operator state in RocksDB, which user state needs."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
 
 def run_once(writer: DataStreamWriter) -> None:
     """Run a stream once over all that is there, then stop."""
