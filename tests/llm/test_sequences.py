@@ -16,9 +16,7 @@ from tidewatch.llm.tokens import Encoder, default_files, document_pieces
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def plain_pieces(tokenizer, rows, size):
@@ -33,7 +31,7 @@ def plain_pieces(tokenizer, rows, size):
 
 
 STRANGE = [
-    "", " ", "  a  b ", "a\n\n b\t\tc \n", "don't we'll I'M", "x\u00a0y\u2003z\x85w\x1cq", "日本語 テキスト 🙂🙂 é̀", "<|endoftext|> a<|endoftext|>",
+    "", " ", "  a  b ", "a\n\n b\t\tc \n", "don't we'll I'M", "x\u00a0y\u2003z\x85w\x1cq", "日本語 テキスト 🙂🙂 é̀", "<|endoftext|> a<|endoftext|>", "a <|endoftext|> b", "<|endoftext|", "x" * 2000 + " <|endoftext|>\n\n 語",
     "Ωμέγα привет שלום", "a" * 3000, " " * 500 + "end ", "1234567890 3.14,15",
 ]
 

@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | N
 
     def measure(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in texts.to_pylist():
+        for text in (scalar.as_py() for scalar in texts):
             row, start = [], 0
             for number, ids in enumerate(document_pieces(text, files, capacity)):
                 length = len(ids) // ID_BYTES

@@ -5,7 +5,8 @@ The ids are those of a public byte-level BPE vocabulary, loaded from ``vocabular
 A text is cut before each single space that follows a word, where the vocabulary's
 own splitting always begins a new piece; the ids of such a chunk do not depend on
 its neighbours and are kept in a bounded table. Chunks with characters on which the
-two libraries' Unicode tables might differ go to tokenizers.
+two libraries' Unicode tables might differ go to tokenizers, and so do whole texts
+that spell out the vocabulary's special token, which has an id of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from functools import cached_property
 
 from tidewatch.llm.text import worker_state
 from tidewatch.session import send_by_value
@@ -21,8 +23,10 @@ send_by_value(__name__)
 
 END = 2
 ID_BYTES = 4
+#: The one token of the vocabulary that texts are searched for as a whole.
+SPECIAL = "<|endoftext|>"
 #: Chunks of text whose ids a worker keeps: the first ones met, which are the frequent ones.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 100_000
 _KEPT_LENGTH = 48
 
 _CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
@@ -41,15 +45,19 @@ class Encoder:
     def __init__(self, vocabulary: str, ranks: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(vocabulary)
-        self.exact.encode_special_tokens = True
+        self.vocabulary = vocabulary
         with open(ranks, "rb") as lines:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
         self.kept: dict[str, bytes] = {}
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def _ids(self, chunk: str) -> bytes:
         if chunk.isascii() or max(chunk) < _SAFE:
             ids = self.fast.encode_ordinary(chunk)
@@ -59,7 +67,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without the end of the document."""
-        if _ODD_SPACE.search(text):
+        if SPECIAL in text or _ODD_SPACE.search(text):
             return array("I", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
         chunks = _CHUNK.findall(text)
         kept = self.kept

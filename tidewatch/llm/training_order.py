@@ -36,8 +36,8 @@ STRIDE_TOKENS = 1024
 SHARD_SLOTS = 4096
 ROUNDS = 6
 KEY = 0x5EED_0F_7E57
-#: Fills a record behind its ids; the last id of the vocabulary, which texts never give.
-PAD = 50256
+#: Fills a record behind its ids; no id of the vocabulary.
+PAD = 65535
 
 _RECORD = "array<struct<piece:int,length:bigint,ids_crc32:bigint,ids:binary>>"
 
@@ -85,7 +85,7 @@ def sequences(docs: DataFrame, stride: int = STRIDE_TOKENS, files: tuple[str, st
 
     def encode(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in texts.to_pylist():
+        for text in (scalar.as_py() for scalar in texts):
             row = []
             for number, ids in enumerate(document_pieces(text, files, stride)):
                 short = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
