@@ -272,6 +272,14 @@ def test_base_scores_and_head_words(spark, odd_docs, odd_rows, no_docs):
     assert hidden_markov.score(no_docs).count() == 0
 
 
+def test_the_head_is_filled_exactly(spark):
+    rows = [(f"w{i:03}".encode(), 3) for i in range(50)] + [(b"often", 900), (b"rare", 1)]
+    counts = spark.createDataFrame(rows, "word binary, c long").repartition(4)
+    ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for most in (0, 1, 2, 49, 50, 51, 52, 60):
+        assert hidden_markov.frequent_words(counts, most) == ranked[:most]
+
+
 def test_forward_and_counts_match_all_paths():
     import itertools
 

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewatch.llm.text import id_remainder, kept, utf8, words, worker_state
@@ -78,21 +78,39 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` words, the most frequent first: all words of the highest
-    counts, in steps of a 64th of a doubling, of which as many whole steps are taken
-    as fit. So the tasks together hand on no more rows than that."""
+    """The ``most`` words of the highest counts, the first in byte order among equal ones.
+
+    All words of the highest counts are taken in steps of a 64th of a doubling, as many
+    whole steps as fit. The step that does not fit is sorted in Spark, and as many of its
+    words are taken as there is room for. No more than ``most`` words reach the driver."""
     step = F.floor(F.log2("c") * 64)
     sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
-    lowest, n = None, 0
+    found, left, edge = [], most, None
+    lowest = None
     for at, count in sizes:
-        n += count
-        if n > most:
+        if count > left:
+            edge = at
+            break
+        lowest, left = at, left - count
+    if lowest is not None:
+        found = counts.filter(step >= lowest).collect()
+    if edge is not None and left:
+        found += _first_of(counts.filter(step == edge), left)
+    return sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda word: (-word[1], word[0]))
+
+
+def _first_of(counts: DataFrame, n: int) -> list[Row]:
+    """The first ``n`` rows by count and word, from a range sort: whole tasks, and the
+    beginning of one more."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = kept(counts.orderBy(F.desc("c"), "word").select("word", "c", F.spark_partition_id().alias("part"), place.alias("place")), "edge")
+    taken, last = 0, None
+    for part, size in sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect()):
+        last = (part, n - taken)
+        taken += size
+        if taken >= n:
             break
-        lowest = at
-    if lowest is None:
-        return []
-    found = [(bytes(r["word"]), r["c"]) for r in counts.filter(step >= lowest).collect()]
-    return sorted(found, key=lambda word: (-word[1], word[0]))
+    return rows.filter((F.col("part") < last[0]) | ((F.col("part") == last[0]) & (F.col("place") < last[1]))).select("word", "c").collect()
 
 
 # ---- texts as symbols
@@ -219,20 +237,24 @@ def expected(model: Model, codes: np.ndarray, starts: np.ndarray, sizes: np.ndar
                 moves += (alpha[:m].T @ after) * model.move
             weights.append(alpha * beta)
             after = beta * seen / scale[:, None]
-        found, of = np.unique(np.concatenate([s[3] for s in reversed(steps)]), return_inverse=True)
-        gamma = np.concatenate(weights)
+        symbols, gamma = np.concatenate([s[3] for s in reversed(steps)]), np.concatenate(weights)
+        if 4 * len(symbols) < len(emits):  # few tokens: touch the lines of their symbols only
+            found, symbols = np.unique(symbols, return_inverse=True)
+        else:
+            found = slice(None)
         for state in range(states):
-            emits[found, state] += np.bincount(of, gamma[:, state], minlength=len(found))
+            emits[found, state] += np.bincount(symbols, gamma[:, state], minlength=len(emits[found]))
     return weights[-1].sum(axis=0), moves, emits, logs.sum()
 
 
 def improved(rows: DataFrame, model: Model, frequency: np.ndarray, segment: int = SEGMENT) -> tuple[Model, float]:
     """One round over the column ``codes``; and the log10 probability before it."""
     states, n_symbols = len(model.start), len(model.emit)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    # arrays only: workers need not have this package to read a broadcast
+    shared = rows.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
+        now = Model(*shared.value)
         # rows: emissions by symbol, then moves by state, then starts, then the probability
         total = np.zeros((n_symbols + states + 2, states))
         for batch in batches:
@@ -269,7 +291,7 @@ def improved(rows: DataFrame, model: Model, frequency: np.ndarray, segment: int
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """Add ``symbols_score``, the log10 probability of the text's symbols."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
 
     def score(batch: pa.Array) -> pa.Array:
         texts = [np.frombuffer(c, np.uint16) for c in batch.to_pylist()]
@@ -278,7 +300,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             lengths = np.array([len(t) for t in texts])
             order = np.argsort(-lengths, kind="stable")
             starts = lengths.cumsum() - lengths
-            out[order], _ = forward(shared.value, np.concatenate(texts), starts[order], lengths[order])
+            out[order], _ = forward(Model(*shared.value), np.concatenate(texts), starts[order], lengths[order])
         return pa.array(out)
 
     return rows.withColumn("symbols_score", F.arrow_udf(score, "double")(F.col("codes")))
