@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import decontamination, hidden_markov, packing, pii, quality_rules, ranked_search, rule_ensemble, run_length_index, simhash, spelling_variants, substring_dedup, training_order, url_filter
 from tidewatch.llm.oracles import ORACLES
+from tidewatch.llm.text import packed
 from tidewatch.session import shared_folder
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -22,7 +23,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return packed(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 @query

@@ -20,6 +20,8 @@ from tidewatch.session import send_by_value, shared_folder
 
 send_by_value(__name__)
 
+LEAST_TASK_BYTES = 8 << 20
+
 _STATE = "_tidewatch_worker_state"
 
 
@@ -61,12 +63,19 @@ def id_remainder(doc_id: Column, n: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """A scan of many small files in tasks of at least ``LEAST_TASK_BYTES``, two to a core
+    at least. Scans in larger tasks stay as they are."""
+    n_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // LEAST_TASK_BYTES)))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: cuts lineage like a checkpoint,
     and takes less room."""
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return packed(df.sparkSession.read.schema(df.schema).parquet(path))
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
