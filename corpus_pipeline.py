@@ -13,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import decontamination, packing, pii, rule_ensemble, simhash
-from tidewatch.llm.text import kept
+from tidewatch.llm.text import kept, packed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return packed(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Trained weights and tokenizer ids have no SQL; tests compare with brute force.
+#: Trained weights and tokenizer ids have no SQL; tests compare with plain code that tries everything.
 ORACLE_SQL: str | None = None
 
 
