@@ -45,7 +45,7 @@ STICKY = 0.8
 #: Share of the symbol's overall frequency mixed into each state.
 FLOOR = 1e-3
 #: Tokens worked on at once, so many bytes for each state and token.
-_AT_ONCE = 1 << 18
+_AT_ONCE = 1 << 19
 
 _ENCODED = "struct<n_tokens:bigint,codes:binary,head_base:double,rare:array<struct<word:binary,n:bigint>>>"
 
@@ -204,47 +204,66 @@ def forward(model: Model, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     return logs, entries
 
 
+def _in_steps(starts: np.ndarray, active: list[int]) -> tuple[np.ndarray, list[int]]:
+    """Places of all tokens, step by step, and where each step begins."""
+    n = np.array(active)
+    begins = n.cumsum() - n
+    nth = np.arange(n.sum()) - np.repeat(begins, n)
+    return starts[nth] + np.repeat(np.arange(len(n)), n), begins.tolist()
+
+
 def expected(model: Model, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, stretch: int = SEGMENT):
-    """Expected counts: of starts, moves and emissions; and the log10 probability."""
+    """Expected counts: of starts, moves and emissions; and the log10 probability.
+
+    States are the rows of all arrays, tokens the columns, in single precision."""
     states = len(model.start)
+    first, move = model.start.astype(np.float32)[:, None], model.move.astype(np.float32)
+    emit, moved = np.ascontiguousarray(model.emit.T, np.float32), np.ascontiguousarray(move.T)
     active = _active(sizes).tolist()
-    if len(active) <= stretch:  # one stretch, so nothing is worked out twice
-        logs, entries = np.zeros(len(starts)), [None]
-    else:
+    total, entries = 0.0, [None]
+    if len(active) > stretch:
         logs, entries = forward(model, codes, starts, sizes, stretch)
+        total = logs.sum()
     once = len(entries) == 1
     moves, emits = np.zeros((states, states)), np.zeros_like(model.emit)
-    after = None
+    after = None  # emission times backward values of the step behind, scaled
     while entries:
-        alpha, begin = entries.pop(), len(entries) * stretch
-        steps = []
-        for t in range(begin, min(begin + stretch, len(active))):
-            n = active[t]
-            symbols = codes[starts[:n] + t]
-            seen = model.emit[symbols]
-            alpha = (model.start if t == 0 else alpha[:n] @ model.move) * seen
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            if once:
-                logs[:n] += np.log10(scale)
-            steps.append((alpha, scale, seen, symbols))
-        weights = []
-        for alpha, scale, seen, _ in reversed(steps):
-            beta = np.ones_like(alpha)
+        before, begin = entries.pop(), len(entries) * stretch
+        before = None if before is None else np.ascontiguousarray(before.T, np.float32)
+        here = active[begin : begin + stretch]
+        at, begins = _in_steps(starts + begin, here)
+        symbols = codes[at]
+        seen = emit[:, symbols]
+        alpha, scale = np.empty_like(seen), np.empty(len(symbols), np.float32)
+        for b, n in zip(begins, here, strict=True):
+            now = alpha[:, b : b + n]
+            if before is None:
+                np.multiply(seen[:, b : b + n], first, out=now)
+            else:
+                np.matmul(moved, before[:, :n], out=now)
+                now *= seen[:, b : b + n]
+            sums = scale[b : b + n]
+            now.sum(axis=0, out=sums)
+            now /= sums
+            before = now
+        if once:
+            total = np.log10(scale, dtype=np.float64).sum()
+        seen /= scale
+        for b, n in zip(reversed(begins), reversed(here), strict=True):
+            now, back = alpha[:, b : b + n], seen[:, b : b + n]
             if after is not None:
-                m = len(after)
-                beta[:m] = after @ model.move.T
-                moves += (alpha[:m].T @ after) * model.move
-            weights.append(alpha * beta)
-            after = beta * seen / scale[:, None]
-        symbols, gamma = np.concatenate([s[3] for s in reversed(steps)]), np.concatenate(weights)
+                m = after.shape[1]
+                moves += now[:, :m] @ after.T
+                beta = move @ after
+                now[:, :m] *= beta
+                back[:, :m] *= beta
+            after = back
+        found = slice(None)
         if 4 * len(symbols) < len(emits):  # few tokens: touch the lines of their symbols only
             found, symbols = np.unique(symbols, return_inverse=True)
-        else:
-            found = slice(None)
         for state in range(states):
-            emits[found, state] += np.bincount(symbols, gamma[:, state], minlength=len(emits[found]))
-    return weights[-1].sum(axis=0), moves, emits, logs.sum()
+            emits[found, state] += np.bincount(symbols, alpha[state], minlength=len(emits[found]))
+    return alpha[:, : active[0]].sum(axis=1, dtype=float), moves * model.move, emits, total
 
 
 def improved(rows: DataFrame, model: Model, frequency: np.ndarray, segment: int = SEGMENT) -> tuple[Model, float]:
