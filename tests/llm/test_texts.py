@@ -310,6 +310,19 @@ def test_forward_and_counts_match_all_paths():
     assert np.allclose(first, all_first) and np.allclose(moves, all_moves) and np.allclose(emits, all_emits)
 
 
+def test_counts_do_not_depend_on_the_stretch():
+    import numpy as np
+
+    draw = np.random.default_rng(0)
+    model = hidden_markov.first_model(np.full(50, 0.02), 3)
+    texts = [draw.integers(0, 50, n).astype(np.uint16) for n in (37, 20, 20, 5, 1)]
+    flat, starts, sizes = hidden_markov.segments(texts, 100)
+    whole = hidden_markov.expected(model, flat, starts, sizes, 100)
+    for stretch in (1, 7, 20, 36):
+        for one, two in zip(whole, hidden_markov.expected(model, flat, starts, sizes, stretch), strict=True):
+            assert np.allclose(one, two, atol=1e-4)
+
+
 def test_segments_cover_each_text():
     import numpy as np
 
