@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import last_updated, required_value, split_repo
 from tidewatch.operators.settings import matches_pattern, with_rule_defaults
 from tidewatch.plans.expand import explode_range
-from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, join_same, latest, with_previous
+from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, bounded_broadcast, join_same, latest, with_previous
 from tidewatch.session import cut
 
 
@@ -112,45 +112,70 @@ def watch_polls(
     """All rows above their watch's mark, with the columns of ``news`` (over the
     remembered ``version`` before the row, ``__prev``) and ``silent``: no news.
 
-    Only rows with news raise the mark. Which these are depends on the marks, so
-    marks are first worked out as if all rows had news, and again without the
-    silent ones until these are the same; every round settles at least one more
-    poll, and without silent rows there is one round. ``marks`` (watch, mark) and
-    ``versions`` (watch, keys, version) are what earlier polls left.
+    Only rows with news raise the mark. Which these are depends on the marks, so a round
+    works the marks out with a guess of the silent rows: first those without news
+    against the row before, whatever the mark, then those that the round before found. Where a watch's silent rows turn out as guessed, it is
+    done. Else it is settled up to the first poll where they differ, as nothing that lies
+    before depends on the guess; the next round begins there, with the mark and
+    versions reached, for the watches concerned only. The polls are read once and written
+    down; each round settles a poll at least.
+    ``marks`` (watch, mark) and ``versions`` (watch, keys, version) are what earlier polls
+    left.
     """
     entity = ["watch", *keys]
-    polls = polls.filter(F.col("last_updated") > start)  # no mark is below the start
-    silent: DataFrame | None = None
-    while True:
-        told = polls.withColumn("silent", F.lit(False))
-        if silent is not None:
-            told = join_same(polls, silent.withColumn("silent", F.lit(True)), [*entity, "poll_ts"], "left")
-            told = told.withColumn("silent", F.coalesce("silent", F.lit(False)))
-        per_poll = cut(poll_marks(told))
-        longest = per_poll.groupBy("watch").count().agg(F.max("count")).first()[0] or 0
-        fresh = newer_than_mark(told.drop("silent"), per_poll, start, marks)
-        # an entity is in a poll once, so it has no more rows than its watch has polls
-        groups = (
-            OrderedGroups.of_light(fresh, entity, ["poll_ts"]) if longest <= limit else OrderedGroups.split(fresh, entity, ["poll_ts"], limit)
-        )
+    polls = cut(polls.filter(F.col("last_updated") > start))  # no mark is below the start
+
+    def judged(rows: DataFrame, versions: DataFrame | None, is_light: bool) -> DataFrame:
+        """Rows with a mark: the version before, the news and whether there is none."""
+        groups = OrderedGroups.of_light(rows, entity, ["poll_ts"]) if is_light else OrderedGroups.split(rows, entity, ["poll_ts"], limit)
         seen = groups.running({"__prev": latest(version)}).rows()
         if versions is not None:
             known = versions.select(*entity, F.col("version").alias("__known"))
             seen = join_same(seen, known, entity, "left").withColumn("__prev", F.coalesce("__prev", "__known")).drop("__known")
         seen = seen.withColumns(news)
         has_news = functools.reduce(lambda a, b: a | b, [F.col(n) for n in news])
-        seen = cut(seen.withColumn("silent", ~F.coalesce(has_news, F.lit(False))))
-        quiet = seen.filter("silent").select(*entity, "poll_ts")
-        if silent is None and quiet.isEmpty():
-            return seen
-        if silent is not None and _same_rows(quiet, silent, [*entity, "poll_ts"]):
-            return seen
-        silent = quiet
-
-
-def _same_rows(a: DataFrame, b: DataFrame, columns: list[str]) -> bool:
-    """Equal counts and sums of row hashes."""
-    return len({tuple(d.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()) for d in (a, b)}) == 1
+        return seen.withColumn("silent", ~F.coalesce(has_news, F.lit(False)))
+
+    # an entity is in a poll once, so it has no more rows than its watch has polls
+    n_polls = polls.groupBy("watch").agg(F.count_distinct("poll_ts").alias("n"))
+    is_light = (n_polls.agg(F.max("n")).first()[0] or 0) <= limit
+    guess = judged(polls.withColumn("mark", start), versions, is_light)
+    todo, silent = polls, cut(guess.filter("silent").select(*entity, "poll_ts").distinct())
+    guessed = "__guessed"
+    settled: list[DataFrame] = []
+    while True:
+        told = join_same(todo, silent.withColumn("silent", F.lit(True)), [*entity, "poll_ts"], "left")
+        told = told.withColumn("silent", F.coalesce("silent", F.lit(False)))
+        fresh = newer_than_mark(told.withColumnRenamed("silent", guessed), poll_marks(told), start, marks)
+        seen = cut(judged(fresh, versions, is_light))
+        wrong = cut(seen.filter(F.col("silent") != F.col(guessed)).groupBy("watch").agg(F.min("poll_ts").alias("__until")))
+        seen = seen.drop(guessed)
+        n_wrong = wrong.count()
+        if n_wrong == 0:
+            return functools.reduce(DataFrame.unionByName, [*settled, seen])
+        wrong = bounded_broadcast(wrong, n_wrong)
+        right = seen.join(wrong, "watch", "left").filter(F.col("__until").isNull() | (F.col("poll_ts") <= F.col("__until")))
+        settled.append(right.drop("__until"))
+        after = lambda rows, side=wrong: rows.join(side, "watch").filter(F.col("poll_ts") > F.col("__until")).drop("__until")
+        todo, silent = after(polls), after(seen.filter("silent").select(*entity, "poll_ts")).distinct()
+        marks, versions = _left_behind(right.filter("__until is not null"), wrong, entity, version, marks, versions)
+        if len(settled) > 1:  # else they stand right behind a cut
+            marks, versions = cut(marks), cut(versions)
+
+
+def _left_behind(
+    right: DataFrame, wrong: DataFrame, entity: list[str], version: Column, marks: DataFrame | None, versions: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """Marks and versions of the watches in ``wrong`` after their settled rows."""
+    raised = right.filter(~F.col("silent")).groupBy("watch").agg(F.max("last_updated").alias("mark"))
+    newest = right.groupBy(*entity).agg(F.max_by(version, "poll_ts").alias("version"))
+    if marks is not None:
+        before = marks.join(wrong, "watch", "left_semi")
+        raised = raised.unionByName(before).groupBy("watch").agg(F.max("mark").alias("mark"))
+    if versions is not None:
+        before = versions.select(*entity, "version").join(wrong, "watch", "left_semi")
+        newest = newest.unionByName(join_same(before, newest.select(*entity), entity, "left_anti"))
+    return raised, newest
 
 
 def watched_pull_requests(polls: DataFrame, rules: DataFrame) -> DataFrame:

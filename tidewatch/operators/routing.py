@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import required_value, short_id
 from tidewatch.plans.expand import explode_range
-from tidewatch.plans.ordered import HOT_ROWS, first_in_group, join_same, running_sum, with_previous, with_running
+from tidewatch.plans.ordered import HOT_ROWS, bounded_broadcast, first_in_group, join_same, running_sum, with_previous, with_running
+from tidewatch.session import cut
 
 # Queue sizes, events per channel and per process.
 CHANNEL_CAP = 1024
@@ -33,21 +34,47 @@ def broadcast_events(events: DataFrame, processes: DataFrame) -> DataFrame:
     return events.join(processes.select("group_id", F.col("name").alias("process")), "group_id")
 
 
-def admit(events: DataFrame, keys: list[str], window: str, order: list[str], cap: int = CHANNEL_CAP) -> tuple[DataFrame, DataFrame]:
+#: Parts of a window that are counted to find where its cap is reached.
+SLOTS = 1024
+
+
+def admit(
+    events: DataFrame, keys: list[str], window: str, order: list[str], cap: int = CHANNEL_CAP, *, limit: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
     """Load shedding: (admitted, dropped).
 
     Each key takes the first ``cap`` events of a window (``window`` is a
     duration such as ``1 hour`` over ``order[0]``); the newest beyond are dropped,
     and so are events without a time, which belong to no window. A null key is a
     key like any other.
+
+    Events are counted per slot of their window first, from keys and times alone. The
+    running sum says in which slot the cap is reached, so later events are dropped
+    and earlier ones admitted by their slot. Only what reaches the cap is ranked: at most
+    ``cap`` events and one slot of each window, never all events of a hot key.
     """
     ts = order[0]
     untimed = events.filter(F.col(ts).isNull()).withColumn("window_start", F.lit(None).cast("timestamp"))
-    binned = events.filter(F.col(ts).isNotNull()).withColumn("window_start", F.window(ts, window)["start"])
+    at = F.window(ts, window)
+    begin, end = F.unix_micros(at["start"]), F.unix_micros(at["end"])
+    slot = F.floor((F.unix_micros(ts) - begin) / ((end - begin) / F.lit(SLOTS)))
+    binned = events.filter(F.col(ts).isNotNull()).withColumns({"window_start": at["start"], "__slot": slot})
     group = [*keys, "window_start"]
-    admitted = first_in_group(binned, group, order, cap)
+    counted = binned.groupBy(*group, "__slot").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*group).orderBy("__slot"))
+    reached = counted.withColumn("__upto", upto).filter((F.col("__upto") >= cap) & (F.col("__upto") - F.col("__n") < cap))
+    edges = cut(reached.select(*group, F.col("__slot").alias("__edge"), "__upto"))
+    n_edges, most = edges.agg(F.count("*"), F.max("__upto")).first()
+    marked = join_same(binned, bounded_broadcast(edges.drop("__upto"), n_edges), group, "left")
+    near = marked.filter(F.col("__edge").isNull() | (F.col("__slot") <= F.col("__edge"))).drop("__slot", "__edge")
+    if (most or 0) <= limit:
+        position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        admitted = near.withColumn("position", position).filter(F.col("position") <= cap)
+    else:  # so many events in one slot that they are ranked as a tree
+        admitted = first_in_group(near, group, order, cap)
     full = admitted.filter(F.col("position") == cap).select(*group, F.struct(*order).alias("__last"))
-    beyond = join_same(binned, full, group).filter(F.struct(*order) > F.col("__last")).drop("__last")
+    at_edge = join_same(marked.filter(F.col("__slot") == F.col("__edge")), full, group).filter(F.struct(*order) > F.col("__last"))
+    beyond = marked.filter(F.col("__slot") > F.col("__edge")).unionByName(at_edge.drop("__last")).drop("__slot", "__edge")
     return admitted, beyond.unionByName(untimed)
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import escape_control
-from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, latest, running_max, running_sum
+from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, bounded_broadcast, join_same, latest, running_max, running_sum
 from tidewatch.session import cut
 
+#: Directories of a session that are walked in one row.
+LIGHT_DIRECTORIES = 500
+
 
 def clean_path(path: Column) -> Column:
     """Slashes and ``.`` elements collapsed, ``..`` resolved, as a file path join does."""
@@ -125,8 +128,9 @@ def transfer_manifest(records: DataFrame, target: str = ".", *, limit: int = HOT
     session ends at
     its first error, or at the second end-of-directory beyond the outermost one.
     The directory a record lies in is the last one opened a level above it, so
-    the nesting is resolved with running values per (session, level), then by
-    a number of joins that grows with the logarithm of the depth.
+    the nesting is resolved with running values per (session, level). Paths are put
+    together in one walk over the directories of a session; where it has more than
+    ``LIGHT_DIRECTORIES``, by a number of joins that grows with the logarithm of the depth.
     """
     is_end, failed = F.col("record") == "E", F.col("error").isNotNull()
     step = F.when(failed, 0).when(F.col("record") == "D", 1).when(is_end, -1).otherwise(0)
@@ -159,27 +163,59 @@ def transfer_manifest(records: DataFrame, target: str = ".", *, limit: int = HOT
     else:
         nested = OrderedGroups.split(levels, *by_level, limit)
     placed = nested.running({"__parent": latest(F.col("__dir"))}).rows()
-    tree = placed.filter(~F.col("__opens")).select("session", own.alias("seq_no"), "record", "name", "length", "__parent")
+    tree = placed.filter(~F.col("__opens")).select("session", own.alias("seq_no"), "record", "name", "length", "__parent", "__level")
     return _with_paths(cut(tree), target)
 
 
 def _with_paths(tree: DataFrame, target: str) -> DataFrame:
-    """Full paths of a tree of records.
-
-    Directories first: every round, each one that does not yet reach the top puts
-    the path of the directory it has reached before its own, which doubles the
-    part resolved. Files then take the path of their directory.
-    """
+    """Full paths of a tree of records: those of the directories, and then files take the
+    path of theirs."""
     root = F.lit(target)
-    folders = tree.filter(F.col("record") == "D").select("session", F.col("seq_no").alias("__dir"), F.col("name").alias("__path"), F.col("__parent").alias("__up"))
+    opened = tree.filter(F.col("record") == "D")
+    sizes = opened.groupBy("session").agg(F.count("*").alias("n"))
+    heavy = cut(sizes.filter(F.col("n") > LIGHT_DIRECTORIES).select("session"))
+    n_heavy = heavy.count()
+    if n_heavy == 0:
+        folders = _walked_paths(opened)
+    else:
+        heavy = bounded_broadcast(heavy, n_heavy)
+        light, rest = join_same(opened, heavy, ["session"], "left_anti"), join_same(opened, heavy, ["session"], "left_semi")
+        folders = _walked_paths(light).unionByName(_doubled_paths(rest))
+    resolved = folders.select("session", F.col("__dir").alias("__parent"), join_path(root, F.col("__path")).alias("parent"))
+    placed = join_same(tree, resolved, ["session", "__parent"], "left").withColumn("parent", F.coalesce("parent", clean_path(root)))
+    return placed.select("session", "seq_no", "record", join_path(F.col("parent"), F.col("name")).alias("path"), "parent", "length")
+
+
+def _walked_paths(opened: DataFrame) -> DataFrame:
+    """Paths of the directories of small sessions: one walk over each session's
+    directories in order, with the path of the last directory opened on every level. The
+    lowest level is the one reached by leaving the outermost directory, -1."""
+    listed = opened.groupBy("session").agg(
+        F.array_sort(F.collect_list(F.struct("seq_no", (F.col("__level") + 1).cast("int").alias("level"), "name"))).alias("dirs")
+    )
+    nothing = F.struct(F.array(F.lit(None).cast("string")).alias("stack"), F.array().cast("array<struct<__dir:bigint,__path:string>>").alias("paths"))
+
+    def opens(state: Column, d: Column) -> Column:
+        path = F.concat_ws("/", F.get(state["stack"], d["level"] - 1), d["name"])
+        return F.struct(
+            F.concat(F.slice(state["stack"], F.lit(1), d["level"]), F.array(path)).alias("stack"),
+            F.concat(state["paths"], F.array(F.struct(d["seq_no"].alias("__dir"), path.alias("__path")))).alias("paths"),
+        )
+
+    return listed.select("session", F.inline(F.aggregate("dirs", nothing, opens, lambda state: state["paths"])))
+
+
+def _doubled_paths(opened: DataFrame) -> DataFrame:
+    """Paths of directories by joins: every round, each one that does not yet reach the top
+    puts the path of the directory it has reached before its own, which doubles the
+    part resolved."""
+    folders = opened.select("session", F.col("seq_no").alias("__dir"), F.col("name").alias("__path"), F.col("__parent").alias("__up"))
     while not folders.filter(F.col("__up").isNotNull()).isEmpty():
         above = folders.select("session", F.col("__dir").alias("__up"), F.col("__path").alias("__above"), F.col("__up").alias("__next"))
-        joined = folders.join(above, ["session", "__up"], "left")
+        joined = join_same(folders, above, ["session", "__up"], "left")
         path = F.concat_ws("/", "__above", "__path")
         folders = cut(joined.select("session", "__dir", path.alias("__path"), F.col("__next").alias("__up")))
-    resolved = folders.select("session", F.col("__dir").alias("__parent"), join_path(root, F.col("__path")).alias("parent"))
-    placed = tree.join(resolved, ["session", "__parent"], "left").withColumn("parent", F.coalesce("parent", clean_path(root)))
-    return placed.select("session", "seq_no", "record", join_path(F.col("parent"), F.col("name")).alias("path"), "parent", "length")
+    return folders.select("session", "__dir", "__path")
 
 
 def directory_bytes(manifest: DataFrame) -> DataFrame:
