@@ -145,29 +145,42 @@ def test_disclosing_terms(spark, secret_rows, monkeypatch):
         assert found[200]["spans"] == "term:10:18"
 
 
-def test_disclosure_is_the_normalised_information(spark, secret_rows):
+def test_bits_missing(spark, secret_rows):
     found = pii.base(frame(spark, secret_rows))
-    pairs = {(r["term"], r["entity"]): (r["n_both"], r["n_entity"]) for r in pii.candidates(found).collect()}
-    assert pairs["zorro42x", "email:the.fox@mail.example.com"] == (6, 6)
-    n = len({t for _, t in secret_rows})
-    share = math.log(n * 6 / (7 * 6)) / math.log(n / 6)
-    assert pii.GENERALISE < share < pii.REMOVE  # generalised, as one text holds it alone
-
-
-def test_terms_of_rare_values(spark):
-    """Names beside values of one and of two texts are found, words of other texts stay,
-    and copies of a text are no further evidence."""
-    rows = [(i, f"w{i % 50} w{i % 7} plain") for i in range(2000)]
-    rows += [(3000, "plain w1 Quillon at q1@mail.example.com w2"), (3001, "w3 plain Brandt +49 30 1234567 w4")]
-    rows += [(3002, "w5 plain w6 Brandt +49 30 1234567")]
-    found = {r["doc_id"]: r for r in pii.judge(frame(spark, rows)).filter("size(terms) > 0").collect()}
-    words = {i: [dict(rows)[i][t["start"] : t["end"]] for t in r["terms"]] for i, r in found.items()}
-    assert words[3000][0] == "Quillon" and "Brandt" in words[3001] and "Brandt" in words[3002]
-    assert set(words) == {3000, 3001, 3002}
-    assert not {"plain", *(f"w{i}" for i in range(50))} & {w for ws in words.values() for w in ws}
-    few = [(i, f"w{i % 50} plain") for i in range(60)]
-    copied = frame(spark, few + [(100 + i, "plain Quillon q1@mail.example.com") for i in range(5)])
-    assert pii.judge(copied).filter("size(terms) > 0").count() == 0
+    pairs = {(r["term"], r["entity"]): r["n_both"] for r in pii.candidates(found).collect()}
+    assert pairs["zorro42x", "email:the.fox@mail.example.com"] == 6 and pairs["contact", "email:the.fox@mail.example.com"] == 6
+    # six of the seven texts with the name hold the value; it is written as a name
+    bits = -math.log2((6 + pii.NAMED) / (7 + pii.NAMED + pii.PRIOR))
+    assert pii.REMOVE < bits < pii.GENERALISE
+
+
+def test_other_documents_change_no_verdict(spark):
+    """Names beside values of one and of two texts are found, rare plain words stay, and
+    copies of a text are no further evidence, whatever else there is."""
+    told = [
+        (3000, "plain w1 Quillon at q1@mail.example.com w2"), (3001, "w3 plain Brandt +49 30 1234567 w4"),
+        (3002, "w5 plain w6 Brandt +49 30 1234567"), (3003, "please write to alice@corp.example.org about teh zxqtypo thing. Mondays too"),
+        (3004, "mail of zebedee, zebedee@mail.example.com, came"), (3005, "the Quark is no name: see Quark, and quark"), (3006, "a quark"),
+        (3007, "one quark and 10.1.2.3"), (3008, "secretword and 10.9.9.9"), (3009, "10.9.9.9 is secretword's"), (3010, "secretword: 10.9.9.9"),
+    ]
+    told += [(3100 + i, "plain lowly r1@mail.example.com") for i in range(5)]
+    wanted = {3000: ["Quillon"], 3001: ["Brandt"], 3002: ["Brandt"], 3004: ["zebedee", "zebedee"], 3008: ["secretword"], 3009: ["secretword"], 3010: ["secretword"]}
+    for n in (50, 700):
+        rows = [(i, f"w{i % 50} w{i % 7} plain") for i in range(n)] + told
+        found = {r["doc_id"]: r for r in pii.judge(frame(spark, rows)).filter("size(terms) > 0").collect()}
+        assert {i: [dict(rows)[i][t["start"] : t["end"]] for t in r["terms"]] for i, r in found.items()} == wanted
+
+
+def test_many_values_in_one_text(spark):
+    """Work grows with the matches of a text, not with their square."""
+    n = 3000
+    rows = [(1, " ".join(f"user{i} u{i}@mail.example.com" for i in range(n))), (2, "short")]
+    docs = frame(spark, rows)
+    found = {r["doc_id"]: r for r in pii.judge(docs).collect()}
+    assert found[1]["base"] == plain_spans(rows[0][1]) and len(found[1]["email"]) == n and not found[1]["terms"]
+    assert pii.candidates(pii.base(docs), spark.createDataFrame([], "term string")).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert clean[1] == " ".join(f"user{i} [EMAIL]" for i in range(n))
 
 
 def test_terms_of_whole_documents(spark):
@@ -178,8 +191,8 @@ def test_terms_of_whole_documents(spark):
     rows = [(i, " ".join(f"w{(i + k) % 50}" for k in range(9))) for i in range(120)]
     rows += [(1000 + i, f"{'w1 ' * i}{far if i % 2 else near}") for i in range(8)]
     docs = frame(spark, rows)
-    pairs = {r["term"]: (r["n_both"], r["n_texts"]) for r in pii.candidates(pii.base(docs)).collect()}
-    assert pairs["quillon"] == pairs["李四"] == pairs["77123"] == (8, 8)
+    pairs = {r["term"]: r["n_both"] for r in pii.candidates(pii.base(docs)).collect()}
+    assert pairs["quillon"] == pairs["李四"] == pairs["77123"] == 8
     assert not {"q", "one", "mail", "com"} & set(pairs)
     found = {r["doc_id"]: r for r in pii.judge(docs).filter("size(terms) > 0").collect()}
     texts = dict(rows)

@@ -1,19 +1,23 @@
 """Personal data: patterns, and terms that give the found values away.
 
 Email and IP addresses, card and phone numbers are found by pattern. Then the words
-of the documents with each found value are looked at over the whole corpus. With p the share of the
-documents, a term t discloses of a value e
+of the documents with each found value are looked at over the whole corpus. Of the k
+different texts that hold a term, b may hold the value too; then
 
-    log(p(t, e) / (p(t) p(e))) / log(1 / p(e))
+    -log2((b + a) / (k + a + PRIOR))
 
-which is 1 if the term never occurs without the value and 0 if both are independent.
-p(t, e) / p(t) is estimated as if ``PRIOR`` further texts with the term held the value
-as often as any text does, so what only one or two texts show counts for less; copies
-of a text are no further evidence. Terms that disclose at least ``GENERALISE`` of a
-value are generalised wherever they occur, those that disclose ``REMOVE`` or more are
-removed, however few texts hold the value. A term may be any run of letters and
-digits that stands outside the found values at least once. Terms are first counted, and only those
-that disclose enough, which are rare, are looked for in the texts.
+bits are still missing to tell from the term that the text is about the value. ``PRIOR`` is
+a text assumed to hold the term without the value, so little evidence leaves more bits
+missing; a = ``NAMED`` texts more speak for a term that is spelled in the value, or that is
+written as a name beside it: with a capital inside a sentence. Terms that leave at most
+``GENERALISE`` bits are generalised wherever they occur, those that leave at most ``REMOVE``
+bits are removed. Only texts with the term or the value count, so other documents change
+no verdict, and copies of a text are no further evidence. A rare word that stands once
+beside a value stays, unless it is written as a name.
+
+A term may be any run of letters and digits that stands outside the found values at least
+once. Terms are counted first; those of one text need no partner, and pairs are only formed
+of terms that could reach the threshold and values of two or more texts.
 
 Everything is made of Spark expressions.
 
@@ -31,9 +35,13 @@ from tidewatch.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-PRIOR = 2.0
-GENERALISE = 0.85
-REMOVE = 0.95
+PRIOR = 1.0
+NAMED = 2.0
+#: Bits missing at most.
+GENERALISE = 0.5
+REMOVE = 0.15
+#: Matches of a text that are walked together: work grows with their number, not its square.
+WALKED = 256
 #: Disclosing terms, or documents with them, that are still sent to every task; the
 #: bytes of both are checked. Of more terms, so many are sent as their hashes.
 BROADCAST_TERMS = 20_000
@@ -52,6 +60,9 @@ _PATTERNS = {
 _HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _LETTER = r"[\p{L}\p{N}]"
+#: A term that begins with a capital and goes on in small letters or digits, behind something
+#: other than the end of a sentence or a line.
+_NAME = rf"(?<=[^\s.!?:;][ \t,]{{1,2}})(\p{{Lu}}[\p{{Ll}}\p{{N}}]+)(?!{_LETTER})"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _SPAN = "struct<start:bigint,end:bigint,value:string>"
@@ -73,10 +84,15 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _chunks(values: Column) -> Column:
+    n = F.ceil(F.size(values) / WALKED).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.slice(values, c * WALKED + 1, WALKED)))
+
+
 def _placed(text: Column, pattern: Column, found: Column) -> Column:
     """Spans of the matches ``found``: what lies between them has known lengths."""
     pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(state: Column, piece: Column) -> Column:
         begin = state["at"] + F.length(piece["gap"])
@@ -84,7 +100,12 @@ def _placed(text: Column, pattern: Column, found: Column) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), piece["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(pieces, start, step, lambda state: state["spans"])
+    def chunk(state: Column, part: Column) -> Column:
+        walked = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("spans")), step)
+        return F.struct(walked["at"].alias("at"), F.concat(state["spans"], F.array(walked["spans"])).alias("spans"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("spans"))
+    return F.coalesce(F.aggregate(_chunks(pieces), start, chunk, lambda state: F.flatten(state["spans"])), none)
 
 
 def _only_valid(kind: str) -> Column:
@@ -125,55 +146,74 @@ def _entities(kind: str) -> Column:
 
 
 def _standing(place: str) -> Column:
-    return F.transform(place, lambda t: F.struct(t.alias("term"), F.lit(place == "outside").alias("out")))
+    return F.transform(
+        place,
+        lambda t: F.struct(t.alias("term"), F.lit(place == "outside").alias("out"), F.array_contains("names", t).alias("named")),
+    )
 
 
 def base(docs: DataFrame) -> DataFrame:
     """doc_id, hash of the text, spans per kind; entities: the values; and, where there
-    are any, the terms of the text: those also outside of the values, and the others."""
+    are any, the terms of the text: those also outside of the values, and the others;
+    and those of them that are spelled in a value or written as names."""
     spans = with_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     entities = F.flatten(F.array(*map(_entities, KINDS)))
     blanks = [F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("put"))) for kind in KINDS]
     bare = [F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind) for kind in KINDS]
     has_any = sum((F.size(kind) for kind in KINDS), F.lit(0)) > 0
     none = F.array().cast("array<string>")
-    outside = F.when(has_any, _terms(_replaced(F.col("text"), F.array_sort(F.flatten(F.array(*blanks)))))).otherwise(none)
-    rows = spans.select(
-        "doc_id", F.xxhash64("text").alias("hash"), *bare, F.array_distinct(entities).alias("entities"),
-        F.when(has_any, _terms(F.col("text"))).otherwise(none).alias("all"), outside.alias("free"),
+    rest = _replaced(F.col("text"), F.array_sort(F.flatten(F.array(*blanks))))
+    spelled = F.flatten(F.transform(F.flatten(F.array(*[F.transform(kind, lambda s: s["value"]) for kind in KINDS])), _terms))
+    capital = F.transform(F.regexp_extract_all(F.col("rest"), F.lit(_NAME), F.lit(1)), lambda t: F.translate(t, _UPPER, _LOWER))
+    rows = (
+        spans.withColumn("rest", F.when(has_any, rest))
+        .select(
+            "doc_id", F.xxhash64("text").alias("hash"), *bare, F.array_distinct(entities).alias("entities"),
+            F.when(has_any, _terms(F.col("text"))).otherwise(none).alias("all"),
+            F.when(has_any, _terms(F.col("rest"))).otherwise(none).alias("free"),
+            F.when(has_any, F.array_distinct(F.concat(spelled, capital))).otherwise(none).alias("names"),
+        )
     )
     return rows.withColumns({"outside": F.array_intersect("all", "free"), "inside": F.array_except("all", "free")}).drop("all", "free")
 
 
-def candidates(found: DataFrame, n_terms: DataFrame | None = None, n_docs: int = 0, generalise: float = GENERALISE) -> DataFrame:
-    """(term, entity, n_both, n_texts, n_entity): terms of documents with a value, the
-    documents and different texts with both, and the documents with the value. With
-    ``n_terms``, also n_term, and without pairs whose counts apart rule them out."""
-    with_any = found.filter(F.size("entities") > 0).withColumn("row", F.monotonically_increasing_id())
-    values = with_any.select("row", F.explode("entities").alias("entity"))
-    of_entity = values.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    of_row = values.join(of_entity, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("values"))
-    terms = (
-        with_any.select("row", "hash", F.concat(_standing("outside"), _standing("inside")).alias("terms"))
-        .join(of_row, "row")
-        .select("hash", "values", F.explode("terms").alias("t"))
-        .select("hash", "values", "t.term", "t.out")
+def _missing_bits(both: Column, texts: Column, named: Column) -> Column:
+    more = F.when(named, F.lit(NAMED)).otherwise(F.lit(0.0))
+    return -F.log2((both + more) / (texts + more + PRIOR))
+
+
+def standing_terms(found: DataFrame, n_terms: DataFrame) -> DataFrame:
+    """(term, named, n_beside, texts): terms that stand outside a value in a document with
+    one; the different texts of those documents, and of all documents that hold it."""
+    counted = _beside(found).groupBy("term").agg(
+        F.count("*").alias("n_docs"), F.count_distinct("hash").alias("n_beside"), F.max("out").alias("out"), F.max("named").alias("named")
     )
-    keys = ["term", "entity", "n_entity"]
-    if n_terms is not None:  # then all below is done where the term is
-        terms = terms.join(n_terms, "term")
-        keys.append("n_term")
-    both = terms.withColumn("v", F.explode("values")).select("*", "v.*").select("hash", "out", *keys)
-    if n_terms is not None:  # what all documents of the rarer one having both would disclose
-        both = both.filter(_disclosed(F.least("n_entity", "n_term"), F.col("n_term"), F.col("n_entity"), n_docs) >= generalise - 1e-9)
-    counted = both.groupBy(*keys).agg(F.count("*").alias("n_both"), F.count_distinct("hash").alias("n_texts"), F.max("out").alias("out"))
-    return counted.filter("out").drop("out")
+    # documents are counted in texts as those beside a value are
+    texts = F.col("n_term") * F.col("n_beside") / F.col("n_docs")
+    return counted.filter("out").join(n_terms, "term").select("term", "named", "n_beside", texts.alias("texts"))
 
 
-def _disclosed(both: Column, term: Column, entity: Column, n_docs: int) -> Column:
-    of_value = entity / F.lit(float(n_docs))
-    shared, whole = F.log((both + PRIOR * of_value) / (term + PRIOR) / of_value), -F.log(of_value)
-    return F.when(whole > 0, shared / whole).otherwise(F.lit(0.0))
+def _beside(found: DataFrame) -> DataFrame:
+    """(row, hash, term, out, named): the terms of documents with a value."""
+    with_any = found.filter(F.size("entities") > 0).withColumn("row", F.monotonically_increasing_id())
+    terms = with_any.select("row", "hash", F.explode(F.concat(_standing("outside"), _standing("inside"))).alias("t"))
+    return terms.select("row", "hash", "t.*")
+
+
+def candidates(found: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, entity, n_both): different texts with both a term and a value. With
+    ``terms`` only those, and only values of two or more texts."""
+    with_any = found.filter(F.size("entities") > 0).withColumn("row", F.monotonically_increasing_id())
+    values = with_any.select("row", "hash", F.explode("entities").alias("entity"))
+    standing = _beside(found)
+    if terms is not None:
+        several = values.groupBy("entity").agg(F.count_distinct("hash").alias("n")).filter("n > 1").select("entity")
+        values = values.join(several, "entity")
+        standing = standing.join(terms.select("term"), "term")
+    lists = values.groupBy("row").agg(F.collect_set("entity").alias("entities"))
+    both = standing.join(lists, "row").select("term", "hash", "out", F.explode("entities").alias("entity"))
+    counted = both.groupBy("term", "entity").agg(F.count_distinct("hash").alias("n_both"), F.max("out").alias("out"))
+    return counted.filter("out").drop("out")
 
 
 def _all_terms(docs: DataFrame, *more: Column) -> DataFrame:
@@ -215,19 +255,18 @@ def occurrences(docs: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def flagged_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
-    """(term, removed) of the terms that disclose enough; None if none can."""
+    """(term, removed) of the terms that leave few enough bits missing; None if none can."""
     if found.filter(F.size("entities") > 0).isEmpty():
         return None
-    n_docs = found.count()
-    # the documents with the term, counted in texts as those with both are
-    texts = F.col("n_term") * F.col("n_texts") / F.col("n_both")
-    return (
-        candidates(found, term_counts(docs), n_docs, generalise)
-        .groupBy("term")
-        .agg(F.max(_disclosed(F.col("n_texts"), texts, F.col("n_entity"), n_docs)).alias("disclosed"))
-        .filter(F.col("disclosed") >= generalise)
-        .select("term", (F.col("disclosed") >= remove).alias("removed"))
-    )
+    # if all texts of the term that have a value had the same
+    least = _missing_bits(F.col("n_beside"), F.col("texts"), F.col("named"))
+    able = cut(standing_terms(found, term_counts(docs)).filter(least <= generalise))
+    alone, shared = able.filter("n_beside = 1"), able.filter("n_beside > 1")
+    most = candidates(found, shared).groupBy("term").agg(F.max("n_both").alias("n_both"))
+    # a term of one text stands beside each of its values
+    judged = alone.withColumn("n_both", F.lit(1).cast("bigint")).unionByName(shared.join(most, "term").select(*alone.columns, "n_both"))
+    bits = _missing_bits(F.col("n_both"), F.col("texts"), F.col("named"))
+    return judged.filter(bits <= generalise).select("term", (bits <= remove).alias("removed"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
@@ -269,7 +308,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def _replaced(text: Column, spans: Column) -> Column:
     """The text with sorted ``spans`` (start, end, put) replaced; where spans
     overlap, the first one's replacement stands for all they cover."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
 
     def step(state: Column, span: Column) -> Column:
         free = span["start"] >= state["at"]
@@ -279,11 +319,15 @@ def _replaced(text: Column, spans: Column) -> Column:
             F.when(free, F.concat(state["out"], F.array(gap, span["put"]))).otherwise(state["out"]).alias("out"),
         )
 
+    def chunk(state: Column, part: Column) -> Column:
+        walked = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return F.struct(walked["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(walked["out"], ""))).alias("out"))
+
     def finish(state: Column) -> Column:
         rest = F.substr(text, (state["at"] + 1).cast("int"))
         return F.array_join(F.concat(state["out"], F.array(rest)), "")
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    return F.when(F.size(spans) > 0, F.aggregate(_chunks(spans), start, chunk, finish)).otherwise(text)
 
 
 def _put(kind: str) -> Column:
