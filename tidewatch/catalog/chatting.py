@@ -206,7 +206,8 @@ said AS MATERIALIZED (
   FROM lineitem JOIN defs c ON c.position = l_partkey
 ), called AS (
   SELECT s.r, min_by(f.name, f.position) AS command, min_by(f.p_size, f.position) AS p_size, min_by(f.p_brand, f.position) AS p_brand
-  FROM said s JOIN firsts f ON starts_with(s.text || ' ', f.name || ' ') WHERE l_linenumber < 7 GROUP BY s.r
+  FROM (SELECT r, ltrim(text) || ' ' AS t, split_part(ltrim(text), ' ', 1) AS word FROM said WHERE l_linenumber < 7) s
+  JOIN (SELECT *, name || ' ' AS n, split_part(name, ' ', 1) AS word FROM firsts) f ON f.word = s.word AND starts_with(s.t, f.n) GROUP BY s.r
 ), helped AS (
   SELECT r, arg_min(name, row(spot, position)) AS about
   FROM (SELECT s.r, f.name, f.position, instr(substr(s.text, 6), f.name) AS spot FROM said s, firsts f WHERE s.l_linenumber = 7) WHERE spot > 0 GROUP BY r
