@@ -6,9 +6,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import outcomes, routing
+from tidewatch.streaming import admission, jobs
 from tidewatch.streaming.admission import admission_totals, stream_admission_counts, stream_admit
 from tidewatch.streaming.jobs import run_once
-from tidewatch.operators import outcomes, routing
 
 STEP = "run_id int, seq_no int, is_deferred boolean, error string, value string"
 
@@ -165,3 +166,40 @@ def test_streamed_admission_keeps_every_event(spark, tmp_path):
     assert [r.id for r in found["late"]] == [40]
     totals = admission_totals(spark.read.parquet(f"{tmp_path}/counts/counts"), ["k"], 12).collect()
     assert sorted((r.k or "", r.n_admitted, r.n_dropped) for r in totals) == [("", 1, 0), ("", 1, 0), ("k", 2, 0), ("k", 12, 4)]
+
+
+def test_counts_are_merged_by_levels(spark, tmp_path):
+    """The number of folders stays bounded, and no count is lost or taken twice, also
+    after a break between writing a merged folder and removing its parts."""
+    state, rows, most = f"{tmp_path}/merged", spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long"), 0
+    rows = rows.withColumn("window_start", F.lit("2024-01-01").cast("timestamp")).coalesce(1)
+    for number in range(30):
+        folder = admission._counts_folder(f"{state}/counts", 0, number)
+        rows.write.mode("overwrite").parquet(folder)
+        if number in (8, 26):  # the step broke off with some parts left, and runs again
+            kept = {p: spark.read.parquet(p).collect() for p in jobs.folders(spark, f"{state}/counts/level=0/batch=*")}
+            admission._merge(spark, f"{state}/counts", ["k", "window_start"], number, 3)
+            for path, old in list(kept.items())[:2]:
+                spark.createDataFrame(old, rows.schema).write.parquet(path)
+        else:
+            admission._merge(spark, f"{state}/counts", ["k", "window_start"], number, 3)
+        if number % 9 == 8 or number == 26:
+            found = {r.k: r.n for r in admission.read_counts(spark, state, width=3).groupBy("k").agg(F.sum("n").alias("n")).collect()}
+            assert found == {"a": number + 1, "b": 2 * (number + 1)}
+        admission._merge(spark, f"{state}/counts", ["k", "window_start"], number, 3)
+        most = max(most, len(jobs.folders(spark, f"{state}/counts/level=*/batch=*")))
+    assert most <= 2 * 4 + 1
+
+
+def test_merged_durations(spark):
+    rows = [(p, 86400 * (i % 5), i * i % 977, None if p == "a" else "bad") for p in "ab" for i in range(1000)]
+    df = spark.createDataFrame(rows, "process string, at int, s int, error string").select(
+        "process", "error", F.timestamp_seconds("at").alias("started_at"), F.timestamp_seconds(F.col("at") + F.col("s")).alias("ended_at")
+    )
+    daily = routing.duration_sketches(df)
+    assert daily.select("day").distinct().count() == 5
+    exact = sorted(i * i % 977 for i in range(1000))
+    for row in routing.merged_durations(daily).collect():
+        assert (row.n_runs, row.max_seconds, round(row.avg_seconds, 6)) == (1000, max(exact), round(sum(exact) / 1000, 6))
+        below, upto = sum(s < row.quantile_seconds for s in exact), sum(s <= row.quantile_seconds for s in exact)
+        assert below <= 1000 * (0.5 + routing.SKETCH_ERROR) and upto >= 1000 * (0.5 - routing.SKETCH_ERROR)

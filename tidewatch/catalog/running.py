@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.registry import query, table
 from tidewatch.functions.predicates import confirm_kind, contains, from_bot, if_else, mentions
 from tidewatch.operators import outcomes, routing
+from tidewatch.session import shared_folder
 from tidewatch.sources.ticks import ticker_events
 
 
@@ -185,6 +186,29 @@ def run_durations(spark, sf):
     return routing.run_durations(finished(spark, sf))
 
 
+@query(
+    "route_merged_durations",
+    f"""WITH {FINISHED_SQL}, timed AS (SELECT process, error IS NULL AS ok, (epoch_us(ended_at) - epoch_us(started_at)) // 1000000 AS s FROM finished)
+    SELECT process, ok, count(*) AS n_runs, CAST(sum(s) AS DOUBLE) / count(*) AS avg_seconds, CAST(max(s) AS DOUBLE) AS max_seconds, TRUE AS median_holds
+    FROM timed GROUP BY ALL""",
+)
+def merged_durations(spark, sf):
+    """Daily sketches, written and merged on read; the median they give is held against the
+    ranks of all runs."""
+    done = finished(spark, sf)
+    folder = shared_folder(spark, "durations")
+    routing.duration_sketches(done).write.partitionBy("day").parquet(folder)
+    merged = routing.merged_durations(spark.read.parquet(folder))
+    seconds = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1_000_000
+    runs = done.select(F.col("process").alias("__p"), (F.coalesce("error", F.lit("")) == "").alias("__ok"), seconds.alias("__s"))
+    same = F.col("process").eqNullSafe(F.col("__p")) & (F.col("ok") == F.col("__ok"))
+    median = F.col("quantile_seconds")
+    below, upto = F.avg((F.col("__s") < median).cast("double")), F.avg((F.col("__s") <= median).cast("double"))
+    names = ["process", "ok", "n_runs", "avg_seconds", "max_seconds"]
+    holds = (below <= 0.5 + routing.SKETCH_ERROR) & (upto >= 0.5 - routing.SKETCH_ERROR)
+    return merged.join(runs, same).groupBy(*names).agg(holds.alias("median_holds"))
+
+
 @query(
     "route_process_defaults",
     """WITH specs AS (SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE s_name END AS name,

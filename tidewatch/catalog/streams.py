@@ -12,7 +12,7 @@ from tidewatch.catalog.registry import ORACLES, query, table
 from tidewatch.operators import logs, outcomes, routing
 from tidewatch.session import shared_folder
 from tidewatch.sources.sinks import LOG_TIME, write_logs
-from tidewatch.streaming.admission import admission_totals, stream_admission_counts, stream_admit
+from tidewatch.streaming.admission import admission_totals, read_counts, stream_admission_counts, stream_admit
 from tidewatch.streaming.conversations import stream_conversations
 from tidewatch.streaming.jobs import run_once, stream_table
 from tidewatch.streaming.statuses import stream_statuses
@@ -80,7 +80,7 @@ def admission(spark, sf):
     state = shared_folder(spark, "admission")
     run = lambda events: run_once(stream_admission_counts(events, ["event_type"], "1 day", "ts", state))
     fed(spark, table(spark, sf, "events"), "ts", "events", run)
-    counts = admission_totals(spark.read.parquet(f"{state}/counts"), ["event_type"], routing.PROCESS_CAP)
+    counts = admission_totals(read_counts(spark, state), ["event_type"], routing.PROCESS_CAP)
     return counts.select("event_type", F.unix_micros("window_start").alias("window_us"), "n_admitted", "n_dropped")
 
 

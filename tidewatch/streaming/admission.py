@@ -8,15 +8,17 @@ event is admitted, dropped or late.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewatch.operators.routing import CHANNEL_CAP
 from tidewatch.plans.ordered import first_in_group, join_same
-from tidewatch.streaming.jobs import is_complete, remove_folder
+from tidewatch.streaming.jobs import folders, is_complete, remove_folder
 
 FOLDERS = ("admitted", "dropped", "late")
+#: Folders of counts that are merged into one of the next level.
+MERGED = 8
 
 
 def _binned(events: DataFrame, ts: str, window: str) -> tuple[DataFrame, DataFrame]:
@@ -67,19 +69,65 @@ def stream_admit(
     return events.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint")
 
 
-def stream_admission_counts(events: DataFrame, keys: list[str], window: str, ts: str, state: str) -> DataStreamWriter:
-    """Write the number of events per key and window of every micro-batch to
-    ``state/counts``; ``admission_totals`` adds them up. Nothing waits for a window
-    to close, so open windows and late events are in it."""
+def stream_admission_counts(
+    events: DataFrame, keys: list[str], window: str, ts: str, state: str, *, width: int = MERGED
+) -> DataStreamWriter:
+    """Write the number of events per key and window of every micro-batch below
+    ``state/counts``; ``admission_totals`` adds them up (``read_counts``). Nothing waits for a
+    window to close, so open windows and late events are in it.
+
+    The folders of ``width`` micro-batches are merged into one of the next level, those of
+    ``width`` such into one of the level above, and so on: after n micro-batches there
+    are fewer than ``width`` folders on each of log n levels, each row merged log n times.
+    A folder goes only when the one that holds its counts is complete.
+    """
+    group, counts = [*keys, "window_start"], f"{state}/counts"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         binned, _ = _binned(batch, ts, window)
-        counts = binned.groupBy(*keys, "window_start").agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{state}/counts/batch={batch_id}")
+        counted = binned.groupBy(*group).agg(F.count("*").alias("n"))
+        counted.write.mode("overwrite").parquet(_counts_folder(counts, 0, batch_id))
+        _merge(batch.sparkSession, counts, group, batch_id, width)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint")
 
 
+def _counts_folder(counts: str, level: int, first: int) -> str:
+    return f"{counts}/level={level}/batch={first}"
+
+
+def _merge(spark: SparkSession, counts: str, group: list[str], batch_id: int, width: int) -> None:
+    """Merge the folders of every level that ``batch_id`` fills."""
+    level, size = 0, 1
+    while (batch_id + 1) % (size * width) == 0:
+        first = batch_id + 1 - size * width
+        parts = [_counts_folder(counts, level, first + i * size) for i in range(width)]
+        merged = _counts_folder(counts, level + 1, first)
+        there = [] if is_complete(spark, merged) else [part for part in parts if is_complete(spark, part)]
+        if there:
+            rows = spark.read.parquet(*there).groupBy(*group).agg(F.sum("n").alias("n"))
+            rows.write.mode("overwrite").parquet(merged)
+        for part in parts:
+            remove_folder(spark, part)
+        level, size = level + 1, size * width
+
+
+def read_counts(spark: SparkSession, state: str, *, width: int = MERGED) -> DataFrame:
+    """The counts of a stream as it stands, also where it broke off between writing a
+    merged folder and removing what it was made of."""
+    complete: dict[tuple[int, int], str] = {}
+    for folder in folders(spark, f"{state}/counts/level=*/batch=*"):
+        level, first = (int(part.rsplit("=", 1)[1]) for part in folder.rstrip("/").rsplit("/", 2)[1:])
+        if is_complete(spark, folder):
+            complete[level, first] = folder
+    top = max((level for level, _ in complete), default=0)
+
+    def is_merged(level: int, first: int) -> bool:
+        return any((above, first // width**above * width**above) in complete for above in range(level + 1, top + 1))
+
+    return spark.read.parquet(*[folder for at, folder in sorted(complete.items()) if not is_merged(*at)])
+
+
 def admission_totals(counts: DataFrame, keys: list[str], cap: int = CHANNEL_CAP) -> DataFrame:
     """Admitted and dropped events per key and window so far."""
     total = counts.groupBy(*keys, "window_start").agg(F.sum("n").alias("n"))

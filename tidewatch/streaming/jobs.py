@@ -32,6 +32,12 @@ def is_complete(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the folders that match a pattern, written to completion or not."""
+    path, files = _hadoop_path(spark, pattern)
+    return [str(status.getPath()) for status in files.globStatus(path) or []]
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder that a stream wrote, if it is there."""
     path, files = _hadoop_path(spark, folder)
