@@ -197,7 +197,7 @@ def merged_durations(spark, sf):
     ranks of all runs."""
     done = finished(spark, sf)
     folder = shared_folder(spark, "durations")
-    routing.duration_sketches(done).write.partitionBy("day").parquet(folder)
+    routing.duration_sketches(done).write.parquet(folder)
     merged = routing.merged_durations(spark.read.parquet(folder))
     seconds = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1_000_000
     runs = done.select(F.col("process").alias("__p"), (F.coalesce("error", F.lit("")) == "").alias("__ok"), seconds.alias("__s"))
