@@ -123,6 +123,25 @@ def test_scopes_of_any_depth_and_from_requests(spark):
     assert got == {(str(i), str(j)): i - j for i in range(40) for j in range(i + 1)}
     some = settings.scope_ancestors(chain, spark.createDataFrame([("39", "x"), ("39", "y")], "scope_id string, name string")).collect()
     assert sorted(r.depth for r in some) == list(range(40)) and {r.scope_id for r in some} == {"39"}
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "scope_id string, parent_id string")
+    with pytest.raises(ValueError):
+        settings.resolve_scoped(loop, spark.createDataFrame([("a", "x", "1")], "scope_id string, name string, value string"))
+
+
+def test_deep_scopes(spark):
+    """A chain of 5,000 scopes with a second name redefined on the way, and a scope beside it;
+    requests of scopes that do not exist and of names that are not defined."""
+    n = 5000
+    chain = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up")).union(spark.createDataFrame([(9000, 17)], "id long, up long"))
+    chain = chain.select(F.col("id").cast("string").alias("scope_id"), F.col("up").cast("string").alias("parent_id"))
+    values = spark.createDataFrame(
+        [("0", "x", "top"), ("0", "y", "a"), ("3000", "y", "b"), ("20", "z", "c"), ("7777", "x", "own")], "scope_id string, name string, value string"
+    )
+    wanted = [("4999", "x", "top", 4999), ("4999", "y", "b", 1999), ("2999", "y", "a", 2999), ("9000", "x", "top", 18), ("9000", "z", None, None), ("7777", "x", "own", 0), ("5", "q", None, None)]
+    asked = spark.createDataFrame([(s, name) for s, name, *_ in wanted], "scope_id string, name string")
+    got = settings.resolve_scoped(chain, values, asked).collect()
+    assert sorted((r.scope_id, r.name, r.value or "", r.depth or 0) for r in got) == sorted((s, k, v or "", d or 0) for s, k, v, d in wanted)
+    assert {r.name for r in got if r.status == "NOT_FOUND"} == {"z", "q"}
 
 
 def test_null_keys_match(spark):

@@ -187,25 +187,56 @@ def scope_ancestors(scopes: DataFrame, start: DataFrame | None = None) -> DataFr
     return closure
 
 
+def _enclosing(scopes: DataFrame, start: DataFrame) -> DataFrame:
+    """The scopes of ``start`` and all that enclose one of them, each once. Every round
+    doubles the distance looked up."""
+    jumps = scopes.filter(F.col("parent_id").isNotNull()).select("scope_id", F.col("parent_id").alias("__up"))
+    found, n = cut(start.select("scope_id").distinct()), -1
+    while (now := found.count()) != n:
+        n = now
+        farther = found.join(jumps, "scope_id").select(F.col("__up").alias("scope_id"))
+        found = cut(found.union(farther).distinct())
+        jumps = cut(_twice(jumps))
+    return found
+
+
+def _twice(jumps: DataFrame) -> DataFrame:
+    """(scope_id, __up) of a jump and one more of the same distance."""
+    return jumps.join(jumps.select(F.col("scope_id").alias("__up"), F.col("__up").alias("__next")), "__up").select("scope_id", F.col("__next").alias("__up"))
+
+
 def resolve_scoped(scopes: DataFrame, values: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Value of each name in each scope: the nearest enclosing definition.
 
     With ``requests`` (scope_id, name) only those are answered; undefined ones
     come back with status NOT_FOUND.
+
+    A scope takes the definitions known to the scope that its jump leads to, for names it has
+    none of yet, and the jumps double: after k rounds every scope knows what is defined
+    less than 2^k levels above it. A pair of scope and name is settled at its first
+    definition and never looked at again. With requests, only the names asked for and
+    the scopes that enclose one asked for take part. Scopes that enclose themselves are an error.
     """
-    closure = scope_ancestors(scopes, requests)
-    owned = values.select(F.col("scope_id").alias("ancestor_id"), "name", "value")
+    owned = values.groupBy("scope_id", "name").agg(F.min("value").alias("value"))
     if requests is not None:
-        closure = closure.join(requests.select("scope_id", "name").distinct(), "scope_id")
-        found = closure.join(owned, ["ancestor_id", "name"])
-    else:
-        found = closure.join(owned, "ancestor_id")
-    nearest = found.groupBy("scope_id", "name").agg(
-        F.min_by("value", "depth").alias("value"), F.min("depth").alias("depth")
-    )
+        asked = requests.select("scope_id", "name").distinct()
+        inside = _enclosing(scopes, asked)
+        scopes = scopes.join(inside, "scope_id", "left_semi")
+        owned = owned.join(asked.select("name").distinct(), "name", "left_semi").join(inside, "scope_id", "left_semi")
+    found = cut(owned.select("scope_id", "name", "value", F.lit(0).alias("depth")))
+    jumps = cut(scopes.filter(F.col("parent_id").isNotNull()).select("scope_id", F.col("parent_id").alias("__up")).distinct())
+    distance, n_scopes = 1, scopes.count()
+    while not jumps.isEmpty():
+        if distance > n_scopes:  # no chain without a repeated scope is that long
+            raise ValueError("the scopes form a cycle")
+        above = found.select(F.col("scope_id").alias("__up"), "name", "value", (F.col("depth") + distance).alias("depth"))
+        farther = jumps.join(above, "__up").select("scope_id", "name", "value", "depth")
+        found = cut(found.unionByName(farther.join(found, ["scope_id", "name"], "left_anti")))
+        jumps = cut(_twice(jumps))
+        distance *= 2
     if requests is None:
-        return nearest.withColumn("status", F.lit("OK"))
-    answered = requests.select("scope_id", "name").distinct().join(nearest, ["scope_id", "name"], "left")
+        return found.join(scopes.select("scope_id"), "scope_id", "left_semi").withColumn("status", F.lit("OK"))
+    answered = asked.join(found, ["scope_id", "name"], "left")
     return answered.withColumn("status", F.when(F.col("depth").isNull(), "NOT_FOUND").otherwise("OK"))
 
 
