@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query, table
 from tidewatch.functions.tokenizer import tokenize
-from tidewatch.operators import chat, dialogs
+from tidewatch.operators import chat, dialogs, routing
 from tidewatch.operators.chat import Command, Field
+from tidewatch.session import cut
 
 TAGS = ("a", "b", "c")
 DIALOG = [
@@ -359,6 +360,22 @@ def conversation_events(spark, sf):
     return chat.conversation_events(handled(spark, sf)).select("thread", "event_id", "command", flat_values("values").alias("given"))
 
 
+@query(
+    "chat_queue_failures",
+    f"""WITH RECURSIVE {TALK_SQL}, started AS (
+      SELECT thread, event_id, row_number() OVER (PARTITION BY chat, e.ts::DATE ORDER BY e.ts, event_id) > 2 AS lost
+      FROM told JOIN events e USING (event_id) WHERE phase <> 'confirmed' AND after = 'confirmed')
+    SELECT t.thread, t.event_id, t.phase, CASE WHEN s.lost THEN 'Failed to confirm command - internal error. Check logs for details.' ELSE {REPLY_SQL} END AS reply,
+      coalesce(NOT s.lost, false) AS is_event, CASE WHEN NOT s.lost THEN chat END AS command
+    FROM told t LEFT JOIN started s USING (event_id)""",
+)
+def queue_failures(spark, sf):
+    """Runs of a command that find its queue of the day full."""
+    talked = cut(handled(spark, sf))
+    _, dropped = routing.admit(talked.filter("is_event"), ["command"], "1 day", ["ts", "event_id"], 2)
+    return chat.with_failures(talked, dropped, ["thread", "event_id"]).select("thread", "event_id", "phase", "reply", "is_event", "command")
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as channel messages: the first turn opens the thread where
     it mentions the bot."""

@@ -13,7 +13,7 @@ from tidewatch.functions.predicates import confirm_kind, from_bot, mention, ment
 from tidewatch.functions.text import SPACE, capitalize, quoted, trim_space
 from tidewatch.functions.tokenizer import is_delimiter, tokenize
 from tidewatch.operators import dialogs
-from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, latest, running_max, running_sum
+from tidewatch.plans.ordered import HOT_ROWS, OrderedGroups, join_same, latest, running_max, running_sum
 
 STRING, ENUM = "string", "enum"
 
@@ -22,6 +22,7 @@ UNRECOGNIZED_THREAD = "I'm sorry, I did not recognize this conversation. You can
 HELP_HEADER = "Here are the supported commands:\n"
 HELP_LINES = ["* `help` to print this help message", "* `help <command>` to get help on individual command"]
 NOT_PARSED = "could not parse the command"
+NOT_QUEUED = "Failed to confirm command - internal error. Check logs for details."
 
 
 @dataclass(frozen=True)
@@ -502,6 +503,16 @@ def conversation_events(handled: DataFrame) -> DataFrame:
     return handled.filter("is_event").drop("reply", "phase", "is_event")
 
 
+def with_failures(handled: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """Handled messages where the run of some could not be queued: ``dropped`` holds the
+    ``keys`` of those. Their reply says so and they start nothing; the thread stays confirmed."""
+    lost = dropped.select(*keys).distinct().withColumn("__lost", F.lit(True))
+    joined = join_same(handled, lost, keys, "left")
+    failed = F.col("is_event") & F.col("__lost").isNotNull()
+    none = {c: F.when(~failed, F.col(c)) for c in ("command", "values")}
+    return joined.withColumns({"reply": F.when(failed, NOT_QUEUED).otherwise(F.col("reply")), "is_event": ~failed & F.col("is_event"), **none}).drop("__lost")
+
+
 def outgoing_messages(routed: DataFrame, handled: DataFrame) -> DataFrame:
     """Replies with the channel and thread they go to; a reply to a thread that
     was never opened says so."""
