@@ -1,4 +1,4 @@
-"""Operators that build indexes inside tasks, held against brute force."""
+"""Operators that build indexes inside tasks, held against exhaustive search."""
 
 import hashlib
 import math
