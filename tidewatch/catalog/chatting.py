@@ -194,7 +194,7 @@ def part_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ORDERS_SQL = " ".join(
-    f"WHEN {n} THEN c.name || replace('{said}', 'quantity', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR))" for n, said in ORDERS_SAID.items()
+    f"WHEN {n} THEN '{'  ' if n == 3 else ''}' || c.name || replace('{said}', 'quantity', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR))" for n, said in ORDERS_SAID.items()
 )
 PART_SQL = f"""
 defs AS (
