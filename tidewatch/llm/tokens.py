@@ -26,7 +26,7 @@ ID_BYTES = 4
 #: The one token of the vocabulary that texts are searched for as a whole.
 SPECIAL = "<|endoftext|>"
 #: Chunks of text whose ids a worker keeps: the first ones met, which are the frequent ones.
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 200_000
 _KEPT_LENGTH = 48
 
 _CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
