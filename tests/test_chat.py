@@ -183,6 +183,32 @@ def test_commands_from_a_table(spark, small, monkeypatch):
     }
 
 
+def test_large_command_tables_read_the_messages_once(spark, monkeypatch):
+    """With commands too many to send, a message is not read again for each length of a name."""
+    monkeypatch.setattr(dialogs, "small_enough", lambda df: False)
+    monkeypatch.setattr(ordered, "small_enough", lambda df: False)
+    messages = spark.range(60).select("id", F.element_at(F.array(*[F.lit(t) for t in ("go", "go far", "help stop", "a b c d")]), (F.col("id") % 4 + 1).cast("int")).alias("text"))
+    found = chat.parse_commands(messages, dialogs.definitions(command_table(spark, SHOP)))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {(r.text, r.command, r.help_command) for r in found.collect()} == {
+        ("go", "go", None), ("go far", "go far", None), ("help stop", None, "stop"), ("a b c d", None, None)
+    }
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_help_finds_names_of_any_length(spark, small, monkeypatch):
+    monkeypatch.setattr(dialogs, "small_enough", lambda df: small)
+    if not small:
+        monkeypatch.setattr(ordered, "small_enough", lambda df: False)
+    names = ["a", "ab", "abc", "abcd", "wxyz12345", "wxyz1234", "wxyz12", "q" * 16, "q" * 15, "\u00e9t\u00e9", "no no"]
+    texts = [f"help {t}" for t in ("a", "xab", "zabcd", "wxyz1234", "wxyz123456", "wxyz1", "q" * 14, "q" * 15, "pq" + "q" * 20, "un \u00e9t\u00e9", "no  no", "no no", "%")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "id int, text string")
+    table = dialogs.definitions(command_table(spark, [Command(n) for n in names]))
+    help_of = chat.requested_help(F.col("text"), [Command(n) for n in names])
+    wanted = {r.id: r.c for r in df.select("id", help_of["command"].alias("c")).collect()}
+    assert {r.id: r.help_command for r in chat.parse_commands(df, table, limit=5).collect()} == wanted
+
+
 def test_no_commands(spark):
     df = spark.createDataFrame([(1, "go"), (2, "help go")], "id int, text string")
     none = dialogs.definitions(command_table(spark, []))

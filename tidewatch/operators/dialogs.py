@@ -4,7 +4,9 @@ A command is called by its name at the start of a message, alone or before white
 table is keyed by name, and a message looks its first word, its first two words and so on
 up, as far as any name goes; of what it finds, the command with the lowest position is
 called. Each lookup is an equi-join with unique keys, so no list of commands is part
-of a plan, and no message is paired with commands it does not name.
+of a plan, and no message is paired with commands it does not name. Messages that begin
+alike look up once: what is said is made distinct first, and the messages are joined with
+what it means.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import SPACE, trim_space
 from tidewatch.plans.ordered import HOT_ROWS, look_up, small_enough
+from tidewatch.session import cut
 
 FIELD = "struct<name:string,required:boolean,kind:string,enum:array<string>,defaults:array<string>>"
+MEANT = f"struct<position:bigint,n_words:int,command:struct<name:string,confirm:boolean,fields:array<{FIELD}>>>"
 _WORD = r"[^\t\n\f\r ]++"
 HELP = rf"(?d)\A{SPACE}*help({SPACE}.*)?"
+ASKED = "help "
 
 
 def _trimmed(name: Column) -> Column:
@@ -55,13 +60,14 @@ def problems(command_defs: DataFrame) -> DataFrame:
 def definitions(command_defs: DataFrame) -> DataFrame:
     """(name, n_words, position, confirm, fields) from rows of position, name, confirm and fields
     array<struct<name, required, kind, enum, default, default_all>>. Of rows with one name
-    the first counts. Rows with ``problems`` define nothing."""
+    the first counts. Rows with ``problems`` define nothing. They are worked out once, as
+    every lookup reads them."""
     name = _trimmed(F.col("name"))
-    rows = command_defs.filter(_problem().isNull())
+    rows = command_defs.repartition("name", "position").filter(_problem().isNull())
     fields = F.coalesce(F.transform("fields", _field), F.array().cast(f"array<{FIELD}>")).cast(f"array<{FIELD}>")
     command = F.struct("position", F.coalesce("confirm", F.lit(False)).alias("confirm"), fields.alias("fields"))
     first = rows.groupBy(name.alias("name")).agg(F.min(command).alias("c"))
-    return first.select("name", F.size(F.split("name", f"{SPACE}+")).alias("n_words"), "c.*")
+    return cut(first.select("name", F.size(F.split("name", f"{SPACE}+")).alias("n_words"), "c.*"))
 
 
 def _call(n_words: int) -> str:
@@ -69,8 +75,14 @@ def _call(n_words: int) -> str:
     return rf"(?d)\A{SPACE}*((?:{_WORD}{SPACE}++){{{n_words - 1}}}{_WORD})({SPACE}.*)?\z"
 
 
-def _called_names(messages: DataFrame, text: str, n_words: int) -> DataFrame:
-    return messages.withColumn("__key", F.when(~F.col("__help.requested"), F.nullif(F.regexp_extract(text, _call(n_words), 1), F.lit(""))))
+def _said(text: Column, most: int) -> Column:
+    """What of a message decides the command it means, itself a message that means the same:
+    ``help`` and what it asks about, or else up to ``most`` first words. Of a text in several
+    lines it is all, as no name is called before a line that ends further on."""
+    wanted = trim_space(F.regexp_extract(text, HELP, 1))
+    first = F.regexp_extract(text, rf"(?d)\A{SPACE}*((?:{_WORD}{SPACE}++){{0,{most - 1}}}{_WORD})", 1)
+    spoken = F.when(text.contains("\n"), text).otherwise(F.nullif(first, F.lit("")))
+    return F.when(F.col("__help.requested"), F.concat(F.lit(ASKED), F.nullif(wanted, F.lit("")))).otherwise(spoken)
 
 
 def dispatched(messages: DataFrame, commands: DataFrame, text: str, limit: int = HOT_ROWS) -> DataFrame:
@@ -78,40 +90,55 @@ def dispatched(messages: DataFrame, commands: DataFrame, text: str, limit: int =
     command is called) and ``__rest``, what follows its name. ``commands`` are
     ``definitions``."""
     small = small_enough(commands)
-    asked = F.struct(F.col(text).rlike(HELP).alias("requested"))
-    out = messages.withColumn("__help", asked)
     lengths = sorted(row[0] for row in commands.select("n_words").distinct().collect())  # one number per length of a name
-    found = []
-    for n in lengths:
-        of = F.struct("position", F.lit(n).alias("n_words"), F.struct("name", "confirm", "fields").alias("command"))
-        entries = commands.filter(F.col("n_words") == n).select(F.col("name").alias("__key"), of.alias(f"__found{n}"))
-        out = look_up(_called_names(out, text, n), entries, "__key", limit, small).drop("__key")
-        found.append(F.col(f"__found{n}"))
-    best = F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None)
-    kind = f"struct<position:bigint,n_words:int,command:struct<name:string,confirm:boolean,fields:array<{FIELD}>>>"
-    out = out.withColumn("__best", best.cast(kind)).drop(*[f"__found{n}" for n in lengths])
+    out = messages.withColumn("__help", F.struct(F.col(text).rlike(HELP).alias("requested")))
+    out = out.withColumn("__said", _said(F.col(text), max(lengths, default=1)))
+    counts = cut(out.groupBy("__said").agg(F.count("*").alias("n_rows")))
+    said = counts.select("__said").filter("__said is not null")
+    is_asked = F.col("__said").startswith(ASKED)
+    calls = _called(said.filter(~is_asked), commands, lengths, limit, small)
+    asked = _asked(said.filter(is_asked), commands.select("name", "position"), limit, small)
+    meant = cut(calls.unionByName(asked, allowMissingColumns=True))
+    out = look_up(out, meant, "__said", limit, counts=counts)
     rest = F.coalesce(*[F.when(F.col("__best.n_words") == n, F.regexp_extract(text, _call(n), 2)) for n in lengths], F.lit(None))
-    out = out.withColumns({"__command": F.col("__best.command"), "__rest": rest}).drop("__best")
-    return _with_help(out, commands, text, limit)
-
-
-def _with_help(messages: DataFrame, commands: DataFrame, text: str, limit: int) -> DataFrame:
-    """Name the command each request for help is about: the name that stands first in it;
-    of those that start at one place the one with the lowest position."""
-    wanted = F.when(F.col("__help.requested"), F.nullif(trim_space(F.regexp_extract(text, HELP, 1)), F.lit("")))
-    messages = messages.withColumn("__wanted", wanted)
-    asked = messages.filter("__wanted is not null").select("__wanted").distinct()
-    lengths = commands.select(F.char_length("name").alias("n")).distinct()
-    sizes = F.array(*[F.lit(row[0]) for row in lengths.collect()]).cast("array<int>")  # one number per length of a name
-    at = F.explode(F.sequence(F.lit(1), F.char_length("__wanted"))).alias("at")
-    pieces = (
-        asked.select("__wanted", at)
-        .select("__wanted", "at", F.explode(F.filter(sizes, lambda n: F.col("at") + n - 1 <= F.char_length("__wanted"))).alias("n"))
-        .select("__wanted", "at", F.substr("__wanted", F.col("at"), F.col("n")).alias("name"))
-    )
-    first = pieces.join(commands.select("name", "position"), "name").groupBy("__wanted").agg(F.min(F.struct("at", "position", "name")).alias("first"))
-    about = look_up(messages, first.select("__wanted", F.col("first.name").alias("__about")), "__wanted", limit)
-    return about.withColumn("__help", F.struct(F.col("__help.requested").alias("requested"), F.col("__about").alias("command"))).drop("__wanted", "__about")
+    help_ = F.struct(F.col("__help.requested").alias("requested"), F.col("__about").alias("command"))
+    return out.withColumns({"__command": F.col("__best.command"), "__rest": rest, "__help": help_}).drop("__said", "__best", "__about")
+
+
+def _called(said: DataFrame, commands: DataFrame, lengths: list[int], limit: int, small: bool) -> DataFrame:
+    """(__said, __best): the command with the lowest position of those its first words name."""
+    names = F.array(*[F.regexp_extract("__said", _call(n), 1) for n in lengths]).cast("array<string>")
+    calls = said.select("__said", F.explode(names).alias("name")).filter("name <> ''")
+    entry = F.struct("position", "n_words", F.struct("name", "confirm", "fields").alias("command")).cast(MEANT)
+    found = look_up(calls, commands.select("name", entry.alias("__entry")), "name", limit, small)
+    return found.filter("__entry is not null").groupBy("__said").agg(F.min("__entry").alias("__best"))
+
+
+def _asked(said: DataFrame, names: DataFrame, limit: int, small: bool) -> DataFrame:
+    """(__said, __about): the name that stands first in what a request for help is about;
+    of those that start at one place the one with the lowest position.
+
+    A name is met by its head, the largest power of two of characters it has. A place in a
+    text looks up a head of each power, and is compared with the names of those it finds, by
+    their lengths."""
+    size = F.char_length("name")
+    power = F.expr("shiftleft(1, char_length(bin(char_length(name))) - 1)")
+    measured = names.select(F.substr("name", F.lit(1), power).alias("__head"), power.alias("__power"), size.alias("__size"))
+    heads = cut(measured.groupBy("__head").agg(F.first("__power").alias("__power"), F.collect_set("__size").alias("__sizes")))
+    # one number per power of two up to the longest name
+    powers = F.array(*[F.lit(row[0]) for row in heads.select("__power").distinct().collect()]).cast("array<int>")
+    wanted = F.substr("__said", F.lit(len(ASKED) + 1))
+    left = F.char_length("__wanted") - F.col("__at") + 1
+    places = said.select("__said", wanted.alias("__wanted")).withColumn("__at", F.explode(F.sequence(F.lit(1), F.char_length("__wanted"))))
+    places = places.withColumn("__power", F.explode(F.filter(powers, lambda n: n <= left)))
+    places = places.withColumn("__head", F.substr("__wanted", "__at", "__power")).drop("__power")
+    near = look_up(places, heads.drop("__power"), "__head", limit).filter("__sizes is not null")
+    pieces = near.select("__said", "__wanted", "__at", F.explode(F.filter("__sizes", lambda n: n <= left)).alias("__size"))
+    pieces = pieces.select("__said", "__at", F.substr("__wanted", "__at", "__size").alias("name"))
+    entries = names.select("name", F.struct("position").alias("__entry"))
+    met = look_up(pieces, entries, "name", limit, small).filter("__entry is not null")
+    first = met.groupBy("__said").agg(F.min(F.struct("__at", "__entry.position", "name")).alias("first"))
+    return first.select("__said", F.col("first.name").alias("__about"))
 
 
 def filled_values(parsed: DataFrame, commands: DataFrame, limit: int = HOT_ROWS) -> DataFrame:

@@ -88,14 +88,21 @@ def small_enough(df: DataFrame) -> bool:
     return n_rows <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
 
 
-def look_up(left: DataFrame, right: DataFrame, key: str, limit: int = HOT_ROWS, small: bool | None = None) -> DataFrame:
+def look_up(
+    left: DataFrame, right: DataFrame, key: str, limit: int = HOT_ROWS, small: bool | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """Left join with a table of unique keys. A small table is sent to the rows. To a larger
-    one the rows are shuffled, but for those whose key is null or among more than
-    ``limit`` rows: they stay where they are, and the entries they need are sent."""
+    one the rows are shuffled. If more than ``limit`` rows have one key or none, the rows of
+    such keys and those without a key stay where they are, and the entries they need are
+    sent. ``counts`` may name the keys of ``left`` (null too) with their ``n_rows``."""
     if small_enough(right) if small is None else small:
         return left.join(F.broadcast(right), key, "left")
-    hot = heavy_keys(left.filter(F.col(key).isNotNull()), [key], limit).select(key)
-    n_hot = hot.count()
+    heavy = heavy_keys(left, [key], limit) if counts is None else counts.filter(F.col("n_rows") > limit)
+    heavy = heavy.select(key)
+    n_hot = heavy.count()
+    if n_hot == 0:
+        return left.join(right, key, "left")  # one pass over the rows
+    hot = heavy.filter(F.col(key).isNotNull())
     marked = left.join(bounded_broadcast(hot.withColumn("__hot", F.lit(True)), n_hot), key, "left")
     stays = F.col(key).isNull() | F.col("__hot").isNotNull()
     entries = bounded_broadcast(right.join(bounded_broadcast(hot, n_hot), key, "left_semi"), n_hot)
