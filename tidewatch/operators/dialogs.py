@@ -147,4 +147,7 @@ def filled_values(parsed: DataFrame, commands: DataFrame, limit: int = HOT_ROWS)
     known = commands.select(F.col("name").alias("command"), F.col("fields").alias("__fields"))
     value = lambda f: F.struct(f["name"], F.coalesce(F.element_at("values", f["name"]), f["defaults"]))
     values = F.map_from_entries(F.transform("__fields", value))
-    return look_up(called, known, "command", limit).withColumn("values", values).select(*parsed.columns)
+    small = small_enough(known)
+    if not small:  # else they would be parsed again to be counted
+        called = cut(called)
+    return look_up(called, known, "command", limit, small).withColumn("values", values).select(*parsed.columns)
