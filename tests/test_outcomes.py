@@ -203,3 +203,18 @@ def test_merged_durations(spark):
         assert (row.n_runs, row.max_seconds, round(row.avg_seconds, 6)) == (1000, max(exact), round(sum(exact) / 1000, 6))
         below, upto = sum(s < row.quantile_seconds for s in exact), sum(s <= row.quantile_seconds for s in exact)
         assert below <= 1000 * (0.5 + routing.SKETCH_ERROR) and upto >= 1000 * (0.5 - routing.SKETCH_ERROR)
+
+
+def test_delivery_sends_the_processes_of_hot_groups(spark, monkeypatch):
+    """Few processes go to the events; among many, those of groups with many events do."""
+    events = spark.createDataFrame([(i, "g0" if i % 5 else f"g{i % 3}") for i in range(60)] + [(60, None), (60, "g1")], "event_id int, group_id string")
+    processes = spark.createDataFrame([("g0", "a"), ("g1", "b"), ("g1", "c"), ("g1", "c"), (None, "d"), ("g9", "e")], "group_id string, name string")
+    named = {"g0": ["a"], "g1": ["b", "c", "c"]}
+    wanted = sorted((r.group_id, r.event_id, p) for r in events.collect() for p in named.get(r.group_id, []))
+    found = routing.broadcast_events(events, processes)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["group_id", "event_id", "process"] and sorted(map(tuple, found.collect())) == wanted
+    monkeypatch.setattr(routing, "small_enough", lambda df: False)
+    for limit in (10, 1000):
+        found = routing.broadcast_events(events, processes, limit=limit)
+        assert found.columns == ["group_id", "event_id", "process"] and sorted(map(tuple, found.collect())) == wanted

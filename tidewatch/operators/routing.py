@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import required_value, short_id
 from tidewatch.plans.expand import explode_range
-from tidewatch.plans.ordered import HOT_ROWS, bounded_broadcast, first_in_group, join_same, running_sum, with_previous, with_running
+from tidewatch.plans.ordered import (
+    HOT_ROWS, bounded_broadcast, first_in_group, heavy_keys, join_same, running_sum, small_enough, with_previous, with_running,
+)
 from tidewatch.session import cut
 
 # Queue sizes, events per channel and per process.
@@ -29,9 +31,21 @@ def duplicate(df: DataFrame, n: int | Column) -> DataFrame:
     return explode_range(df, F.lit(1), F.lit(n) if isinstance(n, int) else n, "copy")
 
 
-def broadcast_events(events: DataFrame, processes: DataFrame) -> DataFrame:
-    """Every event with every process of its group."""
-    return events.join(processes.select("group_id", F.col("name").alias("process")), "group_id")
+def broadcast_events(events: DataFrame, processes: DataFrame, *, limit: int = HOT_ROWS) -> DataFrame:
+    """Every event with every process of its group. Few processes are sent to the events.
+    Among many, those of a group with more than ``limit`` events are sent, so that no task
+    gets all events of one."""
+    listed = processes.select("group_id", F.col("name").alias("process"))
+    if small_enough(listed):
+        return events.join(F.broadcast(listed), "group_id")
+    hot = heavy_keys(events.filter(F.col("group_id").isNotNull()), ["group_id"], limit).select("group_id")
+    n_hot = hot.count()
+    if n_hot == 0:
+        return events.join(listed, "group_id")
+    hot = bounded_broadcast(hot, n_hot)
+    of_hot = listed.join(hot, "group_id", "left_semi")
+    apart = events.join(hot, "group_id", "left_semi").join(bounded_broadcast(of_hot, of_hot.count()), "group_id")
+    return apart.unionByName(events.join(hot, "group_id", "left_anti").join(listed, "group_id"))
 
 
 #: Parts of a window that are counted to find where its cap is reached.
