@@ -149,6 +149,6 @@ def test_pipeline_stages(spark, odd_docs, odd_rows, sf_dir, no_docs):
 
 
 def test_each_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert frame is not None
