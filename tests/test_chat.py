@@ -193,6 +193,9 @@ def test_large_command_tables_read_the_messages_once(spark, monkeypatch):
     assert {(r.text, r.command, r.help_command) for r in found.collect()} == {
         ("go", "go", None), ("go far", "go far", None), ("help stop", None, "stop"), ("a b c d", None, None)
     }
+    filled = dialogs.filled_values(found, dialogs.definitions(command_table(spark, SHOP)))
+    assert "Range (" not in filled._jdf.queryExecution().optimizedPlan().toString()  # parsed and written down
+    assert {(r.text, tuple(sorted((k, tuple(v)) for k, v in r["values"].items()))) for r in filled.collect()} == {("go", (("flags", ("a", "b")), ("version", ("9",))))}
 
 
 @pytest.mark.parametrize("small", [True, False])
